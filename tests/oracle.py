@@ -89,7 +89,7 @@ def main(argv):
             slow = float(next(it))
         else:
             names.append(a)
-    spark = get_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = get_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     qs, sqls = e.queries(), e.oracle_sql()

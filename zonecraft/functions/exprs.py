@@ -71,3 +71,11 @@ def first_match(pairs, default=None) -> Column:
 def match_count(c: Column, patterns) -> Column:
     """How many of the patterns occur in the text."""
     return reduce(lambda a, b: a + b, [c.rlike(p).cast("int") for p in patterns], F.lit(0))
+
+
+def json_valid(c) -> Column:
+    """Whether the whole text is one JSON value.  The lenient parsers stop after the first
+    value, so the text is tested as the only member of an array and of an object."""
+    x = col(c)
+    inside = F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1
+    return F.coalesce(inside & F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull(), F.lit(False))
