@@ -349,3 +349,34 @@ def range_counts(df: DataFrame, keys, ts: str, seconds: int, exprs: dict) -> Dat
     y = df.withColumn("_zc_t", t).withColumn("_zc_c", F.explode(copies))
     w = Window.partitionBy(*keys, F.col("_zc_c.blk")).orderBy("_zc_t").rangeBetween(-seconds * 1_000_000, 0)
     return y.withColumns({n: f(w) for n, f in exprs.items()}).filter("_zc_c.own").drop("_zc_c", "_zc_t")
+
+
+def counter_rates(df: DataFrame, keys, ts: str, seconds: int, bad: Column, limit: float) -> DataFrame:
+    """Events per second over the window, share of bad ones and whether it exceeds the limit."""
+    x = range_counts(df.withColumn("_bad", bad.cast("int")), keys, ts, seconds, {
+        "_n": lambda w: F.count(F.lit(1)).over(w), "_b": lambda w: F.sum("_bad").over(w)})
+    return x.withColumns({"rate": F.col("_n") / float(seconds), "error_ratio": F.col("_b") / F.col("_n"),
+                          "firing": F.col("_b") / F.col("_n") > limit}).drop("_n", "_b", "_bad")
+
+
+def sustained(df: DataFrame, keys, ts: str, seconds: int, condition: Column, name: str = "firing") -> DataFrame:
+    """True where the condition held at every sample of a fully covered window."""
+    x = range_counts(df.withColumn("_c", condition.cast("int")), keys, ts, seconds, {"_all": lambda w: F.min("_c").over(w)})
+    x = null_safe_join(x, df.groupBy(*keys).agg(F.min(ts).alias("_t0")), list(keys))
+    return x.withColumn(name, (F.col("_all") == 1) & (epoch(ts) - seconds >= epoch("_t0"))).drop("_c", "_all", "_t0")
+
+
+def observability_baseline(metrics: DataFrame, keys, day: str, as_of: str, days: int, values: dict) -> DataFrame:
+    """Mean (and deviation of `rows`) of each metric over the last `days` days."""
+    aggs = [F.avg(c).alias(f"avg_{n}") for n, c in values.items()] + [F.stddev_samp(c).alias(f"sd_{n}") for n, c in values.items()]
+    recent = metrics.filter(F.col(day) >= F.date_sub(F.lit(as_of).cast("date"), days))
+    return recent.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("samples"), F.max(day).alias("last_day"))
+
+
+def all_drifts(*parts: DataFrame) -> DataFrame:
+    """Union of drift findings (kind, subject, severity) with a flag for any critical one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    flag = out.agg(F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("any_critical"))
+    return out.crossJoin(F.broadcast(flag))  # one row

@@ -49,6 +49,21 @@ def name_kind(column: str, match: str = "substring") -> str | None:
     return None
 
 
+def name_kind_column(c) -> Column:
+    """name_kind for a column that holds column names."""
+    words = F.translate(F.lower(col(c)), "-_", "  ")
+    out = None
+    for kind, hints in NAME_HINTS.items():
+        hit = any_of([words.contains(h.replace("_", " ")) for h in hints])
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
+
+
+def recommended(kind) -> Column:
+    """Masking strategy for a kind of personal data."""
+    return F.coalesce(case_map(col(kind), RECOMMENDED), F.lit("hash"))
+
+
 def pattern_counts(df: DataFrame, columns=None) -> DataFrame:
     """Per string column and pattern: rows with a value and rows that match, in one pass."""
     cols = [c for c in (columns or df.columns) if df.schema[c].dataType.typeName() in ("string", "varchar")]
@@ -64,7 +79,7 @@ def detect(df: DataFrame, threshold: float = 0.7, columns=None, match: str = "su
     """Kind and confidence per column: name .8, name and pattern .95, pattern by share of rows."""
     counts = pattern_counts(df, columns)
     named = {c: name_kind(c, match) for c in (columns or df.columns)}
-    hint = case_map(F.col("column_name"), {c: k for c, k in named.items() if k} or {"": ""})
+    h = hint = case_map(F.col("column_name"), {c: k for c, k in named.items() if k} or {"": ""})
     order = F.lit(0)
     for i, k in enumerate(PATTERNS):
         order = F.when(F.col("kind") == k, F.lit(-i)).otherwise(order)
@@ -73,7 +88,6 @@ def detect(df: DataFrame, threshold: float = 0.7, columns=None, match: str = "su
         F.max("total_count").alias("total_count"),
         F.max(F.struct(F.col("match_count").alias("m"), order.alias("o"), F.col("kind").alias("k"))).alias("_best"),
         F.max(F.when(F.col("kind") == hint, F.col("match_count"))).alias("_own"))
-    h = case_map(F.col("column_name"), {c: k for c, k in named.items() if k} or {"": ""})
     own = F.coalesce("_own", F.lit(0)) > 0
     share = F.col("_best.m") / F.col("total_count")
     kind = F.when(h.isNotNull(), h).when(F.col("_best.m") > 0, F.col("_best.k"))
@@ -83,7 +97,7 @@ def detect(df: DataFrame, threshold: float = 0.7, columns=None, match: str = "su
     return (g.filter(F.col("total_count") > 0).select("column_name", kind.alias("kind"), conf.alias("confidence"), n.alias("match_count"), "total_count")
             .filter(F.col("confidence") >= threshold)
             .withColumn("match_pct", 100.0 * F.col("match_count") / F.col("total_count"))
-            .withColumn("masking", F.coalesce(case_map(F.col("kind"), RECOMMENDED), F.lit("hash"))))
+            .withColumn("masking", recommended("kind")))
 
 
 def _seeded(x: Column, size: int) -> Column:
