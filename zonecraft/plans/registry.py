@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["sources_plans", "quality_plans", "relational_plans", "dims_plans", "drift_plans", "privacy_plans", "metadata_plans", "rank_plans"]
+MODULES = ["sources_plans", "quality_plans", "relational_plans", "dims_plans", "drift_plans", "privacy_plans", "metadata_plans", "rank_plans", "stream_plans"]
 
 
 class Tables:

@@ -46,3 +46,61 @@ def transitions(df: DataFrame, keys, order, bucket: Column, state: str, table: d
 def current_state(df: DataFrame, keys, order, columns) -> DataFrame:
     """Latest values per key by partial aggregation."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_c"), F.count(F.lit(1)).alias("n_events")).select(*keys, "_c.*", "n_events")
+
+
+# ---- streaming forms -------------------------------------------------------------------------
+
+def auto_close_stream(df: DataFrame, key: str, ts: str, ok: str, runs: int = 3) -> DataFrame:
+    """Close events of a stream: a key closes at its `runs`-th consecutive success after a failure
+    or start.  State per key is one counter.  Rows of a batch are taken in time order."""
+    def step(k, batches, state):
+        import pandas as pd
+        n = state.get[0] if state.exists else 0
+        out = []
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        for when, good in zip(rows[ts], rows[ok]):
+            n = n + 1 if good else 0
+            if n == runs:
+                out.append((k[0], when))
+        state.update((n,))
+        yield pd.DataFrame({key: [o[0] for o in out], "closed_at": [o[1] for o in out]})
+
+    t = df.schema[key].dataType.simpleString()
+    w = df.schema[ts].dataType.simpleString()
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {t}, closed_at {w}", "n bigint", "append", "NoTimeout")
+
+
+def transitions_stream(df: DataFrame, key: str, ts: str, state_col: str, table: dict) -> DataFrame:
+    """Every step with its previous state and legality; state per key is the last state."""
+    legal = {(a, b) for a, bs in table.items() for b in bs}
+
+    def step(k, batches, state):
+        import pandas as pd
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        prev, ok = [], []
+        for s in rows[state_col]:
+            prev.append(last)
+            ok.append(last is None or (last, s) in legal)
+            last = s
+        state.update((last,))
+        yield pd.DataFrame({key: k[0], ts: rows[ts], "previous_state": prev, state_col: rows[state_col], "is_legal": ok})
+
+    kt, tt = df.schema[key].dataType.simpleString(), df.schema[ts].dataType.simpleString()
+    return df.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kt}, {ts} {tt}, previous_state string, {state_col} string, is_legal boolean", "last string", "append", "NoTimeout")
+
+
+def latest_stream(df: DataFrame, key: str, ts: str, columns) -> DataFrame:
+    """Running latest state per key (update mode)."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("_c"), F.count(F.lit(1)).alias("n_events")).select(key, "_c.*", "n_events")
+
+
+def rate_limit(df: DataFrame, keys, ts: str, limits) -> DataFrame:
+    """Requests of the key in each trailing window `(name, seconds, most)` and whether all hold."""
+    from zonecraft.operators.drift import range_counts
+    ok = F.lit(True)
+    for name, seconds, most in limits:
+        df = range_counts(df, keys, ts, seconds, {name: lambda w: F.count(F.lit(1)).over(w)})
+        ok = ok & (F.col(name) <= most)
+    return df.withColumn("allowed", ok)
