@@ -15,7 +15,8 @@ from zonecraft.functions.hashing import hash_diff, hash_key
 from zonecraft.operators.window import framed, top_per_group, with_position
 
 
-def number_rows(df: DataFrame, keys, start: Column | int = 0, name: str = "sk", width: int = 1_000_000) -> DataFrame:
+def number_rows(df: DataFrame, keys, start: Column | int = 0, name: str = "sk", width: int = 1_000_000,
+                digits: int = 4) -> DataFrame:
     """Consecutive numbers after `start`, in key order for one numeric key, otherwise in the
     order of the key hash.  Offsets per key bucket replace a single-task global sort."""
     first = df.schema[keys[0]].dataType
@@ -23,7 +24,7 @@ def number_rows(df: DataFrame, keys, start: Column | int = 0, name: str = "sk",
         order, bucket = [keys[0]], F.floor(F.col(keys[0]) / width)
     else:
         h = hash_key(keys, "job")
-        order, bucket = [h, *keys], F.substring(h, 1, 3)
+        order, bucket = [h, *keys], F.substring(h, 1, digits)
     x = with_position(df.drop(name), [], order, bucket, "_zc_no")
     base = F.lit(start) if isinstance(start, int) else F.coalesce(start, F.lit(0))
     return x.withColumn(name, (base + F.col("_zc_no")).cast("long")).drop("_zc_no").select(*df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,18 +265,19 @@ def suppress_greedy(alerts: DataFrame, keys, ts: str, order, minutes: int = 30)
     return null_safe_join(x, kept, [*keys, "_t"], "left_semi").drop("_t")
 
 
-def outside_windows(df: DataFrame, windows: DataFrame, keys, ts: str, start: str = "win_start", end: str = "win_end",
-                    grain: int = 86400) -> DataFrame:
-    """Rows not inside any window of their key.  Windows are cut into time slots so that the
-    range test runs inside an equi join."""
-    lo, hi = F.floor(epoch(start) / grain).cast("long"), F.floor(epoch(end) / grain).cast("long")
-    w = windows.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col(start).alias("_ws"), F.col(end).alias("_we"),
-                       F.explode(F.sequence(lo, hi)).alias("_wslot"))
-    x = df.withColumn("_slot", F.floor(epoch(ts) / grain).cast("long"))
-    cond = (F.col("_slot") == F.col("_wslot")) & (F.col(ts) >= F.col("_ws")) & (F.col(ts) <= F.col("_we"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"w_{k}"))
-    return x.join(w, cond, "left_anti").drop("_slot")
+def outside_windows(df: DataFrame, windows: DataFrame, keys, ts: str, row_id, start: str = "win_start", end: str = "win_end") -> DataFrame:
+    """Rows not inside any window (bounds included) of their key.
+
+    Window starts and row times form one ordered line per key; a row is inside when the latest
+    end among the windows begun so far is not before it.  Linear, whatever the number of windows
+    or rows of a key."""
+    keys, ids = list(keys), list(row_id)
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = df.select(*keys, *ids, t(ts).alias("_t"), F.lit(None).cast("long").alias("_end"), F.lit(1).alias("_kind"))
+    marks = windows.select(*keys, t(start).alias("_t"), t(end).alias("_end"), F.lit(0).alias("_kind"))
+    line = running(rows.unionByName(marks, allowMissingColumns=True), keys, ["_t", "_kind"], F.floor(F.col("_t") / 60_000_000), _until=("max", "_end"))
+    inside = line.filter((F.col("_kind") == 1) & (F.col("_until") >= F.col("_t"))).select(*ids)
+    return null_safe_join(df, inside, ids, "left_anti")
 
 
 # Failure classes with their log signatures and remediation, first match wins.
@@ -335,35 +336,42 @@ def run_health(runs: DataFrame, by, failed: Column, duration: str, sla: float) -
     }).drop("_lo", "_hi")
 
 
-def range_counts(df: DataFrame, keys, ts: str, seconds: int, exprs: dict) -> DataFrame:
-    """Aggregates over the last `seconds` before and at each row.
+def trailing_counts(df: DataFrame, keys, ts: str, row_id, windows, conditions: dict) -> DataFrame:
+    """Rows of the key in the last `seconds` up to each row, both ends included.
 
-    Rows are cut into time blocks of four window lengths with the preceding window as a halo,
-    so a busy key spreads over many tasks.  `exprs` maps a name to `f(window_spec)`."""
-    span = 4 * seconds
+    `windows` maps a prefix to seconds; `conditions` maps a name to the condition counted; the
+    result columns are prefix + name.  A count is the difference of two running counts, read at
+    the row's time and before the start of its window, so no key and no window length makes a
+    group large.  `row_id` identifies the rows."""
+    keys, ids = list(keys), list(row_id)
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    k = F.floor(t / (span * 1_000_000)).cast("long")
-    edge = (t % (span * 1_000_000)) >= (span - seconds) * 1_000_000
-    copies = F.array_compact(F.array(F.struct(k.alias("blk"), F.lit(True).alias("own")),
-                                     F.when(edge, F.struct((k + 1).alias("blk"), F.lit(False).alias("own")))))
-    y = df.withColumn("_zc_t", t).withColumn("_zc_c", F.explode(copies))
-    w = Window.partitionBy(*keys, F.col("_zc_c.blk")).orderBy("_zc_t").rangeBetween(-seconds * 1_000_000, 0)
-    return y.withColumns({n: f(w) for n, f in exprs.items()}).filter("_zc_c.own").drop("_zc_c", "_zc_t")
-
-
-def counter_rates(df: DataFrame, keys, ts: str, seconds: int, bad: Column, limit: float) -> DataFrame:
+    flags = {f"_f_{n}": c.cast("long") for n, c in conditions.items()}
+    rows = df.select(*keys, t.alias("_t"), F.lit(1).alias("_kind"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in flags.items()])
+    # readers: at the row's own time after its peers, and just before each window's first instant
+    reads = F.array(F.struct(F.lit(2).alias("_kind"), F.lit("now").alias("_w"), t.alias("_t")),
+                    *[F.struct(F.lit(0).alias("_kind"), F.lit(w).alias("_w"), (t - int(sec * 1_000_000)).alias("_t")) for w, sec in windows.items()])
+    probes = df.select(*keys, *ids, F.inline(reads))
+    line = running(rows.unionByName(probes, allowMissingColumns=True), keys, ["_t", "_kind"], F.floor(F.col("_t") / 60_000_000),
+                   **{f"_c_{n}": ("sum", F.coalesce(f"_f_{n}", F.lit(0))) for n in conditions})
+    at = line.filter(F.col("_kind") != 1).groupBy(*ids).agg(*[
+        F.max(F.when(F.col("_w") == w, F.col(f"_c_{n}"))).alias(f"_{w}_{n}") for w in ["now", *windows] for n in conditions])
+    out = null_safe_join(df, at, ids)
+    out = out.withColumns({f"{w}{n}": F.col(f"_now_{n}") - F.col(f"_{w}_{n}") for w in windows for n in conditions})
+    return out.drop(*[f"_{w}_{n}" for w in ["now", *windows] for n in conditions])
+
+
+def counter_rates(df: DataFrame, keys, ts: str, row_id, seconds: int, bad: Column, limit: float) -> DataFrame:
     """Events per second over the window, share of bad ones and whether it exceeds the limit."""
-    x = range_counts(df.withColumn("_bad", bad.cast("int")), keys, ts, seconds, {
-        "_n": lambda w: F.count(F.lit(1)).over(w), "_b": lambda w: F.sum("_bad").over(w)})
-    return x.withColumns({"rate": F.col("_n") / float(seconds), "error_ratio": F.col("_b") / F.col("_n"),
-                          "firing": F.col("_b") / F.col("_n") > limit}).drop("_n", "_b", "_bad")
+    x = trailing_counts(df, keys, ts, row_id, {"_w": seconds}, {"n": F.lit(True), "b": bad})
+    ratio = F.col("_wb") / F.col("_wn")
+    return x.withColumns({"rate": F.col("_wn") / float(seconds), "error_ratio": ratio, "firing": ratio > limit}).drop("_wn", "_wb")
 
 
-def sustained(df: DataFrame, keys, ts: str, seconds: int, condition: Column, name: str = "firing") -> DataFrame:
+def sustained(df: DataFrame, keys, ts: str, row_id, seconds: int, condition: Column, name: str = "firing") -> DataFrame:
     """True where the condition held at every sample of a fully covered window."""
-    x = range_counts(df.withColumn("_c", condition.cast("int")), keys, ts, seconds, {"_all": lambda w: F.min("_c").over(w)})
+    x = trailing_counts(df, keys, ts, row_id, {"_w": seconds}, {"broken": ~F.coalesce(condition, F.lit(False))})
     x = null_safe_join(x, df.groupBy(*keys).agg(F.min(ts).alias("_t0")), list(keys))
-    return x.withColumn(name, (F.col("_all") == 1) & (epoch(ts) - seconds >= epoch("_t0"))).drop("_c", "_all", "_t0")
+    return x.withColumn(name, (F.col("_wbroken") == 0) & (epoch(ts) - seconds >= epoch("_t0"))).drop("_wbroken", "_t0")
 
 
 def observability_baseline(metrics: DataFrame, keys, day: str, as_of: str, days: int, values: dict) -> DataFrame:

@@ -104,11 +104,13 @@ def cross_reference(df: DataFrame, xref: DataFrame, key: str, source_key: str, m
 
 
 def overlap_groups(df: DataFrame, id_col: str, type_col: str, items: str) -> DataFrame:
-    """Members of the same type that share a list item.
+    """Members of the same type that share a list item (or the item of distinct rows).
 
     Two ids are candidates exactly when they occur in a common (type, item) group.  The groups
     are returned member by member with the group's first id and size: the same information as
     the list of all pairs at linear instead of quadratic size."""
-    m = df.select(F.col(id_col).alias("member_id"), F.col(type_col).alias("group_type"), F.explode(F.array_distinct(items)).alias("item"))
+    listed = df.schema[items].dataType.typeName() == "array"
+    item = F.explode(F.array_distinct(items)) if listed else F.col(items)
+    m = df.select(F.col(id_col).alias("member_id"), F.col(type_col).alias("group_type"), item.alias("item"))
     g = m.groupBy("group_type", "item").agg(F.min("member_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
     return null_safe_join(m, g.filter("group_size > 1"), ["group_type", "item"])

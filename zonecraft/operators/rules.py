@@ -199,7 +199,12 @@ def aggregate(df, cfg):
 def window(df, cfg):
     """Window column.  With `bucket` (a SQL expression monotone in the first order column) large
     keys are split; without it each key is one group, which suits keys of bounded size."""
-    if cfg.get("func"):  # SQL text form
+    if cfg.get("func") and cfg.get("bucket"):  # text form, e.g. "rank()" with "price DESC"
+        order = [dict(zip(("column", "direction"), o.split())) for o in cfg.get("order_by", [])]
+        fn, _, arg = cfg["func"].rstrip(")").partition("(")
+        return window(df, {"function": fn, "column": arg or None, "partition_by": cfg.get("partition_by", []), "order_by": order,
+                           "bucket": cfg["bucket"], "output_column": cfg["name"]})
+    if cfg.get("func"):
         part = f"PARTITION BY {', '.join(cfg['partition_by'])} " if cfg.get("partition_by") else ""
         order = f"ORDER BY {', '.join(cfg['order_by'])}" if cfg.get("order_by") else ""
         return df.withColumn(cfg["name"], F.expr(f"{cfg['func']} OVER ({part}{order})"))

@@ -7,7 +7,7 @@ from zonecraft.operators import drift as D
 from zonecraft.operators import window as W
 from zonecraft.plans import catalog as cat
 from zonecraft.plans.registry import query
-from zonecraft.plans.relational_plans import _stats_sql, day
+from zonecraft.plans.relational_plans import _stats_sql, slot
 
 
 def _profile_sql(table, cols, total="count(*)"):
@@ -85,7 +85,7 @@ def df_5(t):
 @query("df_6", """SELECT event_id, round((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7, 3) AS delay_minutes, CASE WHEN (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 < 180 THEN 'warning' ELSE 'critical' END AS severity
 FROM events WHERE (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7 > 60""")
 def df_6(t):
-    x = D.freshness_drift(t.events.withColumn("expected", day()), "expected", "ts")
+    x = D.freshness_drift(t.events.withColumn("expected", F.date_trunc("day", "ts")), "expected", "ts")
     return x.select("event_id", F.round("delay_minutes", 3).alias("delay_minutes"), "severity")
 
 
@@ -122,7 +122,7 @@ def df_8(t):
         F.lit("statistical").alias("kind"), F.concat("column_name", F.lit("."), "metric").alias("subject"), "severity")
     v = D.volume_drift(b, c).filter("severity IS NOT NULL").select(F.lit("volume").alias("kind"), F.lit("rows").alias("subject"), "severity")
     s = D.schema_drift(diff(t)).filter("severity <> 'none'").select(F.lit("schema").alias("kind"), F.col("dataset").alias("subject"), "severity")
-    f = D.freshness_drift(t.events.withColumn("expected", day()), "expected", "ts", minutes=1400).select(
+    f = D.freshness_drift(t.events.withColumn("expected", F.date_trunc("day", "ts")), "expected", "ts", minutes=1400).select(
         F.lit("freshness").alias("kind"), F.col("event_id").cast("string").alias("subject"), "severity")
     return D.all_drifts(a, v, s, f)
 
@@ -149,18 +149,18 @@ def df_11(t):
     return D.healing(diff(t))
 
 
-_OBS = """SELECT user_id AS feed_id, event_type AS zone, date_trunc('day', ts) AS d, count(*) AS row_count, avg(value) AS quality, max((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 6e7) AS delay FROM events GROUP BY 1, 2, 3"""
+_OBS = """SELECT user_id AS feed_id, event_type AS zone, date_trunc('day', ts) AS d, count(*) AS row_count, avg(value) AS quality, max(epoch_us(ts) - epoch_us(date_trunc('day', ts))) AS delay FROM events GROUP BY 1, 2, 3"""
 
 
-@query("df_12", f"""SELECT feed_id, zone, round(avg(row_count), 4) AS avg_rows, round(stddev_samp(row_count), 4) AS sd_rows, round(avg(quality), 8) AS avg_quality, round(avg(delay), 6) AS avg_delay, count(*) AS samples, strftime(max(d), '%Y-%m-%d') AS last_day
+@query("df_12", f"""SELECT feed_id, zone, round(avg(row_count), 4) AS avg_rows, round(stddev_samp(row_count), 4) AS sd_rows, round(avg(quality), 8) AS avg_quality, avg(delay) / 6e7 AS avg_delay, count(*) AS samples, strftime(max(d), '%Y-%m-%d') AS last_day
 FROM ({_OBS}) WHERE d >= DATE '2024-02-05' - INTERVAL 30 DAY GROUP BY 1, 2""")
 def df_12(t):
-    d = day()
+    d = F.date_trunc("day", "ts")
     obs = (t.events.groupBy(F.col("user_id").alias("feed_id"), F.col("event_type").alias("zone"), d.alias("d"))
-           .agg(F.count(F.lit(1)).alias("row_count"), F.avg("value").alias("quality"), F.max((epoch("ts") - epoch(d)) / 60).alias("delay")))
+           .agg(F.count(F.lit(1)).alias("row_count"), F.avg("value").alias("quality"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(d.cast("timestamp"))).alias("delay")))
     x = D.observability_baseline(obs, ["feed_id", "zone"], "d", "2024-02-05", 30, {"rows": "row_count", "quality": "quality", "delay": "delay"})
     return x.select("feed_id", "zone", F.round("avg_rows", 4).alias("avg_rows"), F.round("sd_rows", 4).alias("sd_rows"), F.round("avg_quality", 8).alias("avg_quality"),
-                    F.round("avg_delay", 6).alias("avg_delay"), "samples", ymd("last_day").alias("last_day"))
+                    (F.col("avg_delay") / 6e7).alias("avg_delay"), "samples", ymd("last_day").alias("last_day"))
 
 
 _BASE = """p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
@@ -171,7 +171,7 @@ s AS (SELECT *, CASE signal WHEN 'threshold_breach' THEN least(1.0, 0.7 + 0.3 *
 
 
 def signals(t):
-    x = D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], day(), "value")
+    x = D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], slot(), "value")
     return D.classify_metric(x, "value", 120.0, 60.0)
 
 
@@ -214,7 +214,7 @@ def df_17_slots(t):
 SELECT event_id FROM events x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = x.user_id AND x.ts BETWEEN w.s AND w.e)""")
 def df_18(t):
     w = t.events.filter("event_type = 'signup' AND value > 60").select("user_id", F.col("ts").alias("win_start"), F.expr("ts + INTERVAL 30 HOURS").alias("win_end"))
-    return D.outside_windows(t.events, w, ["user_id"], "ts").select("event_id")
+    return D.outside_windows(t.events, w, ["user_id"], "ts", ["event_id"]).select("event_id")
 
 
 _LOGS = """SELECT doc_id, text || CASE source WHEN 'src0' THEN ' java.lang.OutOfMemoryError: heap' WHEN 'src1' THEN ' AnalysisException: cannot resolve column' WHEN 'src2' THEN ' connection refused by host' WHEN 'src3' THEN ' 403 Forbidden'
@@ -246,11 +246,11 @@ def df_20(t):
 @query("df_21", """SELECT event_id, count(*) OVER w / 21600.0 AS rate, round(count(*) FILTER (WHERE event_type = 'error') OVER w / count(*) OVER w, 6) AS error_ratio, count(*) FILTER (WHERE event_type = 'error') OVER w / count(*) OVER w > 0.25 AS firing
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""")
 def df_21(t):
-    x = D.counter_rates(t.events, ["user_id"], "ts", 21600, F.col("event_type") == "error", 0.25)
+    x = D.counter_rates(t.events, ["user_id"], "ts", ["event_id"], 21600, F.col("event_type") == "error", 0.25)
     return x.select("event_id", "rate", F.round("error_ratio", 6).alias("error_ratio"), "firing")
 
 
 @query("df_22", """WITH x AS (SELECT *, value > 5 AS c, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events)
 SELECT event_id, bool_and(c) OVER w AND ts - INTERVAL 12 HOUR >= t0 AS firing FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)""")
 def df_22(t):
-    return D.sustained(t.events, ["user_id"], "ts", 43200, F.col("value") > 5).select("event_id", "firing")
+    return D.sustained(t.events, ["user_id"], "ts", ["event_id"], 43200, F.col("value") > 5).select("event_id", "firing")

@@ -443,5 +443,5 @@ def gr_8(t):
 
 @query("gr_9", f"""WITH {cat.EXEC_SQL}, l AS (SELECT *, lag(zone) OVER (PARTITION BY feed_id ORDER BY started_at, execution_id) AS p FROM ex) SELECT feed_id, execution_id, p AS source_zone, zone AS target_zone FROM l WHERE p <> zone""")
 def gr_9(t):
-    x = G.zone_transitions(cat.executions(t), "feed_id", ["started_at", "execution_id"], "zone", F.date_trunc("day", "started_at"))
+    x = G.zone_transitions(cat.executions(t), "feed_id", ["started_at", "execution_id"], "zone", F.date_trunc("minute", "started_at"))
     return x.select("feed_id", "execution_id", "source_zone", "target_zone")

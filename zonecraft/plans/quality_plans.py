@@ -179,7 +179,7 @@ def dq_19(t):
 
 @query("dq_20", row("a", "lineitem", n="count(l_extendedprice)", o="round(median(l_extendedprice), 4)", ok="median(l_extendedprice) BETWEEN 1000 AND 100000"))
 def dq_20(t):
-    return show(Q.run_suite(t.lineitem, [rule("a", "median", "l_extendedprice", min=1000, max=100000, width=500)]))
+    return show(Q.run_suite(t.lineitem, [rule("a", "median", "l_extendedprice", min=1000, max=100000, width=1)]))
 
 
 @query("dq_21", both(
@@ -188,10 +188,10 @@ def dq_20(t):
     row("b", "(SELECT event_id, lag(event_id) OVER (ORDER BY ts, event_id) AS p FROM events)", n="count(*)",
         u="count(*) FILTER (WHERE event_id <= p)", ok="count(*) FILTER (WHERE event_id <= p) = 0")))
 def dq_21(t):
-    day = "date_trunc('day', ts)"
+    slot = "date_trunc('minute', ts)"
     return show(Q.run_suite(t.events, [
-        rule("a", "increasing", "value", order_by=["ts", "event_id"], partition_by=["user_id"], bucket=day),
-        rule("b", "increasing", "event_id", order_by=["ts", "event_id"], bucket=day)]))
+        rule("a", "increasing", "value", order_by=["ts", "event_id"], partition_by=["user_id"], bucket=slot),
+        rule("b", "increasing", "event_id", order_by=["ts", "event_id"], bucket=slot)]))
 
 
 @query("dq_22", both(row("a", "(SELECT DISTINCT o_orderpriority AS v FROM orders)", n="count(*)", u="count(*) FILTER (WHERE v NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))",

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonecraft.session import tune
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -17,8 +19,7 @@ class Tables:
     """Lazy access to the Parquet tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = tune(spark), folder
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

@@ -7,6 +7,7 @@ from zonecraft.functions import hashing as H
 from zonecraft.functions.exprs import case_map, epoch, hms, json_valid, money, ymd
 from zonecraft.operators import aggregate as A
 from zonecraft.operators import drift as D
+from zonecraft.operators import graph as G
 from zonecraft.operators import joins as J
 from zonecraft.operators import rules as R
 from zonecraft.operators import window as W
@@ -281,8 +282,9 @@ def jn_5(t):
 
 @query("jn_6", "SELECT o_orderkey, count(*) AS n, round(sum(CAST(l_extendedprice AS DECIMAL(28, 6))), 2)::DOUBLE AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def jn_6(t):
-    x = J.merge_join(t.orders.select("o_orderkey"), t.lineitem.select("l_orderkey", "l_extendedprice"), [("o_orderkey", "l_orderkey")])
-    return x.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(money("l_extendedprice"), 2).alias("amount"))
+    # lines are combined per order before the join, so that no order is heavier than another
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(money("l_extendedprice"), 2).alias("amount"))
+    return J.merge_join(t.orders.select("o_orderkey"), lines, [("o_orderkey", "l_orderkey")]).select("o_orderkey", "n", "amount")
 
 
 _HD = "md5(concat_ws('||', c_mktsegment, CAST(c_acctbal AS VARCHAR)))"
@@ -324,13 +326,21 @@ f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey AS ck, l_
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, w.version FROM f LEFT JOIN w ON f.ck = w.ck AND f.ts >= w.d AND (w.e IS NULL OR f.ts < w.e)""")
 def jn_11(t):
     v = t.orders.groupBy(F.col("o_custkey").alias("ck"), F.col("o_orderdate").alias("d")).agg(F.max("o_orderkey").alias("version"))
-    v = W.framed(v, ["ck"], ["d"], F.date_trunc("year", "d"), 0, 1, {"e": lambda w: F.lead("d").over(w)})
+    v = W.framed(v, ["ck"], ["d"], F.date_trunc("month", "d"), 0, 1, {"e": lambda w: F.lead("d").over(w)})
     f = J.join_on(t.lineitem, t.orders.select("o_orderkey", F.col("o_custkey").alias("ck")), [("l_orderkey", "o_orderkey")]).withColumn(
         "ts", F.expr("l_shipdate + INTERVAL 200 DAY"))
-    x = J.as_of(f, v, ["ck"], "ts", "d", "e", ["version"], lambda c: F.date_trunc("year", c))
+    x = J.as_of(f, v, ["ck"], "ts", "d", "e", ["version"], lambda c: F.date_trunc("month", c))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "version")
 
 
+@query("jn_12", """WITH e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)
+SELECT a.src AS start, a.dst AS node, 1 AS depth FROM e a WHERE a.src LIKE 'c%' UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'c%'""")
+def jn_12(t):
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = G.edges_of(t.orders, tag("c", "o_custkey"), tag("o", "o_orderkey")).union(G.edges_of(t.lineitem, tag("o", "l_orderkey"), tag("p", "l_partkey")))
+    return G.downstream(e, t.customer.select(tag("c", "c_custkey").alias("s")), 3)
+
+
 @query("jn_13", "SELECT c_custkey, coalesce(m, c_custkey) AS master_id FROM customer LEFT JOIN (SELECT o_custkey AS s, min(o_orderkey) AS m FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON c_custkey = s")
 def jn_13(t):
     x = t.orders.filter("o_totalprice > 300000").groupBy("o_custkey").agg(F.min("o_orderkey").alias("m"))
@@ -341,8 +351,8 @@ def jn_13(t):
 WITH m AS (SELECT DISTINCT o_orderkey AS member_id, o_orderpriority AS group_type, l_suppkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT member_id, group_type, item, first_id, group_size FROM (SELECT *, min(member_id) OVER (PARTITION BY group_type, item) AS first_id, count(*) OVER (PARTITION BY group_type, item) AS group_size FROM m) WHERE group_size > 1""")
 def jn_14(t):
-    items = J.join_on(t.lineitem, t.orders, [("l_orderkey", "o_orderkey")]).groupBy("l_orderkey", "o_orderpriority").agg(F.collect_set("l_suppkey").alias("items"))
-    return J.overlap_groups(items, "l_orderkey", "o_orderpriority", "items")
+    members = J.join_on(t.lineitem.select("l_orderkey", "l_suppkey").distinct(), t.orders, [("l_orderkey", "o_orderkey")])
+    return J.overlap_groups(members, "l_orderkey", "o_orderpriority", "l_suppkey")
 
 
 # ---- aggregations ----------------------------------------------------------------------------
@@ -365,7 +375,7 @@ def ag_2(t):
 WITH p AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
 SELECT o_orderpriority, (rn - 1) // 500 AS part, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS members, count(*) AS n FROM p GROUP BY 1, 2""")
 def ag_3(t):
-    x = A.collect_chunks(t.orders, ["o_orderpriority"], "o_orderkey", ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"), 500)
+    x = A.collect_chunks(t.orders, ["o_orderpriority"], "o_orderkey", ["o_orderdate", "o_orderkey"], F.date_trunc("day", "o_orderdate"), 500)
     return x.select("o_orderpriority", "part", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("members"), F.size("values").cast("long").alias("n"))
 
 
@@ -414,7 +424,7 @@ def ag_7(t):
 
 @query("ag_8", "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS median_price FROM lineitem GROUP BY 1, 2")
 def ag_8(t):
-    x = W.exact_quantile(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", F.floor(F.col("l_extendedprice") / 500), 0.5, "median_price")
+    x = W.exact_quantile(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", F.floor("l_extendedprice"), 0.5, "median_price")
     return x.withColumn("median_price", F.round("median_price", 4))
 
 
@@ -454,7 +464,7 @@ def ag_13(t):
 
 @query("ag_14", "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def ag_14(t):
-    b = F.floor(F.col("value") / 5)
+    b = F.floor(F.col("value") * 10)
     p95 = W.exact_quantile(t.events, ["event_type"], "value", b, 0.95, "p95")
     p99 = W.exact_quantile(t.events, ["event_type"], "value", b, 0.99, "p99").withColumnRenamed("event_type", "e")
     return p95.join(p99, F.col("event_type") == F.col("e")).select("event_type", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
@@ -468,21 +478,22 @@ def ag_15(t):
 # ---- windows ---------------------------------------------------------------------------------
 
 
-def day():
-    return F.date_trunc("day", "ts")
+def slot():
+    """Bucket of an event time: fine enough that even a third of all events fall into small groups."""
+    return F.date_trunc("minute", "ts")
 
 
 @query("wn_1", """
 SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS row_num, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS rank,
  dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS dense_rank FROM orders""")
 def wn_1(t):
-    x = W.with_ranks(t.orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ["o_orderdate"], F.date_trunc("month", "o_orderdate"))
+    x = W.with_ranks(t.orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ["o_orderdate"], F.date_trunc("day", "o_orderdate"))
     return x.select("o_orderkey", "row_num", "rank", "dense_rank")
 
 
 @query("wn_2", """SELECT event_id, lag(value, 1) OVER w AS prev1, lag(value, 3) OVER w AS prev3, lead(event_type, 1) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def wn_2(t):
-    x = W.framed(t.events, ["user_id"], ["ts", "event_id"], day(), 3, 1, {
+    x = W.framed(t.events, ["user_id"], ["ts", "event_id"], slot(), 3, 1, {
         "prev1": lambda w: F.lag("value", 1).over(w), "prev3": lambda w: F.lag("value", 3).over(w), "next_type": lambda w: F.lead("event_type", 1).over(w)})
     return x.select("event_id", "prev1", "prev3", "next_type")
 
@@ -497,7 +508,7 @@ def wn_3(t):
 
 @query("wn_4", """SELECT event_id, round(avg(value) OVER w, 6) AS mean5, max(value) OVER w AS max5 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def wn_4(t):
-    x = W.framed(t.events, ["event_type"], ["ts", "event_id"], day(), 2, 2, {
+    x = W.framed(t.events, ["event_type"], ["ts", "event_id"], slot(), 2, 2, {
         "mean5": lambda w: F.round(F.avg("value").over(w.rowsBetween(-2, 2)), 6), "max5": lambda w: F.max("value").over(w.rowsBetween(-2, 2))}, block=64)
     return x.select("event_id", "mean5", "max5")
 
@@ -505,20 +516,19 @@ def wn_4(t):
 @query("wn_5", """SELECT event_id, round(sum(CAST(value AS DECIMAL(28, 6))) OVER w, 2)::DOUBLE AS total, count(*) OVER w AS n, max(value) OVER w AS top FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def wn_5(t):
-    x = W.running(t.events, ["user_id"], ["ts", "event_id"], day(), total=("sum", F.col("value").cast("decimal(28,6)")), n=("count", F.lit(1)), top=("max", "value"))
+    x = W.running(t.events, ["user_id"], ["ts", "event_id"], slot(), total=("sum", F.col("value").cast("decimal(28,6)")), n=("count", F.lit(1)), top=("max", "value"))
     return x.select("event_id", F.round("total", 2).cast("double").alias("total"), "n", "top")
 
 
 @query("wn_6", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders")
 def wn_6(t):
-    # SQL-text form for keys of bounded size (order lines of one order); large keys use a bucket
     return R.apply_rules(t.orders, [rule("window", function="row_number", partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"],
-                                         bucket="year(o_orderdate)", output_column="nth")]).select("o_orderkey", "nth")
+                                         bucket="date_trunc('month', o_orderdate)", output_column="nth")]).select("o_orderkey", "nth")
 
 
 @query("wn_6_text", "SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS price_rank FROM lineitem")
 def wn_6_text(t):
-    x = R.apply_rules(t.lineitem, [rule("window", name="price_rank", func="rank()", partition_by=["l_orderkey"], order_by=["l_extendedprice DESC"])])
+    x = R.apply_rules(t.lineitem, [rule("window", name="price_rank", func="rank()", partition_by=["l_orderkey"], order_by=["l_extendedprice DESC"], bucket="-floor(l_extendedprice / 10)")])
     return x.select("l_orderkey", "l_linenumber", "l_partkey", F.col("price_rank").cast("long").alias("price_rank"))
 
 
@@ -543,14 +553,14 @@ def wn_8(t):
 
 @query("wn_9", "SELECT event_id, round(median(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING), 6) AS baseline FROM events")
 def wn_9(t):
-    return D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], day(), "value").select("event_id", F.round("baseline", 6).alias("baseline"))
+    return D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], slot(), "value").select("event_id", F.round("baseline", 6).alias("baseline"))
 
 
 @query("wn_10", """
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
 SELECT event_id, CASE WHEN count(*) OVER w >= 5 THEN round(regr_slope(value, i) OVER w, 6) END AS slope FROM p WINDOW w AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def wn_10(t):
-    return D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], day(), "value").select("event_id", F.round("slope", 6).alias("slope"))
+    return D.with_baseline(t.events, ["event_type"], ["ts", "event_id"], slot(), "value").select("event_id", F.round("slope", 6).alias("slope"))
 
 
 @query("wn_11", "SELECT event_id, round(epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6, 3) AS elapsed_s FROM events")
@@ -563,7 +573,7 @@ def wn_11(t):
 WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM events)
 SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS streak FROM g""")
 def wn_12(t):
-    return S.success_streaks(t.events, ["user_id"], ["ts", "event_id"], day(), F.col("event_type") != "error").select("event_id", "streak")
+    return S.success_streaks(t.events, ["user_id"], ["ts", "event_id"], slot(), F.col("event_type") != "error").select("event_id", "streak")
 
 
 # ---- sorting, top-k --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from zonecraft.functions.exprs import epoch, hms, money, ymd
 from zonecraft.operators import drift as D
 from zonecraft.operators import rules as R
 from zonecraft.plans.registry import query
-from zonecraft.plans.relational_plans import day
+from zonecraft.plans.relational_plans import slot
 from zonecraft.streaming import events as E
 from zonecraft.streaming import state as S
 from zonecraft.streaming import windows as W
@@ -31,7 +31,7 @@ def sm_4(t):
 @query("sm_5", """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM g GROUP BY user_id, s""")
 def sm_5(t):
-    x = W.sessions(t.events, ["user_id"], "ts", ["ts", "event_id"], 14400.0, day(), F.count(F.lit(1)).alias("n"))
+    x = W.sessions(t.events, ["user_id"], "ts", ["ts", "event_id"], 14400.0, slot(), F.count(F.lit(1)).alias("n"))
     return x.select("user_id", hms("session_start").alias("session_start"), hms("session_end").alias("session_end"), "n")
 
 
@@ -104,7 +104,7 @@ def sm_12(t):
 @query("sm_13", """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM events),
 s AS (SELECT *, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM g) SELECT event_id, user_id FROM s WHERE event_type <> 'error' AND streak = 3""")
 def sm_13(t):
-    return S.auto_close(t.events, ["user_id"], ["ts", "event_id"], day(), F.col("event_type") != "error").filter("closes").select("event_id", "user_id")
+    return S.auto_close(t.events, ["user_id"], ["ts", "event_id"], slot(), F.col("event_type") != "error").filter("closes").select("event_id", "user_id")
 
 
 STATES = {"signup": ["view", "click"], "view": ["view", "click", "purchase"], "click": ["view", "click", "purchase", "error"], "purchase": ["view", "signup"], "error": ["view", "error"]}
@@ -113,7 +113,7 @@ STATES = {"signup": ["view", "click"], "view": ["view", "click", "purchase"], "c
 @query("sm_14", """WITH l AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
 SELECT event_id, p AS previous_state, CASE WHEN p IS NULL THEN TRUE ELSE """ + " OR ".join(f"(p = '{a}' AND event_type IN (" + ", ".join(f"'{b}'" for b in bs) + "))" for a, bs in STATES.items()) + " END AS is_legal FROM l")
 def sm_14(t):
-    return S.transitions(t.events, ["user_id"], ["ts", "event_id"], day(), "event_type", STATES).select("event_id", "previous_state", "is_legal")
+    return S.transitions(t.events, ["user_id"], ["ts", "event_id"], slot(), "event_type", STATES).select("event_id", "previous_state", "is_legal")
 
 
 @query("sm_15", "SELECT CASE event_type WHEN 'error' THEN 'pipeline.failed' WHEN 'signup' THEN 'pipeline.sla_missed' ELSE 'unhandled' END AS handler, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
@@ -146,7 +146,7 @@ def sm_18(t):
 @query("sm_20", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS short_n, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND CURRENT ROW) AS long_n,
  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) <= 2 AND count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND CURRENT ROW) <= 6 AS allowed FROM events""")
 def sm_20(t):
-    return S.rate_limit(t.events, ["user_id"], "ts", [("short_n", 21600, 2), ("long_n", 172800, 6)]).select("event_id", "short_n", "long_n", "allowed")
+    return S.rate_limit(t.events, ["user_id"], "ts", ["event_id"], [("short_n", 21600, 2), ("long_n", 172800, 6)]).select("event_id", "short_n", "long_n", "allowed")
 
 
 # ---- extension points ------------------------------------------------------------------------

@@ -8,22 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULTS = {
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.ui.enabled": "false",
+}
+
+# runtime settings the operators rely on: skewed join partitions are split even where that costs
+# another exchange, and timestamps without zone read as UTC
+TUNING = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.ui.enabled": "false",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 BROADCAST_LIMIT = 64 << 20
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    for k, v in TUNING.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def get_session(master: str | None = None, app: str = "zonecraft", **conf: str) -> SparkSession:
     """A session with the library defaults; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for k, v in {**DEFAULTS, **TUNING, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 

@@ -60,14 +60,10 @@ def decode_ebcdic(df: DataFrame, layout, source: str = "record", codepage: str =
 
 
 def read_fixed_records(spark: SparkSession, path, record_length: int) -> DataFrame:
-    """Fixed-length binary files, one row per record; the records of a file are cut by JVM
-    array functions."""
-    files = spark.read.format("binaryFile").load(path)
-    n = F.floor(F.length("content") / record_length)
-    idx = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")))
-    return (files.select("path", "content", idx.alias("record_no"))
-            .select("path", "record_no",
-                    F.expr(f"substring(content, cast(record_no * {record_length} + 1 as int), {record_length})").alias("record")))
+    """Fixed-length binary files, one row per record.  The record input format splits large files
+    at record boundaries; it is reachable only through the RDD API."""
+    rdd = spark.sparkContext.binaryRecords(path, record_length)
+    return spark.createDataFrame(rdd.map(lambda b: (bytearray(b),)), "record binary")
 
 
 def read_rdw(spark: SparkSession, path, rdw_length: int = 4) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecraft.functions.exprs import any_of
+from zonecraft.functions.exprs import all_of, any_of
+from zonecraft.operators.drift import trailing_counts
 from zonecraft.operators.window import framed, running, with_position
 
 
@@ -52,7 +53,8 @@ def current_state(df: DataFrame, keys, order, columns) -> DataFrame:
 
 def auto_close_stream(df: DataFrame, key: str, ts: str, ok: str, runs: int = 3) -> DataFrame:
     """Close events of a stream: a key closes at its `runs`-th consecutive success after a failure
-    or start.  State per key is one counter.  Rows of a batch are taken in time order."""
+    or start.  State per key is one counter.  Rows of a micro-batch are taken in time order, so the
+    source's per-trigger limit (files or offsets) bounds what a task holds of one key."""
     def step(k, batches, state):
         import pandas as pd
         n = state.get[0] if state.exists else 0
@@ -71,7 +73,8 @@ def auto_close_stream(df: DataFrame, key: str, ts: str, ok: str, runs: int = 3)
 
 
 def transitions_stream(df: DataFrame, key: str, ts: str, state_col: str, table: dict) -> DataFrame:
-    """Every step with its previous state and legality; state per key is the last state."""
+    """Every step with its previous state and legality; state per key is the last state.  The
+    source's per-trigger limit bounds what a task holds of one key."""
     legal = {(a, b) for a, bs in table.items() for b in bs}
 
     def step(k, batches, state):
@@ -96,11 +99,7 @@ def latest_stream(df: DataFrame, key: str, ts: str, columns) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("_c"), F.count(F.lit(1)).alias("n_events")).select(key, "_c.*", "n_events")
 
 
-def rate_limit(df: DataFrame, keys, ts: str, limits) -> DataFrame:
+def rate_limit(df: DataFrame, keys, ts: str, row_id, limits) -> DataFrame:
     """Requests of the key in each trailing window `(name, seconds, most)` and whether all hold."""
-    from zonecraft.operators.drift import range_counts
-    ok = F.lit(True)
-    for name, seconds, most in limits:
-        df = range_counts(df, keys, ts, seconds, {name: lambda w: F.count(F.lit(1)).over(w)})
-        ok = ok & (F.col(name) <= most)
-    return df.withColumn("allowed", ok)
+    x = trailing_counts(df, keys, ts, row_id, {n: s for n, s, _ in limits}, {"": F.lit(True)})
+    return x.withColumn("allowed", all_of([F.col(n) <= most for n, _, most in limits]))
