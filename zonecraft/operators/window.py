@@ -18,10 +18,24 @@ B = "_zc_bucket"
 OFF = "_zc_offset"
 
 
+KEY = "_zc_key"
+
+
 def _order(cols):
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _keyed(df: DataFrame, keys, bucket: Column) -> DataFrame:
+    """Key and bucket packed into one struct.  Struct equality treats NULL fields as equal, and
+    grouping, window and join on this one column share a single exchange of the rows."""
+    return df.withColumn(KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b")))
+
+
+def _prior_struct(keys):
+    return (Window.partitionBy(*[F.col(f"{KEY}.k{i}") for i in range(len(keys))]).orderBy(F.col(f"{KEY}.b"))
+            .rowsBetween(Window.unboundedPreceding, -1))
+
+
 def _prior(w_keys):
     return Window.partitionBy(*w_keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -29,34 +43,30 @@ def _prior(w_keys):
 def with_position(df: DataFrame, keys, order, bucket: Column, name: str = "position") -> DataFrame:
     """1-based row number per key."""
     keys = list(keys)
-    x = df.withColumn(B, bucket)
-    sizes = x.groupBy(*keys, B).agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select(*keys, B, F.coalesce(F.sum("_n").over(_prior(keys)), F.lit(0)).alias(OFF))
-    local = F.row_number().over(Window.partitionBy(*keys, B).orderBy(*_order(order)))
-    y = null_safe_join(x.withColumn("_rn", local), offs, [*keys, B])
-    return y.withColumn(name, (F.col(OFF) + F.col("_rn")).cast("long")).drop(B, OFF, "_rn")
+    x = _keyed(df, keys, bucket)
+    sizes = x.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select(KEY, F.coalesce(F.sum("_n").over(_prior_struct(keys)), F.lit(0)).alias(OFF))
+    local = F.row_number().over(Window.partitionBy(KEY).orderBy(*_order(order)))
+    y = x.withColumn("_rn", local).join(offs, KEY)
+    return y.withColumn(name, (F.col(OFF) + F.col("_rn")).cast("long")).drop(KEY, OFF, "_rn")
 
 
 def with_ranks(df: DataFrame, keys, order, ties, bucket: Column) -> DataFrame:
     """row_number (total order `order`), rank and dense_rank over the tie columns `ties`."""
     keys, ties = list(keys), list(ties)
-    x = df.withColumn(B, bucket)
-    levels = x.groupBy(*keys, B, *ties).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = levels.groupBy(*keys, B).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
-    offs = sizes.select(
-        *keys, B,
-        F.coalesce(F.sum("_n").over(_prior(keys)), F.lit(0)).alias(OFF),
-        F.coalesce(F.sum("_d").over(_prior(keys)), F.lit(0)).alias("_doff"))
-    w_total = Window.partitionBy(*keys, B).orderBy(*_order(order))
-    w_ties = Window.partitionBy(*keys, B).orderBy(*[c for c in _order(order)[:len(ties)]])
-    y = null_safe_join(
-        x.withColumn("_rn", F.row_number().over(w_total))
-         .withColumn("_rk", F.rank().over(w_ties))
-         .withColumn("_dr", F.dense_rank().over(w_ties)), offs, [*keys, B])
+    x = _keyed(df, keys, bucket)
+    levels = x.groupBy(KEY, *ties).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = levels.groupBy(KEY).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    prior = _prior_struct(keys)
+    offs = sizes.select(KEY, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias(OFF),
+                        F.coalesce(F.sum("_d").over(prior), F.lit(0)).alias("_doff"))
+    w_total = Window.partitionBy(KEY).orderBy(*_order(order))
+    w_ties = Window.partitionBy(KEY).orderBy(*_order(order)[:len(ties)])
+    y = x.withColumns({"_rn": F.row_number().over(w_total), "_rk": F.rank().over(w_ties), "_dr": F.dense_rank().over(w_ties)}).join(offs, KEY)
     return (y.withColumn("row_num", (F.col(OFF) + F.col("_rn")).cast("long"))
              .withColumn("rank", (F.col(OFF) + F.col("_rk")).cast("long"))
              .withColumn("dense_rank", (F.col("_doff") + F.col("_dr")).cast("long"))
-             .drop(B, OFF, "_doff", "_rn", "_rk", "_dr"))
+             .drop(KEY, OFF, "_doff", "_rn", "_rk", "_dr"))
 
 
 _COMBINE = {
@@ -72,17 +82,13 @@ def running(df: DataFrame, keys, order, bucket: Column, **aggs) -> DataFrame:
 
     Each keyword is `out=("sum" | "count" | "min" | "max", column)`."""
     keys = list(keys)
-    x = df.withColumn(B, bucket)
-    per = x.groupBy(*keys, B).agg(*[_COMBINE[f][0](col(c)).alias(f"_p_{n}") for n, (f, c) in aggs.items()])
-    prior = per.select(*keys, B, *[
-        _COMBINE[f][1](f"_p_{n}").over(_prior(keys)).alias(f"_o_{n}") for n, (f, _) in aggs.items()])
-    w = (Window.partitionBy(*keys, B).orderBy(*_order(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    y = null_safe_join(
-        x.withColumns({f"_l_{n}": _COMBINE[f][0](col(c)).over(w) for n, (f, c) in aggs.items()}),
-        prior, [*keys, B])
+    x = _keyed(df, keys, bucket)
+    per = x.groupBy(KEY).agg(*[_COMBINE[f][0](col(c)).alias(f"_p_{n}") for n, (f, c) in aggs.items()])
+    prior = per.select(KEY, *[_COMBINE[f][1](f"_p_{n}").over(_prior_struct(keys)).alias(f"_o_{n}") for n, (f, _) in aggs.items()])
+    w = (Window.partitionBy(KEY).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    y = x.withColumns({f"_l_{n}": _COMBINE[f][0](col(c)).over(w) for n, (f, c) in aggs.items()}).join(prior, KEY)
     y = y.withColumns({n: _COMBINE[f][2](F.col(f"_o_{n}"), F.col(f"_l_{n}")) for n, (f, _) in aggs.items()})
-    return y.drop(B, *[f"_{p}_{n}" for n in aggs for p in "lo"])
+    return y.drop(KEY, *[f"_{p}_{n}" for n in aggs for p in "lo"])
 
 
 def framed(df: DataFrame, keys, order, bucket: Column, preceding: int, following: int, exprs,
