@@ -364,3 +364,11 @@ def cast_declared(df: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
     lost = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c)) for c, t in types.items()]))
     typed = df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
     return typed, df.withColumn("_lost", lost).filter(F.size("_lost") > 0)
+
+
+def counted(df: DataFrame, name: str = "rows"):
+    """(frame, observation): the row count is collected while the frame is consumed, without a
+    job of its own; read it from `observation.get[name]` after the action."""
+    from pyspark.sql import Observation
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias(name)), seen
