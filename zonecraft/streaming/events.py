@@ -53,9 +53,10 @@ def split_malformed(df: DataFrame, schema: str, value: str = "value", handling:
     for c in required:
         reason = reason.when(F.col(f"_r.{c}").isNull(), f"missing {c}")
     x = x.withColumn("_reason", reason)
+    fine = F.col("_reason").isNull()
     if handling == "fail":
-        x = x.withColumn("_r", F.when(F.col("_reason").isNull(), F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("bad record: "), "_reason"))))
-    good = x.filter(F.col("_reason").isNull()).select(*[c for c in df.columns if c != value], "_r.*").drop("_bad")
+        fine = F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("bad record: "), "_reason")).cast("boolean"))
+    good = x.filter(fine).select(*[c for c in df.columns if c != value], "_r.*").drop("_bad")
     if handling != "redirect":
         return good, None
     return good, x.filter(F.col("_reason").isNotNull()).select(*df.columns, F.col("_reason").alias("error"), F.current_timestamp().alias("failed_at"))
