@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecraft.functions.exprs import any_of, case_map, col, epoch, null_safe_join
-from zonecraft.operators.window import framed, running, top_per_group
+from zonecraft.operators.window import framed_arrays, running, top_per_group
 from zonecraft.session import cut_lineage
 
 # Type aliases for schema comparison.
@@ -189,22 +190,34 @@ def healing(diff: DataFrame, scope=("dataset",)) -> DataFrame:
 
 # -- metric series --------------------------------------------------------------------------
 
+def rolling_baseline(v: np.ndarray, history: int = 99, trend: int = 10, min_trend: int = 5):
+    """Median of the previous `history` values and least-squares slope over the last `trend`
+    values (at least `min_trend`), both skipping missing values."""
+    past = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(history, np.nan), v]), history)[:len(v)]
+    full = ~np.isnan(past).any(axis=1)
+    median = np.full(len(v), np.nan)
+    median[full] = np.median(past[full], axis=1) if full.any() else np.nan
+    for i in np.flatnonzero(~full):
+        known = past[i][~np.isnan(past[i])]
+        if len(known):
+            median[i] = np.median(known)
+    y = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(trend - 1, np.nan), v]), trend)
+    ok = ~np.isnan(y)
+    x, y0 = np.where(ok, np.arange(trend, dtype=float), 0.0), np.where(ok, y, 0.0)
+    n = ok.sum(axis=1)
+    d = n * (x * x).sum(axis=1) - x.sum(axis=1) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where((n >= min_trend) & (d > 0), (n * (x * y0).sum(axis=1) - x.sum(axis=1) * y0.sum(axis=1)) / d, np.nan)
+    return median, slope
+
+
 def with_baseline(df: DataFrame, keys, order, bucket: Column, value: str, history: int = 99, trend: int = 10,
                   min_trend: int = 5) -> DataFrame:
-    """Median of the previous `history` samples and the slope over the last `trend` samples."""
-    def median(w):
-        s = F.array_sort(F.collect_list(value).over(w.rowsBetween(-history, -1)))
-        n = F.size(s)
-        mid = F.floor(n / 2).cast("int")
-        return F.when(n == 0, F.lit(None)).when(
-            n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
-
-    def slope(w):
-        f = w.rowsBetween(-(trend - 1), 0)
-        return F.when(F.count(value).over(f) >= min_trend, F.regr_slope(F.col(value), F.col("_zc_at").cast("double")).over(f))
-
-    return framed(df, keys, order, bucket, max(history, trend), 0, {"baseline": median, "slope": slope},
-                  position="_zc_at").drop("_zc_at")
+    """Median of the previous `history` samples and the slope over the last `trend` samples.
+
+    Medians over ordered frames are not built in; they run on numpy arrays in blocks of bounded
+    size.  Columns `baseline` and `slope` are NULL where undefined."""
+    return framed_arrays(df, keys, order, bucket, max(history, trend), value, lambda v: rolling_baseline(v, history, trend, min_trend), ["baseline", "slope"])
 
 
 def threshold_confidence(x: Column, threshold: float) -> Column:

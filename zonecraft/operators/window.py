@@ -9,6 +9,7 @@ of consecutive positions, each with a halo of the neighbouring rows the frame ca
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,14 +92,11 @@ def running(df: DataFrame, keys, order, bucket: Column, **aggs) -> DataFrame:
     return y.drop(KEY, *[f"_{p}_{n}" for n in aggs for p in "lo"])
 
 
-def framed(df: DataFrame, keys, order, bucket: Column, preceding: int, following: int, exprs,
-           block: int | None = None, position: str | None = None) -> DataFrame:
-    """Bounded row frames: `exprs` maps a name to `f(window_spec)`; the spec is ordered and
-    unframed so `exprs` may use lag/lead (within the reach) or `rowsBetween`."""
-    keys = list(keys)
+def _blocks(df: DataFrame, keys, order, bucket, preceding: int, following: int, block: int | None, pos: str) -> DataFrame:
+    """Rows with their position, copied into each block of positions whose frames need them:
+    `_zc_c.blk` is the block, `_zc_c.own` marks the row's own one."""
     reach = max(preceding, following, 1)
     block = max(block or 4096, reach)
-    pos = position or "_zc_pos"
     x = with_position(df, keys, order, bucket, pos)
     i = F.col(pos) - 1
     k = F.floor(i / block)
@@ -107,12 +105,41 @@ def framed(df: DataFrame, keys, order, bucket: Column, preceding: int, following
         F.struct(k.alias("blk"), F.lit(True).alias("own")),
         F.when(m >= block - preceding, F.struct((k + 1).alias("blk"), F.lit(False).alias("own"))),
         F.when((m < following) & (k > 0), F.struct((k - 1).alias("blk"), F.lit(False).alias("own")))))
-    y = x.withColumn("_zc_c", F.explode(copies))
+    return x.withColumn("_zc_c", F.explode(copies))
+
+
+def framed(df: DataFrame, keys, order, bucket: Column, preceding: int, following: int, exprs,
+           block: int | None = None, position: str | None = None) -> DataFrame:
+    """Bounded row frames: `exprs` maps a name to `f(window_spec)`; the spec is ordered and
+    unframed so `exprs` may use lag/lead (within the reach) or `rowsBetween`."""
+    keys, pos = list(keys), position or "_zc_pos"
+    y = _blocks(df, keys, order, bucket, preceding, following, block, pos)
     w = Window.partitionBy(*keys, F.col("_zc_c.blk")).orderBy(pos)
     y = y.withColumns({n: f(w) for n, f in exprs.items()}).filter("_zc_c.own").drop("_zc_c")
     return y if position else y.drop(pos)
 
 
+def framed_arrays(df: DataFrame, keys, order, bucket: Column, preceding: int, value: str, fn, outputs, block: int | None = None) -> DataFrame:
+    """Frames that built-in windows cannot express: `fn(values)` gets the float values of one
+    block with its halo in order and returns one array per name in `outputs`.  A block holds at
+    most `block + preceding` rows."""
+    keys = list(keys)
+    y = _blocks(df, keys, order, bucket, preceding, 0, block, "_zc_pos")
+    y = y.select(*df.columns, F.struct(*keys, F.col("_zc_c.blk")).alias("_zc_g"), "_zc_pos", F.col("_zc_c.own").alias("_zc_own"), F.col(value).cast("double").alias("_zc_v"))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"{n} double" for n in outputs]])
+    names = df.columns
+
+    def step(table):  # Arrow tables keep the types of the columns that are only passed through
+        table = table.sort_by("_zc_pos")
+        got = fn(table["_zc_v"].to_numpy().astype(float))
+        out = table.select(names)
+        for n, a in zip(outputs, got):
+            out = out.append_column(n, pa.array(a, pa.float64(), from_pandas=True))
+        return out.filter(table["_zc_own"])
+
+    return y.groupBy("_zc_g").applyInArrow(step, schema)
+
+
 def with_group_stats(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     """Whole-partition aggregates: partial aggregation plus a join back, so that a large key
     is combined map-side and the join can be split by adaptive execution."""

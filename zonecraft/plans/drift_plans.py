@@ -225,7 +225,7 @@ def _logs(t):
     s = F.col("source")
     tail = (F.when(s == "src0", " java.lang.OutOfMemoryError: heap").when(s == "src1", " AnalysisException: cannot resolve column").when(s == "src2", " connection refused by host")
             .when(s == "src3", " 403 Forbidden").when(s == "src4", " soft_time_limit reached").when(s == "src5", " ValidationError in suite").otherwise(""))
-    return t.documents.select("doc_id", F.concat("text", tail).alias("log"))
+    return t.spread("documents").select("doc_id", F.concat("text", tail).alias("log"))
 
 
 def _case(table, default):

@@ -203,7 +203,7 @@ def md_17(t):
 @query("md_18", """WITH a AS (SELECT *, regexp_split_to_array(lower(concat_ws(' ', text, source, lang)), '[^\\pL0-9]+') AS w, [lang, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END] AS tags FROM documents)
 SELECT doc_id, lang, n_chars FROM a WHERE list_contains(w, 'the') AND list_contains(w, 'on') AND lang = 'en' AND list_has_any(tags, ['long', 'fr']) ORDER BY doc_id DESC LIMIT 50""")
 def md_18(t):
-    a = t.documents.withColumn("tags", F.array("lang", F.when(F.col("n_chars") > 2000, "long").otherwise("short")))
+    a = t.spread("documents").withColumn("tags", F.array("lang", F.when(F.col("n_chars") > 2000, "long").otherwise("short")))
     return M.search(a, ["text", "source", "lang"], "the on", {"lang": "en"}, "tags", ["long", "fr"], [F.desc("doc_id")], 50).select("doc_id", "lang", "n_chars")
 
 

@@ -23,7 +23,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rn <= 20""")
 def rt_2(t):
     c = K.centroids(t.embeddings, "label", "embedding").withColumnRenamed("label", "query_id")
-    return K.vector_scores(t.embeddings, c, "vec_id", "embedding", 20).withColumn("score", F.round("score", 6))
+    return K.vector_scores(t.spread("embeddings"), c, "vec_id", "embedding", 20).withColumn("score", F.round("score", 6))
 
 
 _STOP = "['" + "', '".join(K.STOP_WORDS) + "']"
@@ -43,7 +43,7 @@ sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING
 
 
 def keyword(t, threshold):
-    dc = K.term_counts(t.documents, "doc_id", "text")
+    dc = K.term_counts(t.spread("documents"), "doc_id", "text")
     vocab = K.vocabulary(dc, t.documents)
     qc = K.term_counts(t.benchmark, "item_id", "text")
     return K.keyword_scores(K.tfidf(qc, vocab), K.tfidf(dc, vocab), threshold)
@@ -75,7 +75,7 @@ def incidents(t):
     for c, s in TAILS:
         tail = F.when(F.expr(c), s) if tail is None else tail.when(F.expr(c), s)
     p = F.col("turn") % 4
-    return t.conversations.select("conv_id", "turn", F.concat("text", tail.otherwise("")).alias("text"), F.when(p == 0, "1").when(p == 1, "3").otherwise("4").alias("priority"))
+    return t.spread("conversations").select("conv_id", "turn", F.concat("text", tail.otherwise("")).alias("text"), F.when(p == 0, "1").when(p == 1, "3").otherwise("4").alias("priority"))
 
 
 SCRIPTS = [

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecraft.session import tune
+from zonecraft.session import spread, tune
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row (text, vectors)."""
+        return spread(getattr(self, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -68,3 +68,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     """Hint a broadcast only when the estimate proves it small; otherwise leave the join to
     the shuffle strategies (with adaptive skew splitting)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan with fewer partitions than the cluster has task slots, for operators that
+    spend much time per row; a scan that is already wide is left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
