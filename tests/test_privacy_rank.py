@@ -181,3 +181,9 @@ def test_understanding(spark):
 
 def test_rows_helper(spark):
     assert rows(spark.range(2)) == [(0,), (1,)]
+
+
+def test_stored_index_gives_the_same_weights(spark):
+    docs = spark.createDataFrame([(i, f"disk error {i % 3} node") for i in range(9)], "id int, text string")
+    a, b = (rows(K.keyword_index(docs, "id", "text", 20, keep=k)[1].select("doc_id", "term", F.round("w", 9))) for k in (False, True))
+    assert a == b and len(a) > 9

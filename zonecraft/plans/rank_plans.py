@@ -43,10 +43,8 @@ sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING
 
 
 def keyword(t, threshold):
-    dc = K.term_counts(t.spread("documents"), "doc_id", "text")
-    vocab = K.vocabulary(dc, t.documents)
-    qc = K.term_counts(t.benchmark, "item_id", "text")
-    return K.keyword_scores(K.tfidf(qc, vocab), K.tfidf(dc, vocab), threshold)
+    vocab, weights = K.keyword_index(t.documents, "doc_id", "text")
+    return K.keyword_scores(K.tfidf(K.term_counts(t.benchmark, "item_id", "text"), vocab), weights, threshold)
 
 
 @query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.3")
