@@ -36,7 +36,7 @@ def norm(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else v if os.environ.get("EXACT") else float(f"{v:.9g}")
     if isinstance(v, (datetime.datetime, datetime.date)):
         return v.isoformat()
     if isinstance(v, (list, tuple)):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import any_of, case_map, col, json_valid, match_count
-from zonecraft.functions.hashing import digest, mask_keep_last, short_id
+from zonecraft.functions.hashing import digest, mask_keep_last
 
 # Detection patterns by kind of personal data.
 PATTERNS = {

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import ymd
 from zonecraft.operators import privacy as P
-from zonecraft.plans import catalog as cat
 from zonecraft.plans.registry import query
 
 # RE2 has ASCII word boundaries; (?-u:\\b) style switches are not needed for these patterns

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from zonecraft.functions.exprs import hms
 from zonecraft.operators import quality as Q
 from zonecraft.plans import catalog as cat
 from zonecraft.plans.registry import query

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from zonecraft.functions.exprs import epoch, hms, money, ymd
-from zonecraft.operators import drift as D
+from zonecraft.functions.exprs import hms, money
 from zonecraft.operators import rules as R
 from zonecraft.plans.registry import query
 from zonecraft.plans.relational_plans import slot
