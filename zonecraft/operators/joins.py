@@ -86,15 +86,16 @@ def as_of(facts: DataFrame, versions: DataFrame, keys, ts: str, start: str, end:
     carried forward, then an equi join on (key, start) fetches the version; no fact meets more
     than one version.  `bucket(column)` gives the time bucket of a timestamp column."""
     keys = list(keys)
-    probe = facts.select(*keys, F.col(ts).alias("_t")).distinct().withColumn("_s", F.lit(None).cast(versions.schema[start].dataType))
+    at = facts.withColumns({"_t": F.col(ts), "_s": F.lit(None).cast(versions.schema[start].dataType)})
     marks = versions.select(*keys, F.col(start).alias("_t"), F.col(start).alias("_s"))
-    line = running(probe.unionByName(marks), keys, ["_t", F.asc_nulls_last("_s")], bucket(F.col("_t")), _start=("max", "_s"))
-    at = line.filter(F.col("_s").isNull()).select(*keys, F.col("_t").alias(ts), "_start")
-    v = versions.select(*keys, F.col(start).alias("_start"), *([F.col(end).alias("_end")] if end else []), *columns)
-    hit = null_safe_join(at, v, [*keys, "_start"])
+    line = running(at.unionByName(marks, allowMissingColumns=True), keys, ["_t", F.asc_nulls_last("_s")], bucket(F.col("_t")), _start=("max", "_s"))
+    line = line.filter(F.col("_s").isNull()).drop("_t", "_s")
+    v = versions.select(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col(start).alias("_vs"),
+                        F.col(end).alias("_ve") if end else F.lit(None).alias("_ve"), *columns)
+    same = all_of([line[k].eqNullSafe(v[f"_v{i}"]) for i, k in enumerate(keys)]) & (F.col("_start") == F.col("_vs"))
     if end:
-        hit = hit.filter(F.col("_end").isNull() | (F.col(ts) < F.col("_end"))).drop("_end")
-    return null_safe_join(facts, hit.withColumnRenamed("_start", start), [*keys, ts], "left")
+        same = same & (F.col("_ve").isNull() | (F.col(ts) < F.col("_ve")))
+    return line.join(v, same, "left").select(*facts.columns, F.col("_vs").alias(start), *columns)
 
 
 def cross_reference(df: DataFrame, xref: DataFrame, key: str, source_key: str, master: str, name: str = "master_id") -> DataFrame:
