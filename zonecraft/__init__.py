@@ -1 +1,8 @@
 """zonecraft: DataFrame operators for metadata-driven, layered data platforms."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with the job, so executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
