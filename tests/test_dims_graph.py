@@ -107,3 +107,56 @@ def test_levels_and_traversal(spark):
 
 def test_levels_of_a_cycle_are_zero(spark):
     assert {x.node: x.level for x in G.levels(edges(spark, {(1, 2), (2, 1), (3, 4)})).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_change_detection_tells_null_empty_and_separators_apart(spark):
+    from zonecraft.operators import dims, vault
+    schema = "k int, a string, b string"
+    old = [(1, None, "x"), (2, "a|b", "c"), (3, "same", None), (4, "q", "r")]
+    new = [(1, "", "x"), (2, "a", "b|c"), (3, "same", None), (4, "q", "r2")]
+    e, i = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    assert {r.k: r.change for r in dims.change_labels(i, e, ["k"], ["a", "b"]).collect()} == {1: "changed", 2: "changed", 3: "unchanged", 4: "changed"}
+    first = dims.scd2_first(e, ["k"], "2024-01-01")
+    out = dims.versioned(i, first, ["k"], ["a", "b"], "2024-02-01", sk="sk").collect()
+    assert sorted((r.k, r.is_current) for r in out) == [(1, False), (1, True), (2, False), (2, True), (3, True), (4, False), (4, True)]
+    sat = spark.createDataFrame([(str(k), a, b, None, None, "s") for k, a, b in old], "hub_hash_key string, a string, b string, load_date timestamp, load_end_date timestamp, record_source string")
+    from zonecraft.functions.hashing import hash_diff
+    sat = sat.withColumn("hash_diff", hash_diff(["a", "b"]))
+    inc = i.select(F.col("k").cast("string").alias("hub_hash_key"), "a", "b")
+    assert sorted(r.hub_hash_key for r in vault.satellite_inserts(inc, sat, ["a", "b"], "2024-02-01", "s").collect()) == ["1", "2", "4"]
+
+
+def test_hub_rows_and_level_ids_are_of_real_rows(spark):
+    from zonecraft.operators import dims, vault
+    rows = spark.createDataFrame([("A", "b"), ("a", "B")], "x string, y string")
+    hub = vault.hub(rows, None, ["x", "y"], "s").collect()
+    assert [(r.x, r.y) for r in hub] == [("A", "b")]
+    assert [(r.x, r.y) for r in vault.link(rows, None, ["x", "y"], "s").collect()] == [("A", "b")]
+    dim = spark.createDataFrame([(1, "X", None), (2, None, "X"), (3, "X", ""), (4, "a||b", "c"), (5, "a", "b||c")], "k int, c string, d string")
+    out = dims.normalise(dim, "k", [("city", ["c"]), ("state", ["d"])])
+    assert out["dimension"].select("city_id").distinct().count() == 5
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    chain = edges(spark, {(i, i + 1) for i in range(14)})
+    start = spark.createDataFrame([(0,)], "n long")
+    assert G.impact(chain, start).count() == 14 and G.traverse(chain, start).count() == 14 and G.impact(chain, start, 3).count() == 3
+    assert G.impact(edges(spark, {(1, 2), (2, 1)}), spark.createDataFrame([(1,)], "n long")).count() == 1
+
+
+def test_as_of_ignores_versions_without_start(spark):
+    from zonecraft.operators import joins
+    facts = spark.createDataFrame([(1, 5), (1, 15)], "k int, t int")
+    versions = spark.createDataFrame([(1, 10, "b"), (1, None, "n"), (1, 0, "a"), (2, None, "z")], "k int, s int, v string")
+    out = joins.as_of(facts, versions, ["k"], "t", "s", None, ["v"], lambda c: F.floor(c / 10))
+    assert sorted((r.k, r.t, r.v) for r in out.collect()) == [(1, 5, "a"), (1, 15, "b")]
+
+
+def test_joined_columns_keep_their_order_and_means_skip_missing_values(spark):
+    from zonecraft.operators import aggregate, drift, joins
+    base = spark.createDataFrame([(1, "x")], "id int, p string")
+    dep = {"table": spark.createDataFrame([(1, 7, 8, 9)], "id int, c1 int, c2 int, c3 int"), "keys": [("id", "id")], "select": ["c3", "c1", "c2"]}
+    assert joins.multi_join(base, [dep]).columns == ["id", "p", "c3", "c1", "c2"]
+    one = spark.createDataFrame([(10.0, 1.0), (None, 9.0)], "v double, w double").agg(aggregate.weighted_mean("v", "w").alias("m")).first()
+    assert one.m == 10.0
+    assert spark.range(1).select(drift.normal_type(F.lit("STR")).alias("t")).first().t == "string"

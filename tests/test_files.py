@@ -21,9 +21,9 @@ def write(path, text, mode="w"):
 
 def test_csv_headers_footers_and_quotes(spark, tmp_path):
     p = write(tmp_path / "a.csv", 'id,name\nsecond header,x\n1,"O\'Brien, ""Jr"""\n2,"two\nlines"\n3,  pad  \nTOTAL,3\n')
-    got = rows(files.read_csv(spark, p, header_rows=2, footer_rows=1))
+    got = rows(files.read_csv(spark, p, header_rows=2, footer_rows=1, multiline=True))
     assert got == [("1", 'O\'Brien, "Jr"'), ("2", "two\nlines"), ("3", "pad")]
-    assert len(rows(files.read_csv(spark, p, header_rows=0))) == 6
+    assert len(rows(files.read_csv(spark, p, header_rows=0, multiline=True))) == 6
 
 
 def test_skip_rows_keeps_duplicates(spark, tmp_path):
@@ -31,6 +31,32 @@ def test_skip_rows_keeps_duplicates(spark, tmp_path):
     assert [r[0] for r in rows(files.skip_rows(files.read_lines(spark, p), 1, 1))] == ["x", "x", "x"]
 
 
+@pytest.mark.parametrize("split", [1 << 30, 60])
+def test_header_and_footer_rows_of_every_file(spark, tmp_path, split):
+    want = []
+    for f, n in enumerate((3, 40, 0)):
+        write(tmp_path / f"part{f}.csv", "id,name\nmeta,meta\n" + "".join(f"{f}-{i},n{i}\n" for i in range(n)) + f"END,{n}\n")
+        want += [f"{f}-{i}" for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = files.read_csv(spark, str(tmp_path), header_rows=2, footer_rows=1).select("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.id for r in got) == sorted(want)
+
+
+def test_extract_takes_all_rows_unless_told(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") > 1, F.col("id")).alias("w"))
+    assert extract.extract_batch(df, "w").count() == 10
+    assert extract.extract_batch(df, "w", 4).count() == 5
+    assert sorted(r.id for r in extract.extract_batch(df, "w", batch_size=3).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_changes_without_operation_stay(spark):
+    log = spark.createDataFrame([(1, 1, None), (2, 1, "DELETE"), (3, 1, "INSERT"), (3, 2, "DELETE"), (4, 1, "DELETE"), (4, 2, None)], "k int, t int, op string")
+    assert sorted(r.k for r in sinks.apply_changes(log, ["k"], ["t"], "op").collect()) == [1, 4]
+
+
 def test_other_formats(spark, tmp_path):
     assert rows(files.read_tsv(spark, write(tmp_path / "a.tsv", "a\tb\n1\t2\n"))) == [("1", "2")]
     assert rows(files.read_json(spark, write(tmp_path / "a.json", json.dumps([{"a": 1}, {"a": 2}])))) == [(1,), (2,)]
@@ -54,9 +80,9 @@ def test_detect_schema(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name,hint,want", [
-    ("sales_daily_20260207.csv", None, "2026-02-07"), ("x/CUST_EXTRACT_2026-02-07.dat", None, "2026-02-07"),
-    ("txn_02072026_final.csv", "MMDDYYYY", "2026-02-07"), ("txn_25122026.csv", None, "2026-12-25"), ("report_no_date.csv", None, None),
-    ("r_20260230.csv", None, None), ("a_12-31-2025.csv", None, "2025-12-31")])
+    ("till_20250316_b.csv", None, "2025-03-16"), ("in/members 2025-03-16.dat", None, "2025-03-16"),
+    ("m03162025.csv", "MMDDYYYY", "2025-03-16"), ("d31012025.csv", None, "2025-01-31"), ("undated.csv", None, None),
+    ("feb20250230.csv", None, None), ("z_11-30-2024.csv", None, "2024-11-30")])
 def test_reporting_date(spark, name, hint, want):
     got = spark.range(1).select(files.reporting_date(F.lit(name), hint)).first()[0]
     assert got == (datetime.date.fromisoformat(want) if want else None)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import col
 
-RECIPES = ("job", "registry", "vault")
+RECIPES = ("job", "registry", "vault", "place")
 
 
 def hash_key(cols, recipe: str = "vault") -> Column:
     """Hash of several columns.
 
     job: md5 over `||`-joined values; registry: md5 over `|`-joined trimmed upper-case values;
-    vault: sha-256 like registry, with NULL as empty so that positions never shift."""
+    vault: sha-256 like registry, with NULL as empty so that positions never shift; place: like job,
+    but NULL keeps its place and separators inside values are escaped, so different rows differ."""
     text = [col(c).cast("string") for c in cols]
     if recipe == "job":
         return F.md5(F.concat_ws("||", *text))
@@ -22,6 +23,9 @@ def hash_key(cols, recipe: str = "vault") -> Column:
         return F.md5(F.concat_ws("|", *[F.upper(F.trim(c)) for c in text]))
     if recipe == "vault":
         return F.sha2(F.concat_ws("|", *[F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in text]), 256)
+    if recipe == "place":
+        escaped = [F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in text]
+        return F.md5(F.concat_ws("||", *[F.coalesce(c, F.lit("\\N")) for c in escaped]))
     raise ValueError(f"unknown recipe {recipe}")
 
 

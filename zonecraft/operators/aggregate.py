@@ -41,7 +41,8 @@ def reaggregate(base: DataFrame, by, additive, non_additive=()) -> DataFrame:
 
 
 def weighted_mean(value: str, weight: str) -> Column:
-    w = F.sum(weight)
+    """Mean of the rows that have a value and a weight."""
+    w = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
     return F.sum(F.col(value) * F.col(weight)) / F.when(w != 0, w)
 
 

@@ -40,6 +40,11 @@ def _full(existing: DataFrame, incoming: DataFrame, keys) -> DataFrame:
 HAS_E, HAS_I = "_e IS NOT NULL", "_i IS NOT NULL"
 
 
+def _same(tracked) -> Column:
+    """Whether the tracked columns of both sides agree, NULL being a value like any other."""
+    return all_of([F.col(f"_e.{c}").eqNullSafe(F.col(f"_i.{c}")) for c in tracked])
+
+
 def _assign(df: DataFrame, existing: DataFrame, keys, sk: str, mode: str, salt: Column | None = None) -> DataFrame:
     """Fill missing surrogate keys: `dense` continues after the largest key, `hash` derives a
     64-bit key without any further pass over the data."""
@@ -89,7 +94,7 @@ def versioned(incoming: DataFrame, existing: DataFrame, keys, tracked, as_of, *,
     is_open = F.col(end).isNull() if open_end is None else F.col(end) == F.lit(open_end).cast(fields[end])
     live = F.col(current) if current else is_open
     j = _full(existing.filter(live), incoming, keys)
-    same = hash_diff([f"_e.{c}" for c in tracked]).eqNullSafe(hash_diff([f"_i.{c}" for c in tracked]))
+    same = _same(tracked)
     has_e, has_i = F.expr(HAS_E), F.expr(HAS_I)
     change = has_e & has_i & (~same if only_changed else F.lit(True))
     stamp = stamp or {}
@@ -134,7 +139,7 @@ def scd3(incoming: DataFrame, existing: DataFrame, keys, attributes, sk: str = "
 def change_labels(incoming: DataFrame, existing: DataFrame, keys, tracked) -> DataFrame:
     """new | changed | unchanged | absent per key."""
     j = _full(existing, incoming, keys)
-    same = hash_diff([f"_e.{c}" for c in tracked]).eqNullSafe(hash_diff([f"_i.{c}" for c in tracked]))
+    same = _same(tracked)
     label = (F.when(F.expr("_e IS NULL"), "new").when(F.expr("_i IS NULL"), "absent").when(same, "unchanged").otherwise("changed"))
     return j.select(*[F.coalesce(f"_e.{k}", f"_i.{k}").alias(k) for k in keys], label.alias("change"))
 
@@ -269,7 +274,7 @@ def normalise(dim: DataFrame, key: str, levels) -> dict:
     if len(levels) > 3:
         raise ValueError("at most three levels")
     out, moved = {}, {c for _, cols in levels for c in cols}
-    ids = [hash_key([c for _, cols in levels[i:] for c in cols], "job") for i in range(len(levels))]
+    ids = [hash_key([c for _, cols in levels[i:] for c in cols], "place") for i in range(len(levels))]
     out["dimension"] = dim.select(*[c for c in dim.columns if c not in moved], ids[0].alias(f"{levels[0][0]}_id"))
     for i, (name, cols) in enumerate(levels):
         up = [ids[i + 1].alias(f"{levels[i + 1][0]}_id")] if i + 1 < len(levels) else []

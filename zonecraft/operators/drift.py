@@ -15,7 +15,7 @@ from zonecraft.session import cut_lineage
 TYPE_ALIASES = {
     "int": "integer", "int4": "integer", "int8": "long", "bigint": "long", "smallint": "short", "tinyint": "byte",
     "float": "double", "float4": "float", "float8": "double", "numeric": "decimal", "number": "decimal",
-    "varchar": "string", "text": "string", "char": "string", "bool": "boolean",
+    "str": "string", "varchar": "string", "text": "string", "char": "string", "bool": "boolean",
     "datetime": "timestamp", "datetime2": "timestamp",
 }
 

@@ -5,6 +5,8 @@ so that plans stay short and survive lost executors."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(start, node, depth): every node reached from each start within `max_depth` steps at its
-    least depth.  `starts` has one column."""
+def traverse(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth): every node reached from each start, or within `max_depth` steps if given,
+    at its least depth.  `starts` has one column."""
     edges = cut_lineage(edges)
     front = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start"))
     seen, out = front, None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
         front = cut_lineage(null_safe_join(step, seen, ["start", "node"], "left_anti"))
         if front.isEmpty():
@@ -39,21 +41,21 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFr
     return out if out is not None else front.withColumn("depth", F.lit(0)).limit(0)
 
 
-def upstream(edges: DataFrame, entities: DataFrame, max_depth: int = 10) -> DataFrame:
+def upstream(edges: DataFrame, entities: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Sources an entity derives from (edges point from source to target)."""
     return traverse(reverse(edges), entities, max_depth)
 
 
-def downstream(edges: DataFrame, entities: DataFrame, max_depth: int = 10) -> DataFrame:
+def downstream(edges: DataFrame, entities: DataFrame, max_depth: int | None = None) -> DataFrame:
     return traverse(edges, entities, max_depth)
 
 
-def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 10) -> DataFrame:
+def impact(edges: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Affected nodes and their least distance from any changed node; linear in the graph."""
     edges = cut_lineage(edges)
     front = changed.select(F.col(changed.columns[0]).alias("node")).distinct()
     seen, out = front, None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = cut_lineage(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
@@ -78,13 +80,13 @@ def named_edges(edges: DataFrame, nodes: DataFrame, key: str, columns) -> DataFr
     return edges.join(s, "src").join(d, "dst")
 
 
-def levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without outgoing edges, otherwise one more than the highest target;
     nodes on or above a cycle get level 0."""
     left = cut_lineage(edges.select("src", "dst").distinct())
     nodes = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
     rest, out, level = nodes, None, 0
-    while level < max_rounds:
+    while True:
         blocked = left.select(F.col("src").alias("node")).distinct()
         done = cut_lineage(rest.join(blocked, "node", "left_anti"))
         if done.isEmpty():

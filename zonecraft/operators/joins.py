@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import all_of, null_safe_join
 from zonecraft.operators.window import running
-from zonecraft.session import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes
+from zonecraft.session import broadcast_if_small
 
 
 def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner", select=None, null_safe: bool = False,
@@ -16,9 +16,7 @@ def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner", select=
     """Join on `(left column, right column)` pairs; equal names are merged."""
     how = {"full": "full_outer", "left_outer": "left", "right_outer": "right"}.get(how, how)
     if how == "cross":
-        if estimated_bytes(right) > BROADCAST_LIMIT // 64:
-            raise ValueError("a product needs a small right side")
-        return left.crossJoin(F.broadcast(right))
+        return left.crossJoin(broadcast_if_small(right))
     r = right
     for a, b in keys:
         r = r.withColumnRenamed(b, f"_r_{b}")
@@ -41,7 +39,7 @@ def multi_join(base: DataFrame, dependencies) -> DataFrame:
     for d in sorted(dependencies, key=lambda d: d.get("join_order", 0)):
         right = d["table"]
         if d.get("select"):
-            right = right.select(*{*d["select"], *[k[1] for k in d["keys"]]})
+            right = right.select(*dict.fromkeys([*[k[1] for k in d["keys"]], *d["select"]]))
         base = join_on(base, right, d["keys"], d.get("join_type", "left"), null_safe=d.get("null_safe", False), broadcast=d.get("broadcast", False))
     return base
 
@@ -86,10 +84,11 @@ def as_of(facts: DataFrame, versions: DataFrame, keys, ts: str, start: str, end:
     carried forward, then an equi join on (key, start) fetches the version; no fact meets more
     than one version.  `bucket(column)` gives the time bucket of a timestamp column."""
     keys = list(keys)
-    at = facts.withColumns({"_t": F.col(ts), "_s": F.lit(None).cast(versions.schema[start].dataType)})
-    marks = versions.select(*keys, F.col(start).alias("_t"), F.col(start).alias("_s"))
+    at = facts.withColumns({"_t": F.col(ts), "_s": F.lit(None).cast(versions.schema[start].dataType), "_fact": F.lit(True)})
+    # a version without start holds for no time
+    marks = versions.filter(F.col(start).isNotNull()).select(*keys, F.col(start).alias("_t"), F.col(start).alias("_s"), F.lit(False).alias("_fact"))
     line = running(at.unionByName(marks, allowMissingColumns=True), keys, ["_t", F.asc_nulls_last("_s")], bucket(F.col("_t")), _start=("max", "_s"))
-    line = line.filter(F.col("_s").isNull()).drop("_t", "_s")
+    line = line.filter("_fact").drop("_t", "_s", "_fact")
     v = versions.select(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col(start).alias("_vs"),
                         F.col(end).alias("_ve") if end else F.lit(None).alias("_ve"), *columns)
     same = all_of([line[k].eqNullSafe(v[f"_v{i}"]) for i, k in enumerate(keys)]) & (F.col("_start") == F.col("_vs"))

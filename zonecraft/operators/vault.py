@@ -17,7 +17,7 @@ HK = "hub_hash_key"
 def hub(source: DataFrame, existing: DataFrame | None, keys, record_source: str, load_date: str | None = None, recipe: str = "vault") -> DataFrame:
     """New hub rows.  Keys are made distinct before hashing and matched against known keys."""
     h = source.select(*keys).distinct().select(hash_key(keys, recipe).alias(HK), *keys)
-    h = h.groupBy(HK).agg(*[F.min(k).alias(k) for k in keys])  # spellings of one normalised key
+    h = h.groupBy(HK).agg(F.min(F.struct(*keys)).alias("_k")).select(HK, "_k.*")  # one of the spellings of a normalised key
     if existing is not None:
         h = h.join(existing.select(HK), HK, "left_anti")
     when = F.lit(load_date).cast("timestamp") if load_date else F.current_timestamp()
@@ -33,7 +33,8 @@ def link(source: DataFrame, existing: DataFrame | None, keys, record_source: str
     """Distinct relationships with one hash per hub and one for the link."""
     x = source.select(*keys).distinct()
     x = x.select(hash_key(keys).alias("link_hash_key"), *[hash_key([k]).alias(f"hub_{i}_hash_key") for i, k in enumerate(keys)], *keys)
-    x = x.dropDuplicates(["link_hash_key"])
+    rest = [c for c in x.columns if c != "link_hash_key"]
+    x = x.groupBy("link_hash_key").agg(F.min(F.struct(*keys, *[c for c in rest if c not in keys])).alias("_r")).select("link_hash_key", *[F.col(f"_r.{c}").alias(c) for c in rest])
     if existing is not None:
         x = x.join(existing.select("link_hash_key"), "link_hash_key", "left_anti")
     when = F.lit(load_date).cast("timestamp") if load_date else F.current_timestamp()
@@ -43,15 +44,15 @@ def link(source: DataFrame, existing: DataFrame | None, keys, record_source: str
 def satellite(incoming: DataFrame, existing: DataFrame, columns, load_date: str, record_source: str, key: str = HK) -> DataFrame:
     """Satellite after a load: changed open rows closed, new versions added."""
     inc = incoming.select(key, *columns).distinct().withColumn("hash_diff", hash_diff(columns))
-    return versioned(inc, existing, [key], ["hash_diff"], load_date, start="load_date", end="load_end_date", current=None,
+    return versioned(inc, existing, [key], list(columns), load_date, start="load_date", end="load_end_date", current=None,
                      stamp={"record_source": record_source})
 
 
 def satellite_inserts(incoming: DataFrame, existing: DataFrame, columns, load_date: str, record_source: str, key: str = HK) -> DataFrame:
-    """Insert-only form: rows whose (key, hash) is not among the open rows."""
+    """Insert-only form: rows whose key and columns are not among the open rows."""
     inc = incoming.select(key, *columns).distinct().withColumn("hash_diff", hash_diff(columns))
-    known = existing.filter(F.col("load_end_date").isNull()).select(key, "hash_diff")
-    return null_safe_join(inc, known, [key, "hash_diff"], "left_anti").withColumns({
+    known = existing.filter(F.col("load_end_date").isNull()).select(key, *columns)
+    return null_safe_join(inc, known, [key, *columns], "left_anti").withColumns({
         "load_date": F.lit(load_date).cast("timestamp"), "load_end_date": F.lit(None).cast("timestamp"), "record_source": F.lit(record_source)})
 
 

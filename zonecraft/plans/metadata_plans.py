@@ -170,11 +170,11 @@ def md_14(t):
 
 
 @query("md_15", """SELECT p_partkey AS product_id, p_name, p_brand, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'A') AS active_subscribers, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'N') AS pending_requests
-FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE p_size > 10 GROUP BY 1, 2, 3""")
+FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2, 3""")
 def md_15(t):
     f = F.col("l_returnflag")
     sub = t.lineitem.select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("subscription_id"), F.when(f == "A", "APPROVED").when(f == "N", "PENDING").otherwise("REJECTED").alias("sub_status"))
-    return M.product_catalog(t.part.filter("p_size > 10").select(F.col("p_partkey").alias("product_id"), "p_name", "p_brand"), sub)
+    return M.product_catalog(t.part.select(F.col("p_partkey").alias("product_id"), "p_name", "p_brand"), sub)
 
 
 @query("md_16", """WITH j AS (SELECT c_custkey AS job_id, TIMESTAMP '2001-01-01' AS s, CASE WHEN c_acctbal < 0 THEN NULL ELSE TIMESTAMP '2001-01-01' + to_seconds(CAST(floor(c_acctbal) AS BIGINT)) END AS e FROM customer),
@@ -193,9 +193,9 @@ def md_16(t):
     return x.select("job_id", "object_count", "artifact_count", "edge_count", F.round("avg_confidence", 8).alias("avg_confidence"), "duration_seconds")
 
 
-@query("md_17", f"WITH {cat.COLUMNS_SQL.strip()[5:]} SELECT p_partkey, p_name, n.column_name, n.data_type AS new_type, n.nullable FROM cols_new n JOIN part ON p_brand = n.dataset WHERE p_size > 45")
+@query("md_17", f"WITH {cat.COLUMNS_SQL.strip()[5:]} SELECT p_partkey, p_name, n.column_name, n.data_type AS new_type, n.nullable FROM cols_new n JOIN part ON p_brand = n.dataset")
 def md_17(t):
-    return J.join_on(t.part.filter("p_size > 45").select("p_partkey", "p_name", "p_brand"), cat.columns_new(t), [("p_brand", "dataset")]).select(
+    return J.join_on(t.part.select("p_partkey", "p_name", "p_brand"), cat.columns_new(t), [("p_brand", "dataset")]).select(
         "p_partkey", "p_name", "column_name", F.col("data_type").alias("new_type"), "nullable")
 
 
@@ -383,7 +383,7 @@ def gr_2(t):
     return G.downstream(doc_edges(t), t.documents.filter("lang = 'fr'").select("doc_id"), 4)
 
 
-@query("gr_3", f"""WITH RECURSIVE {EDGES}, s AS (SELECT doc_id AS node FROM documents WHERE lang = 'de'), r AS (SELECT node, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 10)
+@query("gr_3", f"""WITH RECURSIVE {EDGES}, s AS (SELECT doc_id AS node FROM documents WHERE lang = 'de'), r AS (SELECT node, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node NOT IN (SELECT node FROM s) GROUP BY 1""")
 def gr_3(t):
     return G.impact(doc_edges(t), t.documents.filter("lang = 'de'").select("doc_id"))

@@ -36,20 +36,20 @@ def _grams(table, key):
 
 TFIDF_SQL = f"""dt AS (SELECT doc_id, term, count(*) AS tf FROM {_grams('documents', 'doc_id')} GROUP BY 1, 2),
 qt AS (SELECT doc_id AS query_id, term, count(*) AS tf FROM {_grams('benchmark', 'item_id')} GROUP BY 1, 2),
-v AS (SELECT term, sum(tf) AS tot, count(*) AS df FROM dt GROUP BY 1 ORDER BY tot DESC, term LIMIT 10000), i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM v),
+v AS (SELECT term, sum(tf) AS tot, count(*) AS df FROM dt GROUP BY 1), i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM v),
 dw0 AS (SELECT doc_id, term, tf * idf AS w FROM dt JOIN i USING (term)), dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0),
 qw0 AS (SELECT query_id, term, tf * idf AS w FROM qt JOIN i USING (term)), qw AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM qw0),
 sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (term) GROUP BY 1, 2)"""
 
 
 def keyword(t, threshold):
-    vocab, weights = K.keyword_index(t.documents, "doc_id", "text")
+    vocab, weights = K.keyword_index(t.spread("documents"), "doc_id", "text", keep=True)
     return K.keyword_scores(K.tfidf(K.term_counts(t.benchmark, "item_id", "text"), vocab), weights, threshold)
 
 
-@query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.3")
+@query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.1")
 def rt_3(t):
-    return keyword(t, 0.3).withColumn("score", F.round("score", 6))
+    return keyword(t, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query("rt_4", """
@@ -287,7 +287,7 @@ def _boost_sql():
         bonus = 0.5 if "start" in s["id"] else -0.3 if "stop" in s["id"] or "scale" in s["id"] else 0.0
         rows.append(f"SELECT conv_id, turn, '{s['id']}' AS script_id, least(1.0, round(CASE WHEN contains('{s['service']}', cls) OR contains('{s['category']}', cls) OR contains('{s['id']}', cls) THEN 0.4 ELSE 0.0 END"
                     f" + CASE WHEN contains(lower(text), 'terminated') OR contains(lower(text), 'stopped') THEN {bonus} ELSE 0.0 END + 0.2 * {_contains('lower(text)', s['keywords'])} + {ep}"
-                    f" + CASE WHEN len(list_filter((list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))[1:10], lambda x: contains('{s['description']}', x))) > 0 THEN 0.1 ELSE 0.0 END, 6))::DOUBLE AS score FROM c")
+                    f" + CASE WHEN len(list_filter((list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')), lambda x: contains('{s['description']}', x))) > 0 THEN 0.1 ELSE 0.0 END, 6))::DOUBLE AS score FROM c")
     return " UNION ALL ".join(rows)
 
 

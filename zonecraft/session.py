@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # runtime settings the operators rely on: skewed join partitions are split even where that costs
@@ -53,7 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
-    return _private_dir.setdefault(app, tempfile.mkdtemp(prefix="zonecraft-"))
+    if app not in _private_dir:
+        _private_dir[app] = tempfile.mkdtemp(prefix="zonecraft-")
+    return _private_dir[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

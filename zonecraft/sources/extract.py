@@ -33,14 +33,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **kw) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **kw)).load()
 
 
-def extract_batch(df: DataFrame, watermark: str, last=None, batch_size: int = 100_000) -> DataFrame:
-    """Rows after the last watermark, oldest first, about `batch_size` of them.
+def extract_batch(df: DataFrame, watermark: str, last=None, batch_size: int | None = None) -> DataFrame:
+    """Rows after the last watermark: all, or with `batch_size` about that many of the oldest.
 
     Rows tied with the last one of the batch are included, so that the next pull, which asks
-    for greater values, misses none.  The cut is a top-n scalar, not a global sort."""
+    for greater values, misses none.  The cut is a top-n scalar, not a global sort.  Rows without
+    watermark have no place in the order; the first pull (no `last`) takes them."""
     x = df if last is None else df.filter(F.col(watermark) > F.lit(last).cast(df.schema[watermark].dataType))
-    cut = x.select(watermark).orderBy(watermark).limit(batch_size).agg(F.max(watermark)).scalar()
-    return x.filter(F.col(watermark) <= cut)
+    if batch_size is None:
+        return x
+    cut = x.select(watermark).filter(F.col(watermark).isNotNull()).orderBy(watermark).limit(batch_size).agg(F.max(watermark)).scalar()
+    return x.filter((F.col(watermark) <= cut) | F.lit(last is None) & F.col(watermark).isNull())
 
 
 def change_rows(df: DataFrame, change_col: str, op_col: str, last=None, ops=None) -> DataFrame:
@@ -49,7 +52,7 @@ def change_rows(df: DataFrame, change_col: str, op_col: str, last=None, ops=None
     return x.filter(F.col(op_col).isin(*ops)) if ops else x
 
 
-def load(df: DataFrame, mode: str, *, watermark: str | None = None, last=None, batch_size: int = 100_000,
+def load(df: DataFrame, mode: str, *, watermark: str | None = None, last=None, batch_size: int | None = None,
          op_col: str | None = None, ops=None) -> DataFrame:
     """Rows to extract for a load mode: full | snapshot | incremental | cdc."""
     if mode in ("full", "snapshot"):

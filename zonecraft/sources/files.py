@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import all_of
+from zonecraft.operators.window import top_per_group
 
 
 def read_csv(spark: SparkSession, path, delimiter: str = ",", header_rows: int = 1,
-             encoding: str = "UTF-8", footer_rows: int = 0, multiline: bool = True,
+             encoding: str = "UTF-8", footer_rows: int = 0, multiline: bool = False,
              schema=None) -> DataFrame:
-    """Quoted CSV.  One header row is taken by the reader; further ones are skipped as data.
-    Multi-line parsing makes a file unsplittable; switch it off for large flat files."""
+    """Quoted CSV.  One header row of each file is taken by the reader; further ones are skipped as data.
+    Values with line breaks need `multiline`, which makes a file one task."""
     r = (spark.read.option("header", header_rows > 0).option("sep", delimiter)
          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
          .option("encoding", encoding).option("ignoreLeadingWhiteSpace", True)
@@ -26,7 +27,7 @@ def read_tsv(spark: SparkSession, path, header: bool = True) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", header).csv(path)
 
 
-def read_json(spark: SparkSession, path, multiline: bool = True, schema=None) -> DataFrame:
+def read_json(spark: SparkSession, path, multiline: bool = False, schema=None) -> DataFrame:
     r = spark.read.option("multiLine", multiline)
     return (r.schema(schema) if schema is not None else r).json(path)
 
@@ -52,9 +53,9 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "raw_line")
 
 
-def read_api_staged(spark: SparkSession, path, record_path: str | None = None) -> DataFrame:
-    """Staged API responses; `record_path` names the array of records in each page."""
-    pages = read_json(spark, path)
+def read_api_staged(spark: SparkSession, path, record_path: str | None = None, multiline: bool = True) -> DataFrame:
+    """Staged API responses, a document per file; `record_path` names the array of records in each page."""
+    pages = read_json(spark, path, multiline)
     if not record_path:
         return pages
     return pages.select(F.explode(F.col(record_path)).alias("r")).select("r.*")
@@ -97,18 +98,19 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def skip_rows(df: DataFrame, head: int = 0, foot: int = 0) -> DataFrame:
-    """Drop the first `head` and last `foot` rows of a file scan, in file order.
+    """Drop the first `head` and last `foot` rows of every file of a scan.
 
-    The boundary rows are found with two top-n selections; nothing is renumbered globally."""
+    Rows of a file are ordered by the block they were read from and their place in it.  The rows to
+    drop are a top-n per file, cut before the shuffle; nothing is renumbered."""
     if not head and not foot:
         return df
-    x = df.withColumn("_zc_id", F.monotonically_increasing_id())
+    x = df.withColumns({"_zc_file": F.col("_metadata.file_path"), "_zc_block": F.col("_metadata.file_block_start"), "_zc_id": F.monotonically_increasing_id()})
     cut = None
-    for n, order in ((head, F.asc("_zc_id")), (foot, F.desc("_zc_id"))):
+    for n, order in ((head, ["_zc_block", "_zc_id"]), (foot, [F.desc("_zc_block"), F.desc("_zc_id")])):
         if n:
-            part = x.select("_zc_id").orderBy(order).limit(n)
+            part = top_per_group(x.select("_zc_file", "_zc_block", "_zc_id"), ["_zc_file"], order, n).select("_zc_id")
             cut = part if cut is None else cut.union(part)
-    return x.join(F.broadcast(cut), "_zc_id", "left_anti").drop("_zc_id")  # head+foot rows only
+    return x.join(cut, "_zc_id", "left_anti").drop("_zc_id", "_zc_block", "_zc_file")
 
 
 def to_landing(df: DataFrame) -> DataFrame:

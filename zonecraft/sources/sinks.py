@@ -93,7 +93,7 @@ def append_since(target: DataFrame, source: DataFrame, watermark: str) -> DataFr
 def apply_changes(changes: DataFrame, keys, order, op_col: str, delete_op: str = "DELETE") -> DataFrame:
     """Current state of a change log: last change per key, deleted keys removed."""
     last = top_per_group(changes, keys, [F.desc(c) for c in order], 1)
-    return last.filter(F.col(op_col) != delete_op)
+    return last.filter(~F.col(op_col).eqNullSafe(F.lit(delete_op)))
 
 
 def reorder(df: DataFrame, first) -> DataFrame:
