@@ -15,7 +15,7 @@ from zonecraft.llm.components import linked
 from zonecraft.llm.minhash import choose_bands, shingle_sets, signatures
 from zonecraft.session import store
 
-VALUES, RECALL = 128, 0.9999999
+VALUES, RECALL = 252, 0.99999
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, values: int = VALUES, recall: float = RECALL) -> DataFrame:
@@ -42,7 +42,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         found = texts.withColumn("row", F.struct("id")).join(one.select("key", F.struct(F.col("least").alias("id")).alias("row")), "row")
         return shingle_sets(found.select("key", "text"), k).dropDuplicates(["key"])
 
-    labels = linked(nodes.select("key", "bands"), fetch, percent)
+    labels = linked(nodes.select(F.explode("bands").alias("band"), "key"), fetch, percent)
     named = nodes.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     members = store(named.join(smallest, "label").select("key", F.col("label").alias("component"), "component_id"))
