@@ -264,7 +264,7 @@ def suppress_greedy(alerts: DataFrame, keys, ts: str, order, minutes: int = 30)
     seen = x.select(*keys, "_t", F.lit(True).alias("_alert"))
     probes = x.select(*keys, (F.col("_t") + gap).alias("_t"), F.lit(False).alias("_alert"))
     # latest first; at equal times alerts come before the probes that may reach them
-    look = running(seen.unionByName(probes), keys, [F.desc("_t"), F.desc("_alert")], -F.floor(F.col("_t") / 86_400_000_000),
+    look = running(seen.unionByName(probes), keys, [F.desc("_t"), F.desc("_alert")], -F.floor(F.col("_t") / 60_000_000),
                    _next=("min", F.when(F.col("_alert"), F.col("_t"))))
     jump = cut_lineage(look.filter(~F.col("_alert") & F.col("_next").isNotNull()).select(*keys, (F.col("_t") - gap).alias("_t"), "_next"))
     kept = x.groupBy(*keys).agg(F.min("_t").alias("_t"))

@@ -231,6 +231,9 @@ def window(df, cfg):
             return W.framed(df, keys, order, b, max(-frame[0], 0), max(frame[1], 0), {out: lambda w: _AGG[fn](F.col(c)).over(w.rowsBetween(*frame))})
         if fn in ("sum", "count", "min", "max"):
             return W.running(df, keys, order, b, **{out: (fn, c)})
+        if fn in ("avg", "mean"):
+            x = W.running(df, keys, order, b, _zc_sum=("sum", c), _zc_n=("count", c))
+            return x.withColumn(out, F.col("_zc_sum") / F.when(F.col("_zc_n") > 0, F.col("_zc_n"))).drop("_zc_sum", "_zc_n")
     w = Window.partitionBy(*keys).orderBy(*order)
     if fn in fns:
         return df.withColumn(out, fns[fn](w))

@@ -126,7 +126,7 @@ UNION ALL SELECT 'valid_date_ranges', (SELECT count(*) FROM w WHERE e < s) UNION
 UNION ALL SELECT 'no_overlap', (SELECT count(*) FROM o WHERE nx IS NOT NULL AND (e IS NULL OR e > nx)))
 SELECT "check", violations, violations = 0 AS passed FROM c""")
 def sd_6(t):
-    return S.integrity(_versions(t), ["k"], F.trunc("effective_start", "month"))
+    return S.integrity(_versions(t), ["k"], F.col("effective_start"))
 
 
 @query("sd_7", _scd2_sql("(i.c_custkey IS NOT NULL)"))
@@ -361,7 +361,7 @@ def dv_7(t):
 @query("dv_8", """SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS valid_from, strftime(lead(o_orderdate) OVER w, '%Y-%m-%d') AS valid_to, lead(o_orderdate) OVER w IS NULL AS is_current
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def dv_8(t):
-    x = V.effectivity(t.orders, ["o_custkey"], "o_orderdate", F.date_trunc("month", "o_orderdate"), ["o_orderkey"])
+    x = V.effectivity(t.orders, ["o_custkey"], "o_orderdate", F.date_trunc("day", "o_orderdate"), ["o_orderkey"])
     return x.select("o_orderkey", "o_custkey", ymd("o_orderdate").alias("valid_from"), ymd("valid_to").alias("valid_to"), "is_current")
 
 

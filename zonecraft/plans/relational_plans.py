@@ -326,10 +326,10 @@ f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey AS ck, l_
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, w.version FROM f LEFT JOIN w ON f.ck = w.ck AND f.ts >= w.d AND (w.e IS NULL OR f.ts < w.e)""")
 def jn_11(t):
     v = t.orders.groupBy(F.col("o_custkey").alias("ck"), F.col("o_orderdate").alias("d")).agg(F.max("o_orderkey").alias("version"))
-    v = W.framed(v, ["ck"], ["d"], F.date_trunc("month", "d"), 0, 1, {"e": lambda w: F.lead("d").over(w)})
+    v = W.framed(v, ["ck"], ["d"], F.date_trunc("day", "d"), 0, 1, {"e": lambda w: F.lead("d").over(w)})
     f = J.join_on(t.lineitem, t.orders.select("o_orderkey", F.col("o_custkey").alias("ck")), [("l_orderkey", "o_orderkey")]).withColumn(
         "ts", F.expr("l_shipdate + INTERVAL 200 DAY"))
-    x = J.as_of(f, v, ["ck"], "ts", "d", "e", ["version"], lambda c: F.date_trunc("month", c))
+    x = J.as_of(f, v, ["ck"], "ts", "d", "e", ["version"], lambda c: F.date_trunc("day", c))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "version")
 
 
@@ -523,7 +523,7 @@ def wn_5(t):
 @query("wn_6", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders")
 def wn_6(t):
     return R.apply_rules(t.orders, [rule("window", function="row_number", partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"],
-                                         bucket="date_trunc('month', o_orderdate)", output_column="nth")]).select("o_orderkey", "nth")
+                                         bucket="date_trunc('day', o_orderdate)", output_column="nth")]).select("o_orderkey", "nth")
 
 
 @query("wn_6_text", "SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS price_rank FROM lineitem")
