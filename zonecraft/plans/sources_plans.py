@@ -272,3 +272,24 @@ def sc_40(t):
 @query("sc_41", _RELOAD.format(u="month"))
 def sc_41(t):
     return _reload(t, "monthly")
+
+
+# records as a mainframe would send them: a binary number, EBCDIC text and a packed amount
+LAYOUT = [{"name": "nation", "offset": 0, "length": 4, "kind": "comp"}, {"name": "name", "offset": 4, "length": 30}, {"name": "balance", "offset": 34, "length": 7, "kind": "comp3", "scale": 2}]
+
+
+@query("sc_10", "SELECT c_custkey, c_nationkey::BIGINT AS nation, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
+def sc_10(t):
+    record = F.concat(legacy.to_binary(F.col("c_nationkey"), 4), legacy.to_ebcdic(F.col("c_name"), 30), legacy.to_packed(F.round("c_acctbal", 2), 7, 2))
+    x = legacy.decode_ebcdic(t.customer.select("c_custkey", record.alias("record")), LAYOUT, keep=["c_custkey"])
+    return x.withColumn("balance", F.col("balance").cast("double"))
+
+
+# pages of an API with up to a hundred records each
+@query("sc_19", "SELECT event_id, user_id, event_type FROM events")
+def sc_19(t):
+    record = F.struct("event_id", "user_id", "event_type")
+    pages = t.events.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(record).alias("items"))
+    text = pages.select("page", F.to_json(F.struct(F.struct("items").alias("data"))).alias("body"))
+    read = text.select(F.from_json("body", "data struct<items: array<struct<event_id: bigint, user_id: bigint, event_type: string>>>").alias("p")).select("p.*")
+    return files.explode_records(read, "data.items")

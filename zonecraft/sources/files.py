@@ -56,8 +56,11 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 def read_api_staged(spark: SparkSession, path, record_path: str | None = None, multiline: bool = True) -> DataFrame:
     """Staged API responses, a document per file; `record_path` names the array of records in each page."""
     pages = read_json(spark, path, multiline)
-    if not record_path:
-        return pages
+    return explode_records(pages, record_path) if record_path else pages
+
+
+def explode_records(pages: DataFrame, record_path: str) -> DataFrame:
+    """A row per record of the array that `record_path` names in each page."""
     return pages.select(F.explode(F.col(record_path)).alias("r")).select("r.*")
 
 

@@ -24,6 +24,24 @@ def ebcdic_text(raw: Column, codepage: str = "cp037") -> Column:
     return F.translate(F.decode(raw, "ISO-8859-1"), latin, table)
 
 
+def to_ebcdic(text: Column, length: int, codepage: str = "cp037") -> Column:
+    """Text as a field of `length` bytes of a single-byte code page, padded with blanks."""
+    table = bytes(range(256)).decode(codepage, errors="replace")
+    latin = bytes(range(256)).decode("latin-1")
+    return F.encode(F.translate(F.rpad(text, length, " "), table, latin), "ISO-8859-1")
+
+
+def to_packed(value: Column, length: int, scale: int = 0) -> Column:
+    """A number as COMP-3 bytes."""
+    whole = (F.abs(value.cast(f"decimal({2 * length},{scale})")) * 10 ** scale).cast("bigint").cast("string")
+    return F.unhex(F.concat(F.lpad(whole, 2 * length - 1, "0"), F.when(value < 0, "D").otherwise("C")))
+
+
+def to_binary(value: Column, length: int) -> Column:
+    """A whole number as a signed big-endian COMP field of up to 8 bytes."""
+    return F.unhex(F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(2 * length)))
+
+
 def packed_decimal(raw: Column, length: int, scale: int = 0) -> Column:
     """COMP-3 bytes: two digits per byte, the last nibble is the sign (B or D negative)."""
     digits = F.substring(F.hex(raw), 1, 2 * length - 1)
