@@ -34,14 +34,15 @@ CONTENT_TAGS, CHROME_TAGS = {"article", "main"}, set("nav footer aside form dial
 CONTENT_ROLES, CHROME_ROLES = {"main", "article"}, set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 CHROME_WORDS = set("nav navbar navigation menu menus sidebar footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
                    "subscribe subscription signup login promo promotion advert adverts advertisement advertising ad ads adsense sponsor sponsored sponsors related "
-                   "recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager comment comments disqus respond replies reply widget toolbar copyright skip".split())
+                   "recommended recommendations share sharing social cookiebar toast topnav sidenav topbar rail commentlist discussion adsbygoogle breadcrumb breadcrumbs pagination pager comment comments disqus respond replies reply widget toolbar copyright skip".split())
+CONTENT_NAMES = set("article article-body article-content articlebody post post-body post-content entry entry-content story story-body content main main-content page-content".split())
 NOT_A_PART = {"has", "with", "no", "without", "is", "show", "hide"}
 
 CHROME, OUTSIDE, INSIDE = -9.0, -3.0, 4.0
 
 
 class Block:
-    __slots__ = ("content", "linked", "parent", "path", "tag", "text", "weight", "chrome")
+    __slots__ = ("content", "linked", "parent", "path", "tag", "text", "chrome")
 
     def __init__(self, text, tag, parent, path, linked, content, chrome):
         self.text, self.tag, self.parent, self.path, self.linked, self.content, self.chrome = text, tag, parent, path, linked, content, chrome
@@ -60,8 +61,9 @@ def _says_chrome(tag: str, raw: str, in_content: bool) -> tuple[bool, bool]:
             chrome, content = chrome or value in CHROME_ROLES, content or value in CONTENT_ROLES
         elif name == "itemprop" and value == "articlebody":
             content = True
-        elif name in ("class", "id") and tag not in CONTENT_TAGS | HEADINGS | {"p"} or name in ("class", "id") and tag == "article":
+        elif name in ("class", "id") and tag not in HEADINGS | {"main"}:
             for token in value.split():
+                content = content or tag in ("div", "section") and token in CONTENT_NAMES
                 words = re.split(r"[-_:]+", token)
                 chrome = chrome or any(w in CHROME_WORDS and (i == 0 or words[i - 1] not in NOT_A_PART) for i, w in enumerate(words))
     return chrome, content
@@ -99,8 +101,7 @@ def blocks_of(page: str) -> list[Block]:
     while True:
         m = TOKEN.search(page, at)
         if m is None:
-            if at < len(page):
-                add(page[at:])
+            add(re.sub(r"</?\Z", "", page[at:]))
             break
         if m.start() > at:
             add(page[at:m.start()])
