@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from zonecraft.llm import arrow_text as T
 from zonecraft.llm.numbering import numbered
+from zonecraft.session import store
 
 MAX_LENGTH, END_ID, CACHED_CHUNKS = 4096, 2, 500_000
 
@@ -143,10 +144,11 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Sequences of a length are numbered by a class of the id's MD5, id, start and checksum, and the
     numbers of the lengths interleave, so ids are unique, say the length, and depend on the rows alone.
+    Pieces are stored before they are numbered, so texts are tokenized once.
     Repeated rows give equal pieces in sequences of their own; a null id is a value like any other;
     an empty table gives no rows."""
     lengths = longest.bit_length()
-    rows = pieces(docs, path, id_col, text_col, longest, end_id, with_ids).withColumn("__spread", F.coalesce(F.substring(F.md5(F.col(id_col).cast("string")), 1, 3), F.lit("")))
+    rows = store(pieces(docs, path, id_col, text_col, longest, end_id, with_ids)).withColumn("__spread", F.coalesce(F.substring(F.md5(F.col(id_col).cast("string")), 1, 3), F.lit("")))
     numbers = numbered(rows, ["length"], ["__spread"], [id_col, "start", "ids_crc32"], "__number").drop("__spread")
     power = F.length(F.bin("length")) - 1
     return numbers.withColumn("sequence_id", (F.col("__number") - 1) * lengths + power).withColumn("offset", F.lit(0).cast("long")).drop("__number")
