@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from zonecraft.operators import rank as K
 from zonecraft.plans.registry import query
+from zonecraft.session import store
 
 
 def q(s):
@@ -43,8 +44,9 @@ sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING
 
 
 def keyword(t, threshold):
-    vocab, weights = K.keyword_index(t.spread("documents"), "doc_id", "text", keep=True)
-    return K.keyword_scores(K.tfidf(K.term_counts(t.benchmark, "item_id", "text"), vocab), weights, threshold)
+    docs = t.spread("documents")
+    counts = store(K.term_counts(docs, "doc_id", "text"))
+    return K.keyword_matches(counts, K.term_counts(t.benchmark, "item_id", "text"), K.vocabulary(counts, docs), threshold)
 
 
 @query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.1")
