@@ -142,6 +142,8 @@ def test_keyword_scores_equal_brute_force(spark, threshold):
     vo = K.vocabulary(dc, dd, 50)
     got = {(x.query_id, x.doc_id): x.score for x in K.keyword_scores(K.tfidf(K.term_counts(qq, "id", "text"), vo), K.tfidf(dc, vo), threshold).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    got = {(x.query_id, x.doc_id): x.score for x in K.keyword_matches(dc, K.term_counts(qq, "id", "text"), vo, threshold).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
 def test_vector_scores_equal_brute_force(spark):
