@@ -209,6 +209,12 @@ def op9(spark, folder):
     return found.select(F.col("id").alias("doc_id"), "paragraph", "n_words", F.col("first_id").alias("first_doc_id"), "first_paragraph", "removed")
 
 
+@query("op9_passage_dedup")
+def op9_passages(spark, folder):
+    found = substring_dedup.repeats(table(spark, folder, "documents").select("doc_id", "text"), inside=True)
+    return found.select(F.col("id").alias("doc_id"), "paragraph", "n_words", F.col("first_id").alias("first_doc_id"), "first_paragraph", "removed")
+
+
 # ---- op10: WARC in ZIP ------------------------------------------------------------------------
 
 OP10 = """
