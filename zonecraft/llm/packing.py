@@ -39,7 +39,6 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
@@ -49,6 +48,10 @@ class ChunkTokenizer:
         self.short = steps == ["NFC", "Replace", "Lowercase"] and split[0].get("pattern") == {"Regex": SPLIT} and [s["type"] for s in split] == ["Split", "ByteLevel"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
+        added = [t["content"].lower() for t in parts["added_tokens"]]
+        if any(T.SPACE[b] for content in added for b in content.encode()):
+            raise ValueError("an added token must not hold white space: " + path)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -64,8 +67,8 @@ class ChunkTokenizer:
         found = self.chunks.get(chunk)
         if found is None:
             text = chunk.decode()
-            if self.short and self.SIMPLE.fullmatch(text):
-                found = b"".join([self._piece(p) for p in self.PIECE.findall(text.lower())])
+            if self.short and self.SIMPLE.fullmatch(text) and not self.added.search(lower := text.lower()):
+                found = b"".join([self._piece(p) for p in self.PIECE.findall(lower)])
             else:
                 found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             self.chunks[chunk] = found
