@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +21,21 @@ def permutations(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return (a << U(1)) | U(1), b
 
 
-def choose_bands(threshold: float, values: int, recall: float) -> tuple[int, int]:
+def band_chance(threshold: float, rows: int, both: bool) -> float:
+    """The least probability with which two sets at the threshold, whatever their size, agree in a band.
+
+    With `both`, a permutation's minimum and maximum are drawn without putting back, so of a union of
+    u shingles with i in common both agree with i (i - 1) / (u (u - 1)): less than the square on small sets."""
+    single = threshold
+    pair = min([threshold ** 2, *(i * (i - 1) / (u * (u - 1)) for u in range(2, 1000) if (i := math.ceil(threshold * u - 1e-9)) < u)])
+    # a band of an odd number of rows has one value whose partner is in the next band
+    return pair ** (rows // 2) * single ** (rows % 2) if both else single ** rows
+
+
+def choose_bands(threshold: float, values: int, recall: float, both: bool = False) -> tuple[int, int]:
     """(rows, bands) with the most rows a band may have so that a pair at the threshold still
-    shares a band with the wanted probability."""
-    fit = [(r, values // r) for r in range(1, values + 1) if 1 - (1 - threshold ** r) ** (values // r) >= recall]
+    shares a band with the wanted probability; `both` as for `bands_of`."""
+    fit = [(r, values // r) for r in range(1, values + 1) if 1 - (1 - band_chance(threshold, r, both)) ** (values // r) >= recall]
     if not fit:
         raise ValueError(f"{values} signature values cannot reach recall {recall} at {threshold}")
     return fit[-1]

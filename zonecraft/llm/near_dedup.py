@@ -15,7 +15,7 @@ from zonecraft.llm.components import linked
 from zonecraft.llm.minhash import choose_bands, shingle_sets, signatures
 from zonecraft.session import store
 
-VALUES, RECALL = 252, 0.99999
+VALUES, RECALL = 288, 0.99999
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, values: int = VALUES, recall: float = RECALL) -> DataFrame:
@@ -31,7 +31,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     have n = 0, no component, and their own id.  A null id counts as largest: the component takes
     another row's id, or null if none has one.  Repeated rows each get a row.  Other columns of
     `docs` are ignored.  An empty table gives no rows."""
-    rows, bands = choose_bands(percent / 100, values, recall)
+    rows, bands = choose_bands(percent / 100, values, recall, both=True)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = store(signatures(texts, k, rows, bands, both=True))
     keyed = sig.filter("n > 0").withColumn("key", F.struct("a", "b"))
