@@ -160,3 +160,10 @@ def test_joined_columns_keep_their_order_and_means_skip_missing_values(spark):
     one = spark.createDataFrame([(10.0, 1.0), (None, 9.0)], "v double, w double").agg(aggregate.weighted_mean("v", "w").alias("m")).first()
     assert one.m == 10.0
     assert spark.range(1).select(drift.normal_type(F.lit("STR")).alias("t")).first().t == "string"
+
+
+def test_place_hash_tells_rows_apart(spark):
+    from zonecraft.functions import hashing as H
+    values = [("a", "b", None), ("a", None, "b"), (None, "a", "b"), ("a||b", "", ""), ("a", "|b", ""), ("a|", "b", ""), ("a\\", "|b", ""), ("", None, None), (None, "", None), ("\\N", None, "")]
+    found = spark.createDataFrame(values, "x string, y string, z string").select(H.hash_key(["x", "y", "z"], "place").alias("h")).collect()
+    assert len({r.h for r in found}) == len(values)
