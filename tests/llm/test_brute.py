@@ -21,9 +21,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(plans.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(plans.tokenizer_path())
 
 
 def test_packing(spark, docs, tokenizer):
@@ -57,18 +55,42 @@ def test_near_duplicates_of_five_words(spark, docs):
 
 
 def test_paragraph_repeats(spark, docs):
-    got = sorted(tuple(r) for r in plans.QUERIES["op9_substring_dedup"](spark, FOLDER).collect())
-    table = spark.createDataFrame([(i, p) for i, t, *_ in docs for p in [t]], "id bigint, text string")
-    parts = {}
-    for i, t in table.collect():
-        for n, p in enumerate(split(t)):
+    found = plans.QUERIES["op9_substring_dedup"](spark, FOLDER).collect()
+    parts, lines = {}, {}
+    for i, t, *_ in docs:
+        lines[i] = split(t)
+        for n, p in enumerate(lines[i]):
             if len(brute.words(p)) >= 20:
                 parts[i, n] = p
     sets = {k: brute.shingles(p, 5) for k, p in parts.items()}
     root = brute.near_components(sets)
     count = Counter(root.values())
     want = sorted((*k, len(brute.words(parts[k])), *root[k], k != root[k]) for k in parts if count[root[k]] > 1)
-    assert got == want and want
+    assert sorted(tuple(r) for r in found if r.paragraph < len(lines[r.doc_id])) == want and want
+
+    # windows: equal words wherever they are found, and one in every run of PASSAGE words that stands twice
+    words = {i: brute.words(brute.fold(t)) for i, t, *_ in docs}
+    place = {(i, len(lines[i]) + n): p for i, t, *_ in docs for n, p in enumerate(window_places(t))}
+    at = lambda k: words[k[0]][place[k]:place[k] + substring_dedup.WINDOW]
+    groups, held = {}, {i: set() for i in words}
+    for r in found:
+        if r.paragraph >= len(lines[r.doc_id]):
+            k, first = (r.doc_id, r.paragraph), (r.first_doc_id, r.first_paragraph)
+            assert r.n_words == substring_dedup.WINDOW == len(at(k)) and at(k) == at(first) and r.removed == (k > first)
+            groups.setdefault(tuple(at(k)), []).append((first, k))
+            held[r.doc_id].add(place[k])
+    assert all(len(g) > 1 and len({f for f, _ in g}) == 1 and min(k for _, k in g) == g[0][0] for g in groups.values())
+    runs = Counter(tuple(w[n:n + substring_dedup.PASSAGE]) for w in words.values() for n in range(len(w) - substring_dedup.PASSAGE + 1))
+    again = [(i, n) for i, w in words.items() for n in range(len(w) - substring_dedup.PASSAGE + 1) if runs[tuple(w[n:n + substring_dedup.PASSAGE])] > 1]
+    assert again and all(held[i] & set(range(n, n + substring_dedup.PLACES)) for i, n in again)
+
+
+def window_places(text):
+    """The word with which each window of a text begins."""
+    import numpy as np
+    raw = (text or "").encode()
+    start, *_ = substring_dedup.windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [len(brute.words(raw[:a].decode())) for a in start]
 
 
 def split(text):
@@ -137,7 +159,7 @@ def quality(rows):
 
 
 def lines(rows):
-    return [(r[0], t, r[2], r[3], len(t)) for r, t in zip(rows, brute.without_boilerplate([(r[1], r[3]) for r in rows]))]
+    return [(r[0], t, r[2], r[3], len(t)) for r, t in zip(rows, brute.without_boilerplate([(r[1], (r[3], r[2])) for r in rows]))]
 
 
 def one_of_each(rows):

@@ -58,7 +58,6 @@ def test_license_notice_with_changed_words(spark):
 def test_packing(odd, none):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.packed(odd, tokenizer_path()).collect()
     want = Counter((i, *p) for i, x in TEXTS for p in brute.pieces(x, t))
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
@@ -190,9 +189,14 @@ def test_line_dedup(odd, none, spark):
     assert [r["__dropped"] for r in line_dedup.without_boilerplate(odd).collect()] == [0] * len(TEXTS)
     plain = [(n, ("menu\n \nown %d\n  menu \n" % n if n % 3 else None) if n < 60 else "menu", None if n % 2 else "s") for n in range(66)]
     table = spark.createDataFrame(plain, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r.text for r in line_dedup.without_boilerplate(table).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.without_boilerplate(table, "source").collect()}
     assert got == dict(enumerate(brute.without_boilerplate([(t, s) for _, t, s in plain]))) and got[60] == "" and got[1] == " \nown 1\n"
     assert line_dedup.without_boilerplate(none).count() == 0
+    two = [(n, "menü\nown %d" % n, f"s{n % 2}", "de" if n < 20 else None if n < 200 else "en") for n in range(400)]
+    by = {r.doc_id: r["__dropped"] for r in line_dedup.without_boilerplate(spark.createDataFrame([(i, t if n < 20 else t[5:], s, n) for n, (i, t, s, _) in enumerate(two)], "doc_id bigint, text string, source string, lang bigint"), ["source"]).collect()}
+    assert set(by.values()) == {0}  # 10 of 200 pages of a source are no more than the ratio
+    by = {r.doc_id: r["__dropped"] for r in line_dedup.without_boilerplate(spark.createDataFrame([(i, t if n < 20 else t[5:], s, x) for n, (i, t, s, x) in enumerate(two)], "doc_id bigint, text string, source string, lang string")).collect()}
+    assert by == {n: int(n < 20) for n in range(400)}  # but all of those in their language
     hosts = spark.createDataFrame([("HTTP://User@Www.Example.com:80/x?y#z",), ("mailto:x",), (None,)], "u string").select(line_dedup.host_of("u").alias("h")).collect()
     assert [r.h for r in hosts] == ["www.example.com", "", None]
 
@@ -205,7 +209,8 @@ def test_paragraph_repeats(odd, none, spark):
     out = substring_dedup.without_repeats(odd, found)
     texts = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == odd.columns and out.count() == len(TEXTS)
-    assert PASSAGE in texts[1] and PASSAGE not in texts[2] and texts[2].strip() == TEXTS[1][1].split("\n")[0] and texts[3] is None and texts[11] == TEXTS[11][1]
+    assert PASSAGE in texts[1] and PASSAGE not in texts[2] and texts[2].strip() == TEXTS[1][1].split("\n")[0] and texts[3] is None and texts[14] == TEXTS[-1][1]
+    assert set(brute.words(texts[11])) == set(brute.words(TEXTS[11][1])) and len(texts[11]) < len(TEXTS[11][1])  # words that repeat within a text
     assert substring_dedup.repeats(none).count() == 0
 
 
@@ -245,3 +250,33 @@ def test_zip_directory(tmp_path, zip64, monkeypatch):
     for bad in (b"", b"PK", file.getvalue()[:-30]):
         with pytest.raises(ValueError):
             warc_zip.directory(io.BytesIO(bad), len(bad))
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Every column of the input keeps its values, whatever it is called."""
+    names = ["__row", "__q", "__base_failed", "__kept", "__group", "__l", "__m", "__n", "__words", "__hits", "__agree", "__whole", "__keys", "__votes", "__runs", "__passages", "__places",
+             "__scan", "__text", "__site", "__left", "__dropped", "__drop", "__stay", "__id", "__size", "__source", "__copies", "__kb", "row", "key", "site", "keys", "who", "n", "a.b", "c`d", "copies"]
+    own = {c: f"v-{i}" for i, c in enumerate(names)}
+    texts = [(n, f"{PASSAGE}\nunder the MIT license {n} " + SAY(40)) for n in range(6)] + [(7, None)]
+    quote = lambda c: "`" + c.replace("`", "``") + "`"
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{quote(c)} string" for c in names) + ", tags map<string,int>"
+    table = spark.createDataFrame([(i, t, "en", "s", *own.values(), {"x": i}) for i, t in texts], schema)
+    found = substring_dedup.repeats(table)
+    outs = {"scan": license_scan.scanned(table), "lines": line_dedup.without_boilerplate(table), "judged": quality_rules.judged(table), "good": quality_rules.keep_good(table),
+            "one": near_dedup.keep_one(table), "mixed": mixing.mixed(table), "out": substring_dedup.without_repeats(table, found)}
+    for name, out in outs.items():
+        assert out.columns[:len(table.columns)] == table.columns, name
+        rows = [r.asDict() for r in out.collect()]
+        assert rows and all(r[c] == v for r in rows for c, v in own.items()) and all(r["tags"] == {"x": r["doc_id"]} for r in rows), name
+    assert outs["scan"].columns[-1] == "__scan_" and outs["lines"].columns[-1] == "__dropped_" and outs["judged"].columns[-3:] == ["__q_", "__base_failed_", "__kept_"]
+    assert [r["__scan_"].score for r in outs["scan"].orderBy("doc_id").collect()] == [1.0] * 6 + [0.0] and found.filter("removed").select("id").distinct().count() == 5
+
+
+def test_mixing_of_many_equal_rows(spark):
+    """Equal rows share their copies; no row is lost and none comes from elsewhere."""
+    rows = [(1, "same words", "a")] * 9000 + [(i, "w " * (i % 30), "a" if i % 2 else None) for i in range(2, 500)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = Counter()
+    for r, n in zip(rows, brute.copies(rows)):
+        want[r] += n
+    assert Counter(map(tuple, mixing.mixed(table).collect())) == +want and want[rows[0]] > mixing.PIECE

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonecraft.llm.bitmap import may_match
 from zonecraft.session import store
 
 
@@ -35,12 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("key"), F.col("y").alias("label")).unionByName(roots)
 
 
-def linked(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, keys: DataFrame | None = None, block: int = 1 << 17) -> DataFrame:
+def linked(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int = 1 << 17) -> DataFrame:
     """(key, label): components of sets with 100 |intersection| >= percent |union|, among sets that
-    share a band.  `rows` has (band, key), or (band, a) with the first half of a key whose wholes are in
-    `keys`; equal rows are allowed.  It is read twice, so that what is shuffled whole is small: the least
-    and largest key of a band, then the rows of the bands that two keys share.  `fetch` returns (key, s)
-    for the keys it is given.  Keys without a link are left out.
+    share a band.  `rows` has (band, key); equal rows are allowed.  It is read twice, so that little is
+    shuffled whole: the first halves of the least and largest key of a band, then the rows whose
+    band two keys share, the others being dropped where they are read.  `fetch` returns (key, s) for the
+    stored table of keys it is given.  Keys without a link are left out.
 
     No bucket is expanded into pairs.  First every bucket's members are compared with one of them, the
     smallest key, which is the same for most buckets of a group; this joins almost all that belongs
@@ -49,13 +50,12 @@ def linked(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
     largest component are compared with all members, as blocks of at most `block` shingles (or one
     set) that tasks multiply as 0-1 matrices: only links are emitted.  So no link that joins two components
     is lost, and a cluster costs its size times what stands apart in it."""
-    half = F.col("key.a" if keys is None else "a")
-    shared = rows.groupBy("band").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).filter("lo != hi").select("band")
-    members = rows.join(shared, "band").dropDuplicates()
-    if keys is not None:
-        members = members.join(keys.withColumn("a", F.col("key.a")).dropDuplicates(["key"]), "a").select("band", "key")
-    members = store(members)
-    sets = store(fetch(members.select("key").distinct()))
+    half = F.col("key.a")
+    shared = store(rows.groupBy("band").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).filter("lo != hi").select("band"))
+    # equal rows meet by band and key, so a band with many keys is dealt out
+    members = may_match(rows, F.col("band"), shared, F.col("band")).dropDuplicates()
+    members = store(members.join(shared, "band", "left_semi"))
+    sets = store(fetch(store(members.select("key").distinct())))
     star = store(members.groupBy("band").agg(F.min("key").alias("p")).join(members, "band").filter("p != key"))
     pairs = star.select("p", "key").distinct()
     both = pairs.join(sets.select("key", "s"), "key").join(sets.select(F.col("key").alias("p"), F.col("s").alias("sp")), "p")

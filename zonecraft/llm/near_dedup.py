@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonecraft.llm.bitmap import may_match
 from zonecraft.llm.components import linked
 from zonecraft.llm.minhash import choose_bands, shingle_sets, signatures
+from zonecraft.llm.rows import column, whole
 from zonecraft.session import store
 
 VALUES, RECALL = 288, 0.99999
@@ -35,14 +37,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = store(signatures(texts, k, rows, bands, both=True))
     keyed = sig.filter("n > 0").withColumn("key", F.struct("a", "b"))
-    nodes = keyed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
+    nodes = store(keyed.groupBy("key").agg(F.min("id").alias("least")))
 
     def fetch(needed: DataFrame) -> DataFrame:
-        one = needed.join(nodes.select("key", "least"), "key")
-        found = texts.withColumn("row", F.struct("id")).join(one.select("key", F.struct(F.col("least").alias("id")).alias("row")), "row")
+        one = store(needed.join(nodes, "key"))
+        few = may_match(texts, F.xxhash64("id"), one, F.xxhash64("least"))
+        found = few.withColumn("row", F.struct("id")).join(one.select("key", F.struct(F.col("least").alias("id")).alias("row")), "row")
         return shingle_sets(found.select("key", "text"), k).dropDuplicates(["key"])
 
-    labels = linked(nodes.select(F.explode("bands").alias("band"), "key"), fetch, percent)
+    labels = linked(keyed.select(F.explode("bands").alias("band"), "key"), fetch, percent)
     named = nodes.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     members = store(named.join(smallest, "label").select("key", F.col("label").alias("component"), "component_id"))
@@ -58,7 +61,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Rows are told apart by their id.  Of repeated rows (equal id and text) one stays; other rows with
     the id of a kept row stay too, and rows without id count as one id."""
     found = classes(docs, id_col, text_col, k, percent)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct("id").alias("__row")).distinct()
-    rows = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"))).join(kept, "__row", "left_semi")
-    same = Window.partitionBy("__row", "__text").orderBy("__text")
-    return rows.withColumn("__text", F.xxhash64(text_col)).withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(*docs.columns)
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct("id").alias("who")).distinct()
+    rows = docs.select(whole(docs).alias("row"), F.struct(column(id_col).alias("id")).alias("who"), F.xxhash64(column(text_col)).alias("text")).join(kept, "who", "left_semi")
+    same = Window.partitionBy("who", "text").orderBy("text")
+    return rows.withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")

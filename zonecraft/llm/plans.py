@@ -184,12 +184,12 @@ def op7(spark, folder):
 # ---- op8: line dedup --------------------------------------------------------------------------
 
 OP8 = """
-with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
-n as (select source, count(*) as n from documents group by 1),
-c as (select source, trim(line, ' ') as line, count(distinct doc_id) as c from l where trim(line, ' ') <> '' group by 1, 2),
-b as (select c.source, c.line, true as bad from c join n on c.source is not distinct from n.source where c.c >= 5 and c.c > 0.05::double * n.n),
+with l as (select doc_id, source, lang, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+n as (select source, lang, count(*) as n from documents group by 1, 2),
+c as (select source, lang, trim(line, ' ') as line, count(distinct doc_id) as c from l where trim(line, ' ') <> '' group by 1, 2, 3),
+b as (select c.source, c.lang, c.line, true as bad from c join n on c.source is not distinct from n.source and c.lang is not distinct from n.lang where c.c >= 5 and c.c > 0.05::double * n.n),
 k as (select doc_id, string_agg(l.line, chr(10) order by i) filter (bad is null) as text, count(*) as n_lines, count(bad) as n_dropped
-      from l left join b on l.source is not distinct from b.source and trim(l.line, ' ') = b.line group by doc_id)
+      from l left join b on l.source is not distinct from b.source and l.lang is not distinct from b.lang and trim(l.line, ' ') = b.line group by doc_id)
 select doc_id, d.source, case when d.text is null then null else coalesce(k.text, '') end as text, coalesce(n_dropped, 0)::bigint as n_dropped
 from documents d left join k using (doc_id)
 """
@@ -197,7 +197,7 @@ from documents d left join k using (doc_id)
 
 @query("op8_line_dedup", OP8)
 def op8(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     return line_dedup.without_boilerplate(docs).select("doc_id", "source", "text", F.col("__dropped").alias("n_dropped"))
 
 
@@ -209,12 +209,6 @@ def op9(spark, folder):
     return found.select(F.col("id").alias("doc_id"), "paragraph", "n_words", F.col("first_id").alias("first_doc_id"), "first_paragraph", "removed")
 
 
-@query("op9_passage_dedup")
-def op9_passages(spark, folder):
-    found = substring_dedup.repeats(table(spark, folder, "documents").select("doc_id", "text"), inside=True)
-    return found.select(F.col("id").alias("doc_id"), "paragraph", "n_words", F.col("first_id").alias("first_doc_id"), "first_paragraph", "removed")
-
-
 # ---- op10: WARC in ZIP ------------------------------------------------------------------------
 
 OP10 = """
