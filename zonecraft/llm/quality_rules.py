@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecraft.llm import arrow_text as T
+from zonecraft.llm.rows import column, free_name
 from zonecraft.session import store
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -26,6 +27,7 @@ MEASURES = {
     "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 3, 400, "upper"),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP = 20, 30, 50
+ADDED = ("__q", "__base_failed", "__kept")
 SYMBOL, CONTINUATION = T.table(b"#*$%&|<>"), (np.arange(256) & 0xC0) == 0x80
 
 
@@ -56,26 +58,29 @@ def count_block(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [per(row), chars, symbols[offsets[1:]] - symbols[offsets[:-1]], per(line_row) - per(distinct), per(covered), per(line_row)]
 
 
-def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with a struct `__q` of COUNTS.  Columns of any type pass through."""
+def counted(docs: DataFrame, text_col: str = "text", name: str = "__q") -> DataFrame:
+    """`docs` with a struct `name` (a new one) of COUNTS.  Columns of any type pass through.
+
+    Lines and windows of words are told apart by 64-bit hashes."""
     at = docs.columns.index(text_col)
 
     def work(batches):
         for batch in batches:
             parts = [count_block(buf, offsets) for _, _, buf, offsets in T.blocks(batch.column(at))]
             fields = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64)) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, list(COUNTS))], [*batch.schema.names, "__q"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, list(COUNTS))], [*batch.schema.names, "q"])
 
-    schema = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__q", F.struct(*[F.lit(0).cast("long").alias(c) for c in COUNTS])).schema
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(work, schema)
+    # names of any kind come back behind the Python stage
+    texts = docs.withColumn(text_col, column(text_col).cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return texts.mapInArrow(work, texts.withColumn("q", F.struct(*[F.lit(0).cast("long").alias(c) for c in COUNTS])).schema).toDF(*docs.columns, name)
 
 
-def _base_failed():
-    return (F.col("__q.n_words") < MIN_WORDS) | (100 * F.col("__q.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__q.n_words"))
+def _base_failed(q: str = "__q"):
+    return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{q}.n_words"))
 
 
-def _measures():
-    return F.struct(*[F.expr(sql.replace("n_", "__q.n_").replace("word_chars", "__q.word_chars")).alias(m) for m, (sql, *_) in MEASURES.items()])
+def _measures(q: str = "__q"):
+    return F.struct(*[F.expr(sql.replace("n_", f"{q}.n_").replace("word_chars", f"{q}.word_chars")).alias(m) for m, (sql, *_) in MEASURES.items()])
 
 
 def value_class(v):
@@ -84,13 +89,13 @@ def value_class(v):
     return F.call_function("shiftleft", F.call_function("shiftright", v, cut), cut)
 
 
-def limits(counted_docs: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def limits(counted_docs: DataFrame, lang_col: str = "lang", source_col: str = "source", q: str = "__q") -> DataFrame:
     """(group, low and high per measure), one row per language and source: struct `group` of both,
     in which null is a value like any other.
 
     Counts are added up per value class before any shuffle, so a source with most documents costs no
     more than another; what meets in one task is at most the value classes of one group."""
-    measured = counted_docs.filter(~_base_failed()).select(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).alias("group"), _measures().alias("m"))
+    measured = counted_docs.filter(~_base_failed(q)).select(F.struct(column(lang_col).alias("lang"), column(source_col).alias("source")).alias("group"), _measures(q).alias("m"))
     values = measured.select("group", F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(f"m.{m}").cast("long"))])).alias("measure", "v"))
     sketch = store(values.groupBy("group", "measure", value_class(F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     levels = [("group", F.col("group")), ("lang", F.struct("group.lang")), ("all", F.lit(0))]
@@ -115,25 +120,27 @@ def limits(counted_docs: DataFrame, lang_col: str = "lang", source_col: str = "s
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """`docs` with `__q` (COUNTS), `__base_failed` and `__kept`.
+    """`docs` with `__q` (COUNTS), `__base_failed` and `__kept`; a name that `docs` has gets underscores behind it.
 
     Words are runs of other than ASCII white space; a null text has none and fails.  A document is
     kept if it passes the base rules and no measure is outside its group's limits.  A null language or
     source is a group; a group of fewer than MIN_GROUP documents that pass the base rules takes the
     limits of its language, or else of the corpus.  Repeated rows are judged alike.  Every row is
     returned; an empty table gives none."""
-    seen = counted(docs, text_col)
-    bounds = limits(seen, lang_col, source_col)
-    group = F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    joined = seen.withColumn("__group", group).join(bounds.select(F.col("group").alias("__group"), F.struct(*[c for c in bounds.columns if c != "group"]).alias("__l")), "__group", "left")
+    names = [free_name(n, docs.columns) for n in (*ADDED, "__group", "__l", "__m")]
+    q, failed, kept, group, bound, measure = names
+    seen = counted(docs, text_col, q)
+    bounds = limits(seen, lang_col, source_col, q)
+    bounds = bounds.select(F.col("group").alias(group), F.struct(*[c for c in bounds.columns if c != "group"]).alias(bound))
+    joined = seen.withColumn(group, F.struct(column(lang_col).alias("lang"), column(source_col).alias("source"))).join(bounds, group, "left")
     inside = F.lit(True)
     for m in MEASURES:
-        v = F.col(f"__m.{m}")
-        inside = inside & F.coalesce(v <= F.col(f"__l.{m}_high"), F.lit(True)) & F.coalesce(v >= F.col(f"__l.{m}_low"), F.lit(True))
-    return (joined.withColumn("__base_failed", _base_failed()).withColumn("__m", F.when(~F.col("__base_failed"), _measures()))
-            .withColumn("__kept", ~F.col("__base_failed") & inside).select(*docs.columns, "__q", "__base_failed", "__kept"))
+        v = F.col(f"{measure}.{m}")
+        inside = inside & F.coalesce(v <= F.col(f"{bound}.{m}_high"), F.lit(True)) & F.coalesce(v >= F.col(f"{bound}.{m}_low"), F.lit(True))
+    return (joined.withColumn(failed, _base_failed(q)).withColumn(measure, F.when(~F.col(failed), _measures(q)))
+            .withColumn(kept, ~F.col(failed) & inside).select(*map(column, docs.columns), q, failed, kept))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of `docs` that `judged` keeps, with their columns."""
-    return judged(docs, text_col, lang_col, source_col).filter("__kept").select(*docs.columns)
+    return judged(docs, text_col, lang_col, source_col).filter(F.col(free_name(ADDED[2], docs.columns))).select(*map(column, docs.columns))
