@@ -5,7 +5,7 @@ stage before it kept.  The first four return the columns of `documents`; the las
 pieces of the packed sequences with their token ids.
 
 ORACLE_SQL is None: the ids of the last stage come from a tokenizer file, which SQL cannot apply.
-tests/llm/test_pipeline.py holds every stage against a brute-force version."""
+tests/llm/test_brute.py holds every stage against a brute-force version."""
 
 from __future__ import annotations
 
