@@ -79,17 +79,20 @@ FOLD[65:91] += 32
 
 def spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the longest runs of bytes outside `gap`; rows end runs."""
-    if not len(buf):
+    return runs(~gap[buf], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the longest runs of bytes marked in `inside`; rows end runs."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, none
-    cut = np.zeros(len(buf) + 1, dtype=bool)
+    cut = np.zeros(len(inside) + 1, dtype=bool)
     cut[offsets] = True
-    space = gap[buf]
     before = cut[:-1].copy()
-    before[1:] |= space[:-1]
+    before[1:] |= ~inside[:-1]
     after = cut[1:].copy()
-    after[:-1] |= space[1:]
-    inside = ~space
+    after[:-1] |= ~inside[1:]
     start = np.flatnonzero(inside & before)
     return start, np.flatnonzero(inside & after) + 1, np.searchsorted(offsets, start, side="right") - 1
 

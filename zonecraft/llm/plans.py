@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecraft.llm import fingerprints, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, warc_zip
+from zonecraft.llm import fingerprints, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, reply_trees, resampling, spelling, substring_dedup, warc_zip
 from zonecraft.session import spread, tune
 
 QUERIES, SQL = {}, {}
@@ -224,3 +224,86 @@ def op10(spark, folder):
     found = warc_zip.round_trip(table(spark, folder, "pages"))
     digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.col("digest"))
     return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+# ---- op11: chat formatting --------------------------------------------------------------------
+
+# The length of the text that the template writes; control strings get a backslash behind their first character.
+CONTROL = r"([<\[])(\\*)(/?s>|pad>|unk>|<SYS>>|</SYS>>|\|[A-Za-z0-9_]+\|>|/?INST\])"
+OP11 = rf"""
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '{CONTROL}', '\1\2_\3', 'g') || '<|im_end|>' || chr(10)))::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
+@query("op11_chat_formatting", OP11)
+def op11(spark, folder):
+    ok = "</s>[INST] ok [/INST]"
+    trial = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(trial)
+    paths = reply_trees.branches(reply_trees.turn_links(turns, "conv_id", "turn"))
+    found = reply_trees.digests(reply_trees.formatted(turns, paths, "conv_id", "turn"), together=True)
+    return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+# ---- op12: spelling variants ------------------------------------------------------------------
+
+# The CRC-32 of the bytes of x but for the last inversion, one step per byte, with a table of the steps of all bytes.
+CRC = """list_reduce(list_prepend(4294967295::bigint, [(instr('0123456789ABCDEF', substr(hex(encode(x)), 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode(x)), 2 * i, 1)) - 1
+  for i in range(1, octet_length(encode(x)) + 1)]), lambda s, b: xor(s >> 8, st[(xor(s, b) & 255) + 1]))"""
+STEPS = "steps as materialized (select list(v order by k) as st from (select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda s, b: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end) as v from range(256) r(k)) t)"
+OP12 = rf"""
+with recursive {STEPS},
+r as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as w from documents) t),
+g as (select doc_id, w, doc_id || ':' || w as x, count(*) as c from r group by all),
+h as (select w, c, xor({CRC}, 4294967295) as h from g, steps),
+e as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::bigint) || substr(w, (h % length(w))::bigint + 2) else w end as word, c from h),
+v as materialized (select word, sum(c)::bigint as n from e where length(word) >= 6 group by 1 having sum(c) >= 5),
+d as materialized (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from (select word, n, unnest(range(1, length(word) + 1)) as i from v) p),
+near as (select d.word, o.word as other, o.n as m from d join d o on d.i = o.i and d.a = o.a and d.b = o.b and d.word <> o.word
+         union select d.word, v.word, v.n from d join v on d.a || d.b = v.word union select v.word, d.word, d.n from d join v on d.a || d.b = v.word),
+s as (select word, count(*)::bigint as n_near, min(struct_pack(neg := -m, other := other)) as best from near group by 1),
+f as materialized (select v.word, n, coalesce(n_near, 0)::bigint as n_near, case when -best.neg >= 5 * n then best.other end as form, case when -best.neg >= 5 * n then -best.neg end as form_n from v left join s using (word)),
+walk as (select word, form as here, 1 as step from f where form is not null union all select walk.word, f.form, step + 1 from walk join f on f.word = walk.here where f.form is not null),
+ends as (select word, max_by(here, step) as root from walk group by 1)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join ends using (word)
+"""
+
+
+@query("op12_spelling_variants", OP12)
+def op12(spark, folder):
+    counts = spelling.word_counts(table(spark, folder, "documents"), damage=199)
+    return spelling.variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# ---- op13: importance resampling --------------------------------------------------------------
+
+OP13 = rf"""
+with {STEPS},
+w as (select doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+bw as (select regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+f as materialized (select doc_id, array_to_string(w[i:i + k - 1], ' ') as x, count(*) as c from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w) d, range(1, 4) n(k) where i + k - 1 <= len(w) group by all),
+bf as materialized (select array_to_string(w[i:i + k - 1], ' ') as x, count(*) as c from (select w, unnest(range(1, len(w) + 1)) as i from bw) d, range(1, 4) n(k) where i + k - 1 <= len(w) group by all),
+a as (select x from f union select x from bf),
+h as materialized (select x, xor({CRC}, 4294967295) % 10000 as b from a, steps),
+s as (select b, sum(c) as s from f join h using (x) group by 1),
+t as (select b, sum(c) as t from bf join h using (x) group by 1),
+g as materialized (select k as b, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + 10000)::double) / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double)))::bigint as gain
+      from range(10000) r(k) left join s on s.b = k left join t on t.b = k),
+wt as (select doc_id, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from f join h using (x) join g using (b) group by 1),
+q as (select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+        list_sum([(instr('0123456789abcdef', substr(sha256('42:' || doc_id), i, 1)) - 1)::double * (16 ** (8 - i)) for i in range(1, 9)]) as h from w left join wt using (doc_id)),
+z as (select doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double))))::bigint as score from q),
+o as (select doc_id, row_number() over (order by score desc, doc_id)::bigint as rank, count(*) over () as n from z where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= (5 * n) // 100 then rank end as rank from z left join o using (doc_id)
+"""
+
+
+@query("op13_importance_resampling", OP13)
+def op13(spark, folder):
+    found = resampling.scored(table(spark, folder, "documents").select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
