@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecraft.llm.rows import column, free_name, whole
+from zonecraft.llm.rows import column, free_name, unpacked, whole
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of texts with A-Z lower-cased
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before that
@@ -116,7 +116,7 @@ def scanned(docs: DataFrame, text_col: str = "text", index: Index | None = None,
     text = F.coalesce(F.col("__text").cast("string"), F.lit(""))
     anchors = r"(?i)(?<![0-9a-zA-Z\x{80}-\x{10FFFF}])(?:" + "|".join(index.rare_words) + r")(?![0-9a-zA-Z\x{80}-\x{10FFFF}])"
     none = F.array().cast("array<string>")
-    x = docs.select(whole(docs).alias("__row"), column(text_col).alias("__text")).withColumn("__n", F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long"))
+    x = docs.select(whole(docs, text_col).alias("__row"), column(text_col).alias("__text")).withColumn("__n", F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long"))
     # only texts with a rare word are split, as only they can hold a template
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     x = x.withColumn("__words", F.when(text.rlike(anchors), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).otherwise(none))
@@ -153,4 +153,4 @@ def scanned(docs: DataFrame, text_col: str = "text", index: Index | None = None,
     x = x.withColumn("__places", F.array_sort(places))
     score = F.greatest(F.when(F.size("__places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("__passages", lambda p: p.share)), F.lit(0.0)))
     scan = F.struct(F.col("__n").alias("n_words"), F.col("__places").alias("places"), F.col("__passages").alias("passages"), score.alias("score"))
-    return x.select("__row.*", scan.alias(free_name("__scan", docs.columns)))
+    return x.select(*unpacked(docs, "__row", **{text_col: F.col("__text")}), scan.alias(free_name("__scan", docs.columns)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecraft.llm.rows import column, free_name, whole
+from zonecraft.llm.rows import column, free_name, unpacked, whole
 from zonecraft.session import store
 
 RATIO, MIN_PAGES = 0.05, 5
@@ -53,7 +53,7 @@ def without_boilerplate(pages: DataFrame, site_cols: str | list[str] = SITE, tex
     null in a site column is a value; a null text stays null and has no lines, but counts as a page; repeated
     rows count as pages; a text of boilerplate lines alone becomes empty.  An empty table gives none."""
     bad = boilerplate(pages, site_cols, text_col, ratio, min_pages)
-    joined = pages.select(whole(pages).alias("row"), column(text_col).alias("text"), site_of(site_cols).alias("site")).join(bad, "site", "left")
+    joined = pages.select(whole(pages, text_col).alias("row"), column(text_col).alias("text"), site_of(site_cols).alias("site")).join(bad, "site", "left")
     # the hits of a text are a hash intersection; lines are then looked up among these few
     hits = F.coalesce(F.array_intersect(line_keys(F.col("text")), F.col("keys")), F.array().cast("array<bigint>"))
     joined = joined.withColumn("hits", F.when(F.col("keys").isNotNull(), hits).otherwise(F.array().cast("array<bigint>")))
@@ -63,5 +63,4 @@ def without_boilerplate(pages: DataFrame, site_cols: str | list[str] = SITE, tex
     out = joined.withColumn("left", F.when(touched, kept))
     dropped = F.when(touched, F.size(lines) - F.size("left")).otherwise(F.lit(0)).cast("long")
     text = F.when(touched, F.array_join("left", "\n")).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in pages.columns]
-    return out.select(*columns, dropped.alias(free_name("__dropped", pages.columns)))
+    return out.select(*unpacked(pages, "row", **{text_col: text}), dropped.alias(free_name("__dropped", pages.columns)))

@@ -11,9 +11,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def whole(df: DataFrame) -> Column:
-    """A row as one struct, so that no helper column can meet a column of the user's."""
-    return F.struct(*[column(c).alias(c) for c in df.columns])
+def whole(df: DataFrame, without: str | None = None) -> Column:
+    """A row as one struct, so that no helper column can meet a column of the user's; `without` is a column
+    that goes beside it, since a text in both would be copied with every step."""
+    return F.struct(*[column(c).alias(c) for c in df.columns if c != without])
+
+
+def unpacked(df: DataFrame, row: str, **given: Column) -> list[Column]:
+    """The columns of `df` out of a `whole` row, those `given` by their new values."""
+    return [given[c].alias(c) if c in given else F.col(row).getField(c).alias(c) for c in df.columns]
 
 
 def free_name(name: str, taken: list[str]) -> str:
