@@ -50,7 +50,7 @@ def test_exact_quantile(spark):
     df = sample(spark, seed=4)
     for q in (0.0, 0.25, 0.5, 0.95, 1.0):
         want = df.groupBy("k").agg(F.percentile("v", q).alias("q"))
-        got = W.exact_quantile(df, ["k"], "v", F.floor(F.col("v") / 3), q, "q")
+        got = W.exact_quantile(df, ["k"], "v", q, "q")
         assert [(k, round(float(x), 9)) for k, x in rows(got)] == [(k, round(float(x), 9)) for k, x in rows(want)]
 
 
@@ -105,3 +105,81 @@ def test_group_limit_and_no_plain_sort_of_a_key(spark):
     df = sample(spark)
     plan = W.top_per_group(df, ["k"], ["t", "id"], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ranges_without_a_bucket(spark):
+    """The same windows, cut by the data: ties, nulls, descending order and a hot key."""
+    df = sample(spark, seed=11)
+    w = Window.partitionBy("k").orderBy(F.desc("t"), "id")
+    u = w.rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.desc("t"), "id"]
+    ranks = Window.partitionBy("k").orderBy(F.desc("t"))
+    want = df.select("id", F.row_number().over(w).cast("long"), F.sum("v").over(u), F.max("v").over(u), F.rank().over(ranks).cast("long"), F.dense_rank().over(ranks).cast("long"), F.lag("v", 2).over(w), F.lead("v").over(w))
+    x = W.with_ranks(W.with_position(df, ["k"], order, None, "p"), ["k"], order, ["t"])
+    x = W.framed(W.running(x, ["k"], order, s=("sum", "v"), hi=("max", "v")), ["k"], order, None, 2, 1, {"a": lambda z: F.lag("v", 2).over(z), "b": lambda z: F.lead("v").over(z)})
+    assert x.columns == [*df.columns, "p", "row_num", "rank", "dense_rank", "s", "hi", "a", "b"]
+    assert rows(x, "id", "p", "s", "hi", "rank", "dense_rank", "a", "b") == rows(want)
+
+
+def most_rows_of_a_task(df):
+    return max(r["count"] for r in df.groupBy(W.RANGE).count().collect())
+
+
+def test_quantiles_stay_bounded_per_task(spark):
+    """Half of the rows have one value, the others lie in 0..1, and one key has nearly all of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 20_000
+        df = spark.range(n).select(F.when(F.col("id") % 50 > 0, "hot").otherwise("cold").alias("k"), F.when(F.col("id") % 2 == 0, 0.25).otherwise(F.rand(3)).alias("v"))
+        counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n"))
+        dealt = W.in_ranges(counts, ["k"], ["v"])
+        assert dealt.filter("v = 0.25").count() == 2 and most_rows_of_a_task(dealt) < 4 * dealt.count() / 16
+        got = W.exact_quantiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5, "high": 0.99})
+        want = df.groupBy("k").agg(*[F.percentile("v", q).alias(c) for c, q in (("low", 0.1), ("mid", 0.5), ("high", 0.99))])
+        assert [(k, *[round(x, 9) for x in xs]) for k, *xs in rows(got)] == [(k, *[round(x, 9) for x in xs]) for k, *xs in rows(want)]
+        assert W.exact_quantile(df.filter("false"), ["k"], "v").count() == 0
+        one = W.exact_quantile(df, [], "v", 0.5, "m").collect()[0].m
+        assert one == df.agg(F.percentile("v", 0.5).alias("m")).collect()[0].m
+        # versions of one key, all with different starts
+        versions = spark.range(n).select(F.when(F.col("id") % 50 > 0, "hot").otherwise("cold").alias("k"), F.expr("timestamp_seconds(id * 977)").alias("effective_start"))
+        assert most_rows_of_a_task(W.in_ranges(versions, ["k"], ["effective_start"])) < 4 * n / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_dense_numbers_of_sparse_keys(spark):
+    r = random.Random(9)
+    keys = [*{r.randrange(-(1 << 63), 1 << 63) for _ in range(3000)}, None]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, a string").repartition(7)
+    got = W.sequenced(df, ["k"], 100)
+    assert got.columns == ["k", "a", "sk"] and [(x.k, x.sk) for x in got.orderBy("sk").collect()] == [(k, 101 + i) for i, k in enumerate([None, *sorted(k for k in keys if k is not None)])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert W.sequenced(df.filter("false"), ["k"]).count() == 0
+
+
+def test_as_of_without_buckets_and_with_one_exchange_of_the_rows(spark):
+    r = random.Random(16)
+    versions = [("a", s, None if r.random() < .3 else s + r.randint(0, 9), f"{s}/{n}") for s in r.sample(range(100), 30) for n in range(r.choice([1, 2]))] + [("a", None, 3, "no start")]
+    v = spark.createDataFrame(versions, "k string, s int, e int, name string")
+    facts = [(i, r.choice(["a", "a", "b", None]), r.randint(-5, 110)) for i in range(300)]
+    f = spark.createDataFrame(facts, "id int, k string, ts int")
+    for bucket in (None, lambda c: F.floor(c / 7)):
+        out = J.as_of(f, v, ["k"], "ts", "s", "e", ["name"], bucket)
+        got = {x.id: (x.s, x.name) for x in out.collect()}
+        assert len(got) == len(facts)
+        for i, k, ts in facts:
+            past = [x for x in versions if x[0] == k and x[1] is not None and x[1] <= ts]
+            starts = max((x[1] for x in past), default=None)
+            last = max((x for x in past if x[1] == starts), key=lambda x: (x[2] is None, x[2] or 0), default=None)
+            if last and (last[2] is None or ts < last[2]):
+                assert got[i][0] == starts and (got[i][1] == last[3] or sum(x[1:3] == last[1:3] for x in past) > 1)
+            else:
+                assert got[i] == (None, None)
+    # the rows, which carry `id`, are exchanged once; what else is exchanged is one row a bucket
+    out.collect()
+    tree = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning" in line for line in tree.split("\n")) <= 3
+    assert sum("_fact" in line and "id#" in line for line in tree.split("\n") if "Exchange" in line) <= 1

@@ -18,7 +18,7 @@ def order_summary(orders: DataFrame, customer: str, amount: Column, when: str, s
             .orderBy(F.desc("total_revenue")))
 
 
-def collect_chunks(df: DataFrame, keys, value: str, order, bucket: Column, size: int = 10_000) -> DataFrame:
+def collect_chunks(df: DataFrame, keys, value: str, order, bucket: Column | None = None, size: int = 10_000) -> DataFrame:
     """collect_list in parts of bounded length, in order: (keys, part, values)."""
     x = with_position(df.select(*keys, value, *[c for c in order if c not in (*keys, value)]), keys, order, bucket, "_p")
     part = F.floor((F.col("_p") - 1) / size).cast("long").alias("part")

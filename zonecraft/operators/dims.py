@@ -12,22 +12,15 @@ from pyspark.sql import types as T
 
 from zonecraft.functions.exprs import all_of, col, null_safe_join
 from zonecraft.functions.hashing import hash_diff, hash_key
-from zonecraft.operators.window import framed, top_per_group, with_position
+from zonecraft.operators.window import framed, sequenced, top_per_group
+from zonecraft.session import store
 
 
-def number_rows(df: DataFrame, keys, start: Column | int = 0, name: str = "sk", width: int = 1_000_000,
-                digits: int = 4) -> DataFrame:
+def number_rows(df: DataFrame, keys, start: Column | int = 0, name: str = "sk") -> DataFrame:
     """Consecutive numbers after `start`, in key order for one numeric key, otherwise in the
-    order of the key hash.  Offsets per key bucket replace a single-task global sort."""
-    first = df.schema[keys[0]].dataType
-    if len(keys) == 1 and isinstance(first, T.IntegralType):
-        order, bucket = [keys[0]], F.floor(F.col(keys[0]) / width)
-    else:
-        h = hash_key(keys, "job")
-        order, bucket = [h, *keys], F.substring(h, 1, digits)
-    x = with_position(df.drop(name), [], order, bucket, "_zc_no")
-    base = F.lit(start) if isinstance(start, int) else F.coalesce(start, F.lit(0))
-    return x.withColumn(name, (base + F.col("_zc_no")).cast("long")).drop("_zc_no").select(*df.columns)
+    order of the key hash."""
+    single = len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, T.IntegralType)
+    return sequenced(df.drop(name), [keys[0]] if single else [hash_key(keys, "job"), *keys], start, name).select(*df.columns)
 
 
 def _full(existing: DataFrame, incoming: DataFrame, keys) -> DataFrame:
@@ -45,14 +38,17 @@ def _same(tracked) -> Column:
     return all_of([F.col(f"_e.{c}").eqNullSafe(F.col(f"_i.{c}")) for c in tracked])
 
 
-def _assign(df: DataFrame, existing: DataFrame, keys, sk: str, mode: str, salt: Column | None = None) -> DataFrame:
+def _assign(df: DataFrame, keys, sk: str, mode: str, salt: Column | None = None) -> DataFrame:
     """Fill missing surrogate keys: `dense` continues after the largest key, `hash` derives a
-    64-bit key without any further pass over the data."""
+    64-bit key without any further pass over the data.  `df` holds all rows of `existing`; for dense
+    keys it is written once, so the join it comes from is not run again for the largest key, the
+    known and the new rows."""
     if mode == "hash":
         parts = [F.col(k) for k in keys] + ([salt] if salt is not None else [])
         return df.withColumn(sk, F.coalesce(F.col(sk), F.xxhash64(*parts)))
-    top = existing.agg(F.max(sk)).scalar()
-    return df.filter(F.col(sk).isNotNull()).unionByName(number_rows(df.filter(F.col(sk).isNull()), keys, top, sk))
+    x = store(df)
+    top = x.agg(F.max(sk)).scalar()
+    return x.filter(F.col(sk).isNotNull()).unionByName(number_rows(x.filter(F.col(sk).isNull()), keys, top, sk))
 
 
 def _with_sk(incoming: DataFrame, sk: str) -> DataFrame:
@@ -63,7 +59,7 @@ def scd0(incoming: DataFrame, existing: DataFrame, keys, sk: str = "sk", sk_mode
     """Add new keys only."""
     k = existing.select(*keys)
     fresh = _with_sk(null_safe_join(incoming, k, list(keys), "left_anti"), sk)
-    return _assign(existing.unionByName(fresh.select(*existing.columns)), existing, keys, sk, sk_mode)
+    return _assign(existing.unionByName(fresh.select(*existing.columns)), keys, sk, sk_mode)
 
 
 def scd1(incoming: DataFrame, existing: DataFrame, keys, sk: str = "sk", sk_mode: str = "dense") -> DataFrame:
@@ -73,7 +69,7 @@ def scd1(incoming: DataFrame, existing: DataFrame, keys, sk: str = "sk", sk_mode
         if c == sk:
             return F.col(f"_e.{sk}")
         return F.when(F.expr(HAS_I), F.col(f"_i.{c}")).otherwise(F.col(f"_e.{c}")) if c in incoming.columns else F.col(f"_e.{c}")
-    return _assign(j.select(*[pick(c).alias(c) for c in existing.columns]), existing, keys, sk, sk_mode)
+    return _assign(j.select(*[pick(c).alias(c) for c in existing.columns]), keys, sk, sk_mode)
 
 
 def scd2_first(incoming: DataFrame, keys, as_of: str, sk: str = "sk", start: str = "effective_start", end: str = "effective_end",
@@ -116,7 +112,7 @@ def versioned(incoming: DataFrame, existing: DataFrame, keys, tracked, as_of, *,
         F.when(has_e & ~change, row(lambda c: F.col(f"_e.{c}"))), F.when(change, row(closed)),
         F.when(change | (has_i & ~has_e), row(fresh))))
     out = existing.filter(~F.coalesce(live, F.lit(False))).unionByName(j.select(F.inline(rows)))
-    return _assign(out, existing, list(keys), sk, sk_mode, F.lit(str(as_of))) if sk else out
+    return _assign(out, list(keys), sk, sk_mode, F.lit(str(as_of))) if sk else out
 
 
 def scd3(incoming: DataFrame, existing: DataFrame, keys, attributes, sk: str = "sk", sk_mode: str = "dense") -> DataFrame:
@@ -133,7 +129,7 @@ def scd3(incoming: DataFrame, existing: DataFrame, keys, attributes, sk: str = "
             out.append(F.when(has_i, F.col(f"_i.{c}")).otherwise(F.col(f"_e.{c}")).alias(c))
     have = {f"prev_{a}" for a in attributes} & set(existing.columns)
     out += [F.when(has_e & has_i, F.col(f"_e.{a}")).alias(f"prev_{a}") for a in attributes if f"prev_{a}" not in have]
-    return _assign(j.select(*out), existing, list(keys), sk, sk_mode)
+    return _assign(j.select(*out), list(keys), sk, sk_mode)
 
 
 def change_labels(incoming: DataFrame, existing: DataFrame, keys, tracked) -> DataFrame:
@@ -153,10 +149,11 @@ def hash_columns(df: DataFrame, tracked, effective_from: str, recipe: str = "job
                            "_effective_to": F.lit(None).cast("date"), "_is_current": F.lit(True)})
 
 
-def integrity(dim: DataFrame, keys, bucket: Column, sk: str = "sk", start: str = "effective_start", end: str = "effective_end",
+def integrity(dim: DataFrame, keys, bucket: Column | None = None, sk: str = "sk", start: str = "effective_start", end: str = "effective_end",
               current: str = "is_current") -> DataFrame:
     """Violations per check: repeated surrogate keys, reversed ranges, several current rows of a
-    key, overlapping versions."""
+    key, overlapping versions.  Without a `bucket` of the start, the versions of a key are cut into
+    ranges taken from the data, so one key may have most of them, at any starts."""
     def check(name, x):
         return x.select(F.lit(name).alias("check"), "violations")
 
@@ -218,7 +215,7 @@ def placeholders(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key: str, d
     missing = (fact.select(F.col(fact_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct()
                .join(dim.select(F.col(dim_key).alias("_k")), F.col(dim_key) == F.col("_k"), "left_anti"))
     rows = missing.withColumns({c: F.lit(defaults.get(c)).cast(dim.schema[c].dataType) for c in dim.columns if c != dim_key})
-    return _assign(dim.unionByName(rows.select(*dim.columns)), dim, [dim_key], sk, "dense")
+    return _assign(dim.unionByName(rows.select(*dim.columns)), [dim_key], sk, "dense")
 
 
 def date_dimension(spark, start: Column | str, end: Column | str, grain: str = "DAY", source: DataFrame | None = None) -> DataFrame:

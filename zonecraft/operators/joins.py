@@ -3,20 +3,26 @@ behind a size check."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import all_of, null_safe_join
-from zonecraft.operators.window import running
-from zonecraft.session import broadcast_if_small
+from zonecraft.operators.window import KEY, _cut, _keyed, _prior_struct
+from zonecraft.session import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes, store
 
 
 def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner", select=None, null_safe: bool = False,
             broadcast: bool = False) -> DataFrame:
-    """Join on `(left column, right column)` pairs; equal names are merged."""
+    """Join on `(left column, right column)` pairs; equal names are merged.
+
+    A product has every row of the left side once per row of the right, so it is made only for a right side
+    whose size Catalyst can prove to be small; its rows are then what the caller asks for.  For a larger
+    one, join on a key or a range."""
     how = {"full": "full_outer", "left_outer": "left", "right_outer": "right"}.get(how, how)
     if how == "cross":
-        return left.crossJoin(broadcast_if_small(right))
+        if estimated_bytes(right) > BROADCAST_LIMIT:
+            raise ValueError(f"a product needs a right side of at most {BROADCAST_LIMIT} bytes; join on a key instead")
+        return left.crossJoin(F.broadcast(right))
     r = right
     for a, b in keys:
         r = r.withColumnRenamed(b, f"_r_{b}")
@@ -77,24 +83,30 @@ def with_child_stats(parent: DataFrame, child: DataFrame, parent_key: str, child
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero}) if zero else out
 
 
-def as_of(facts: DataFrame, versions: DataFrame, keys, ts: str, start: str, end: str | None, columns, bucket) -> DataFrame:
-    """Version of the dimension valid at the time of each fact.
+def as_of(facts: DataFrame, versions: DataFrame, keys, ts: str, start: str, end: str | None, columns, bucket=None) -> DataFrame:
+    """Version of the dimension valid at the time of each fact, null where none is.
 
-    Facts and version starts are merged into one ordered stream per key and the latest start is
-    carried forward, then an equi join on (key, start) fetches the version; no fact meets more
-    than one version.  `bucket(column)` gives the time bucket of a timestamp column."""
+    Facts and versions are merged into one ordered stream per key, in which a version travels as a
+    struct: within a time bucket a window carries the last one forward, between buckets only the last of
+    each is carried.  So rows are exchanged once, and no fact meets more than one version.  Of versions
+    with one start the one that ends last holds.  `bucket(column)` gives the time bucket of a timestamp
+    column; without it, buckets are ranges taken from the data, at the cost of another exchange."""
     keys = list(keys)
-    at = facts.withColumns({"_t": F.col(ts), "_s": F.lit(None).cast(versions.schema[start].dataType), "_fact": F.lit(True)})
+    until = F.col(end) if end else F.lit(None).cast(versions.schema[start].dataType)
+    held = F.struct(F.col(start).alias("s"), until.alias("e"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     # a version without start holds for no time
-    marks = versions.filter(F.col(start).isNotNull()).select(*keys, F.col(start).alias("_t"), F.col(start).alias("_s"), F.lit(False).alias("_fact"))
-    line = running(at.unionByName(marks, allowMissingColumns=True), keys, ["_t", F.asc_nulls_last("_s")], bucket(F.col("_t")), _start=("max", "_s"))
-    line = line.filter("_fact").drop("_t", "_s", "_fact")
-    v = versions.select(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], F.col(start).alias("_vs"),
-                        F.col(end).alias("_ve") if end else F.lit(None).alias("_ve"), *columns)
-    same = all_of([line[k].eqNullSafe(v[f"_v{i}"]) for i, k in enumerate(keys)]) & (F.col("_start") == F.col("_vs"))
-    if end:
-        same = same & (F.col("_ve").isNull() | (F.col(ts) < F.col("_ve")))
-    return line.join(v, same, "left").select(*facts.columns, F.col("_vs").alias(start), *columns)
+    marks = versions.filter(F.col(start).isNotNull()).select(*keys, F.col(start).alias("_t"), held.alias("_v"), F.lit(False).alias("_fact"))
+    line = facts.withColumns({"_t": F.col(ts), "_v": F.lit(None).cast(marks.schema["_v"].dataType), "_fact": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
+    order = [F.col("_t"), F.col("_fact"), F.asc_nulls_last("_v.e")]
+    x, b = (store(line), bucket(F.col("_t"))) if bucket else _cut(line, keys, order, None)
+    x = _keyed(x, keys, b)
+    newest = F.when(~F.col("_fact"), F.struct("_t", F.col("_v.e").isNull(), "_v.e"))
+    carried = F.last("_last", ignorenulls=True).over(_prior_struct(keys)).alias("_carried")
+    prior = x.groupBy(KEY).agg(F.max_by("_v", newest).alias("_last")).select(KEY, carried)
+    seen = F.last("_v", ignorenulls=True).over(Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    y = x.withColumn("_seen", seen).filter("_fact").join(prior, KEY).withColumn("_seen", F.coalesce("_seen", "_carried"))
+    valid = F.col("_seen.e").isNull() | (F.col(ts) < F.col("_seen.e"))
+    return y.select(*facts.columns, F.when(valid, F.col("_seen.s")).alias(start), *[F.when(valid, F.col(f"_seen.c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def cross_reference(df: DataFrame, xref: DataFrame, key: str, source_key: str, master: str, name: str = "master_id") -> DataFrame:

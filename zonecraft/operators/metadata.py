@@ -79,12 +79,12 @@ def execution_summary(runs: DataFrame, tasks: DataFrame, since: str) -> DataFram
                             money("records").alias("total_records"), zero=["task_count", "failed_tasks"])
 
 
-def validation_failures(log: DataFrame, since: str, top: int = 20) -> DataFrame:
-    """Failed validations by failure rate; log(..., is_passed, total_records, failed_records, created_at)."""
+def validation_failures(log: DataFrame, since: str, top: int | None = None) -> DataFrame:
+    """Failed validations by failure rate, all or the `top` worst; log(..., is_passed, total_records, failed_records, created_at)."""
     rate = F.round(100.0 * F.col("failed_records") / F.when(F.col("total_records") != 0, F.col("total_records")), 2)
     ties = [c for c in log.columns if c not in ("is_passed",)]
-    return (log.filter(~F.col("is_passed") & (F.col("created_at") >= ts(since))).withColumn("failure_rate", rate)
-            .orderBy(F.desc_nulls_last("failure_rate"), *ties).limit(top))
+    out = log.filter(~F.col("is_passed") & (F.col("created_at") >= ts(since))).withColumn("failure_rate", rate).orderBy(F.desc_nulls_last("failure_rate"), *ties)
+    return out if top is None else out.limit(top)
 
 
 def error_analysis(errors: DataFrame, since: str) -> DataFrame:
@@ -153,8 +153,8 @@ def tokens(c) -> Column:
 
 
 def search(assets: DataFrame, text_columns, query: str | None = None, equals: dict | None = None, tags_column: str | None = None,
-           tags=None, order=(), limit: int = 50) -> DataFrame:
-    """All query words present, equality filters, any of the tags; newest first."""
+           tags=None, order=(), limit: int | None = None) -> DataFrame:
+    """All query words present, equality filters, any of the tags; in order, all or the first `limit`."""
     tests = []
     if query:
         words = tokens(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in text_columns]))
@@ -162,7 +162,8 @@ def search(assets: DataFrame, text_columns, query: str | None = None, equals: di
     tests += [F.col(c) == v for c, v in (equals or {}).items()]
     if tags:
         tests.append(F.arrays_overlap(F.col(tags_column), F.array(*[F.lit(x) for x in tags])))
-    return assets.filter(all_of(tests)).orderBy(*order).limit(limit)
+    out = assets.filter(all_of(tests)).orderBy(*order) if order else assets.filter(all_of(tests))
+    return out if limit is None else out.limit(limit)
 
 
 def health_score(df: DataFrame, weights=(0.4, 0.3, 0.2, 0.1)) -> DataFrame:

@@ -57,6 +57,12 @@ EXPECTATIONS = {
     "conditional_not_null": "expect_column_values_to_match_sql_condition",
 }
 
+
+def expectation_of(rule_type) -> Column:
+    """The expectation a rule type stands for, null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in EXPECTATIONS.items() for x in kv]), F.lower(col(rule_type)))
+
+
 ROW_RULES = {"not_null", "completeness", "null_rate", "range", "min_max", "date_range", "between", "regex", "in_set",
              "not_in_set", "length", "value_length", "custom_sql", "sql", "column_type", "date_format",
              "column_pair_comparison", "referential", "pair_in_set", "conditional_not_null"}
@@ -245,7 +251,7 @@ def _branch(df: DataFrame, rule: dict, refs: dict) -> DataFrame:
         return _expand(d, [_result(rule, F.col("total"), bad, F.col("excess_rows"), _tolerated(rule, F.col("total"), bad))])
     if kind == "median":
         x = rule["column"]
-        m = exact_quantile(df.select(x), [], x, F.floor(F.col(x) / rule.get("width", 1000)), 0.5, "_m")
+        m = exact_quantile(df.select(x), [], x, 0.5, "_m")
         n = df.agg(F.count(x).alias("_n"))
         return _expand(m.crossJoin(n), [_result(rule, F.col("_n"), F.lit(0), F.col("_m"), in_bounds(F.col("_m"), rule))])  # one row each
     if kind == "increasing":

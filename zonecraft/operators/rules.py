@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecraft.functions import hashing as H
-from zonecraft.functions.exprs import all_of
+from zonecraft.functions.exprs import all_of, null_safe_join
 from zonecraft.operators import window as W
+from zonecraft.operators.aggregate import collect_chunks
 
 HANDLERS: dict = {}
 
@@ -192,22 +193,64 @@ def agg_column(spec):
 
 @register_rule("aggregate")
 def aggregate(df, cfg):
-    return df.groupBy(*cfg.get("group_by", [])).agg(*[agg_column(a) for a in cfg["aggregations"]])
+    """Group by with aggregates.  Lists (collect_list, collect_set) may have any length, so they come in
+    parts of at most `chunk_size` sorted values: a row per key and `part`, from 0, with the other aggregates on each."""
+    keys, specs = cfg.get("group_by", []), cfg["aggregations"]
+    kind = lambda a: a.get("function") or a.get("func")
+    lists = [a for a in specs if kind(a) in ("collect_list", "collect_set")]
+    out = df.groupBy(*keys).agg(*([agg_column(a) for a in specs if a not in lists] or [F.count(F.lit(1)).alias("_n")]))
+    if not lists:
+        return out
+    parts = None
+    for a in lists:
+        values = df.select(*keys, a["column"]).filter(F.col(a["column"]).isNotNull())
+        values = values.distinct() if kind(a) == "collect_set" else values
+        name = a.get("alias") or f"{a['column']}_{kind(a)}"
+        one = collect_chunks(values, keys, a["column"], [a["column"]], None, cfg.get("chunk_size", 10_000)).withColumnRenamed("values", name)
+        if parts is None:
+            parts = one
+        else:
+            parts = parts.withColumnsRenamed({k: f"_l_{k}" for k in [*keys, "part"]})
+            same = all_of([F.col(f"_l_{k}").eqNullSafe(one[k]) for k in [*keys, "part"]])
+            lists_of = [c for c in parts.columns if not c.startswith("_l_")]
+            parts = parts.join(one, same, "full_outer").select(*[F.coalesce(F.col(f"_l_{k}"), one[k]).alias(k) for k in [*keys, "part"]], *lists_of, name)
+    if keys:
+        out = null_safe_join(out, parts, keys, "left")
+    else:
+        out = out.crossJoin(parts)  # one row of aggregates
+    names = [a.get("alias") or f"{a['column']}_{kind(a)}" for a in lists]
+    none = {n: F.coalesce(F.col(n), F.array().cast(parts.schema[n].dataType)) for n in names}
+    return out.withColumns({"part": F.coalesce("part", F.lit(0).cast("long")), **none}).drop("_n")
+
+
+RUNNING = {"sum", "count", "min", "max", "avg", "mean"}
+SPLIT_FUNCTIONS = RUNNING | {"row_number", "rank", "dense_rank", "lag", "lead"}
+
+
+def _running_with_ties(df, keys, order, ties, bucket, aggs):
+    """Running aggregates up to the last row that ties with the current one, as SQL's default frame has
+    them: rows that tie are aggregated first, so many of them are one."""
+    per = df.groupBy(*keys, *ties).agg(*[W._COMBINE[f][0](F.col(v) if isinstance(v, str) else v).alias(f"_p{n}") for n, (f, v) in aggs.items()])
+    run = W.running(per, keys, order, bucket, **{n: ("sum" if f == "count" else f, f"_p{n}") for n, (f, _) in aggs.items()})
+    return null_safe_join(df, run.drop(*[f"_p{n}" for n in aggs]), [*keys, *ties])
 
 
 @register_rule("window")
 def window(df, cfg):
-    """Window column.  With `bucket` (a SQL expression monotone in the first order column) large
-    keys are split; without it each key is one group, which suits keys of bounded size."""
-    if cfg.get("func") and cfg.get("bucket"):  # text form, e.g. "rank()" with "price DESC"
+    """Window column.  Large keys are split: at `bucket`, a SQL expression monotone in the first order
+    column, or else into ranges taken from the data.  With `bounded`, every key is known to be small and is one group."""
+    if cfg.get("func"):  # text form, e.g. "rank()" with "price DESC"
+        fn, _, arg = cfg["func"].strip().rstrip(")").partition("(")
+        args = [x.strip() for x in arg.split(",") if x.strip()]
         order = [dict(zip(("column", "direction"), o.split())) for o in cfg.get("order_by", [])]
-        fn, _, arg = cfg["func"].rstrip(")").partition("(")
-        return window(df, {"function": fn, "column": arg or None, "partition_by": cfg.get("partition_by", []), "order_by": order,
-                           "bucket": cfg["bucket"], "output_column": cfg["name"]})
-    if cfg.get("func"):
+        known = fn.lower() in SPLIT_FUNCTIONS and len(args) <= 1 + (fn.lower() in ("lag", "lead")) and (not args or args[0] in df.columns) and all(o["column"] in df.columns for o in order)
+        if known and not cfg.get("bounded"):
+            more = {"offset": int(args[1])} if len(args) > 1 else {}
+            return window(df, {"function": fn.lower(), "column": args[0] if args else None, "partition_by": cfg.get("partition_by", []), "order_by": order,
+                               "bucket": cfg.get("bucket"), "frame": "range", "output_column": cfg["name"], **more})
         part = f"PARTITION BY {', '.join(cfg['partition_by'])} " if cfg.get("partition_by") else ""
-        order = f"ORDER BY {', '.join(cfg['order_by'])}" if cfg.get("order_by") else ""
-        return df.withColumn(cfg["name"], F.expr(f"{cfg['func']} OVER ({part}{order})"))
+        ordered = f"ORDER BY {', '.join(cfg['order_by'])}" if cfg.get("order_by") else ""
+        return df.withColumn(cfg["name"], F.expr(f"{cfg['func']} OVER ({part}{ordered})"))
     keys, fn, c = cfg.get("partition_by", []), cfg.get("function", "sum"), cfg.get("column")
     order = [(F.desc if o.get("direction", "asc").lower() == "desc" else F.asc)(o["column"]) if isinstance(o, dict) else F.asc(o)
              for o in cfg.get("order_by", [])]
@@ -217,23 +260,25 @@ def window(df, cfg):
            "lag": lambda w: F.lag(c, off).over(w), "lead": lambda w: F.lead(c, off).over(w)}
     if not order:
         return W.with_group_stats(df, keys, _AGG[fn](F.col(c)).alias(out))
-    if cfg.get("bucket"):
-        b = F.expr(cfg["bucket"])
+    if not cfg.get("bounded"):
+        b = F.expr(cfg["bucket"]) if cfg.get("bucket") else None
+        ties = [o["column"] if isinstance(o, dict) else o for o in cfg["order_by"]]
         if fn in ("lag", "lead"):
             return W.framed(df, keys, order, b, off, off, {out: fns[fn]})
         if fn == "row_number":
             return W.with_position(df, keys, order, b, out)
         if fn in ("rank", "dense_rank"):
-            ties = [o["column"] if isinstance(o, dict) else o for o in cfg["order_by"]]
             r = W.with_ranks(df, keys, order, ties, b)
             return r.withColumn(out, F.col(fn)).drop(*[x for x in ("row_num", "rank", "dense_rank") if x != out])
         if frame:
             return W.framed(df, keys, order, b, max(-frame[0], 0), max(frame[1], 0), {out: lambda w: _AGG[fn](F.col(c)).over(w.rowsBetween(*frame))})
-        if fn in ("sum", "count", "min", "max"):
-            return W.running(df, keys, order, b, **{out: (fn, c)})
-        if fn in ("avg", "mean"):
-            x = W.running(df, keys, order, b, _zc_sum=("sum", c), _zc_n=("count", c))
-            return x.withColumn(out, F.col("_zc_sum") / F.when(F.col("_zc_n") > 0, F.col("_zc_n"))).drop("_zc_sum", "_zc_n")
+        if fn in RUNNING:
+            value = F.lit(1) if c is None or c == "*" else c
+            aggs = {"_zc_sum": ("sum", value), "_zc_n": ("count", value)} if fn in ("avg", "mean") else {out: (fn, value)}
+            x = _running_with_ties(df, keys, order, ties, b, aggs) if cfg.get("frame") == "range" else W.running(df, keys, order, b, **aggs)
+            if fn in ("avg", "mean"):
+                x = x.withColumn(out, F.col("_zc_sum") / F.when(F.col("_zc_n") > 0, F.col("_zc_n"))).drop("_zc_sum", "_zc_n")
+            return x
     w = Window.partitionBy(*keys).orderBy(*order)
     if fn in fns:
         return df.withColumn(out, fns[fn](w))

@@ -5,6 +5,9 @@ ordered buckets (a monotone function of the leading order column, e.g. the day o
 timestamp).  Work inside a bucket is a small window; what has to be carried from earlier
 buckets is an aggregate with one row per (key, bucket).  Row frames are evaluated on blocks
 of consecutive positions, each with a halo of the neighbouring rows the frame can reach.
+
+Where no such function is known (`bucket` None), the rows are dealt into ranges of key and order whose
+bounds come from the data, so a dense stretch of a key is cut as often as it needs.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecraft.functions.exprs import all_of, col, null_safe_join
+from zonecraft.functions.exprs import all_of, any_of, col, null_safe_join
+from zonecraft.session import store
 
-B = "_zc_bucket"
 OFF = "_zc_offset"
-
-
 KEY = "_zc_key"
+RANGE = "_zc_range"
+AT = "_zc_at"
 
 
 def _order(cols):
@@ -37,24 +40,36 @@ def _prior_struct(keys):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _prior(w_keys):
-    return Window.partitionBy(*w_keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
+def in_ranges(df: DataFrame, keys, order) -> DataFrame:
+    """`df` with the number of each row's range of (keys, order), ascending.
+
+    Bounds are sampled from the rows, so a task holds its share of them however few keys there are; a key
+    has at most as many ranges as there are partitions, and rows that are equal in keys and order share one.
+    The ranges are stored, so numbers stay as they are when a task runs again and the input is read once."""
+    return store(df.repartitionByRange(*_order([*keys, *order])).withColumn(RANGE, F.spark_partition_id()))
+
 
+def _cut(df: DataFrame, keys, order, bucket: Column | None) -> tuple[DataFrame, Column]:
+    return (df, bucket) if bucket is not None else (in_ranges(df, keys, order), F.col(RANGE))
 
-def with_position(df: DataFrame, keys, order, bucket: Column, name: str = "position") -> DataFrame:
+
+def with_position(df: DataFrame, keys, order, bucket: Column | None = None, name: str = "position") -> DataFrame:
     """1-based row number per key."""
-    keys = list(keys)
+    keys, have = list(keys), df.columns
+    df, bucket = _cut(df, keys, order, bucket)
     x = _keyed(df, keys, bucket)
     sizes = x.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select(KEY, F.coalesce(F.sum("_n").over(_prior_struct(keys)), F.lit(0)).alias(OFF))
     local = F.row_number().over(Window.partitionBy(KEY).orderBy(*_order(order)))
     y = x.withColumn("_rn", local).join(offs, KEY)
-    return y.withColumn(name, (F.col(OFF) + F.col("_rn")).cast("long")).drop(KEY, OFF, "_rn")
+    return y.withColumn(name, (F.col(OFF) + F.col("_rn")).cast("long")).select(*dict.fromkeys([*have, name]))
 
 
-def with_ranks(df: DataFrame, keys, order, ties, bucket: Column) -> DataFrame:
-    """row_number (total order `order`), rank and dense_rank over the tie columns `ties`."""
+def with_ranks(df: DataFrame, keys, order, ties, bucket: Column | None = None) -> DataFrame:
+    """row_number (total order `order`), rank and dense_rank over the tie columns `ties`, the leading ones of
+    the order; rows that tie share a range, as their rank is one."""
     keys, ties = list(keys), list(ties)
+    df, bucket = _cut(df, keys, list(order)[:len(ties)], bucket)
     x = _keyed(df, keys, bucket)
     levels = x.groupBy(KEY, *ties).agg(F.count(F.lit(1)).alias("_n"))
     sizes = levels.groupBy(KEY).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
@@ -67,7 +82,7 @@ def with_ranks(df: DataFrame, keys, order, ties, bucket: Column) -> DataFrame:
     return (y.withColumn("row_num", (F.col(OFF) + F.col("_rn")).cast("long"))
              .withColumn("rank", (F.col(OFF) + F.col("_rk")).cast("long"))
              .withColumn("dense_rank", (F.col("_doff") + F.col("_dr")).cast("long"))
-             .drop(KEY, OFF, "_doff", "_rn", "_rk", "_dr"))
+             .drop(KEY, OFF, "_doff", "_rn", "_rk", "_dr", RANGE))
 
 
 _COMBINE = {
@@ -78,18 +93,19 @@ _COMBINE = {
 }
 
 
-def running(df: DataFrame, keys, order, bucket: Column, **aggs) -> DataFrame:
+def running(df: DataFrame, keys, order, bucket: Column | None = None, **aggs) -> DataFrame:
     """Running aggregates from the first row of the key to the current row.
 
     Each keyword is `out=("sum" | "count" | "min" | "max", column)`."""
-    keys = list(keys)
+    keys, have = list(keys), df.columns
+    df, bucket = _cut(df, keys, order, bucket)
     x = _keyed(df, keys, bucket)
     per = x.groupBy(KEY).agg(*[_COMBINE[f][0](col(c)).alias(f"_p_{n}") for n, (f, c) in aggs.items()])
     prior = per.select(KEY, *[_COMBINE[f][1](f"_p_{n}").over(_prior_struct(keys)).alias(f"_o_{n}") for n, (f, _) in aggs.items()])
     w = (Window.partitionBy(KEY).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     y = x.withColumns({f"_l_{n}": _COMBINE[f][0](col(c)).over(w) for n, (f, c) in aggs.items()}).join(prior, KEY)
     y = y.withColumns({n: _COMBINE[f][2](F.col(f"_o_{n}"), F.col(f"_l_{n}")) for n, (f, _) in aggs.items()})
-    return y.drop(KEY, *[f"_{p}_{n}" for n in aggs for p in "lo"])
+    return y.select(*dict.fromkeys([*have, *aggs]))
 
 
 def _blocks(df: DataFrame, keys, order, bucket, preceding: int, following: int, block: int | None, pos: str) -> DataFrame:
@@ -108,15 +124,16 @@ def _blocks(df: DataFrame, keys, order, bucket, preceding: int, following: int,
     return x.withColumn("_zc_c", F.explode(copies))
 
 
-def framed(df: DataFrame, keys, order, bucket: Column, preceding: int, following: int, exprs,
+def framed(df: DataFrame, keys, order, bucket: Column | None, preceding: int, following: int, exprs,
            block: int | None = None, position: str | None = None) -> DataFrame:
     """Bounded row frames: `exprs` maps a name to `f(window_spec)`; the spec is ordered and
     unframed so `exprs` may use lag/lead (within the reach) or `rowsBetween`."""
-    keys, pos = list(keys), position or "_zc_pos"
+    keys, pos, have = list(keys), position or "_zc_pos", df.columns
+    df, bucket = _cut(df, keys, order, bucket)
     y = _blocks(df, keys, order, bucket, preceding, following, block, pos)
     w = Window.partitionBy(*keys, F.col("_zc_c.blk")).orderBy(pos)
-    y = y.withColumns({n: f(w) for n, f in exprs.items()}).filter("_zc_c.own").drop("_zc_c")
-    return y if position else y.drop(pos)
+    y = y.withColumns({n: f(w) for n, f in exprs.items()}).filter("_zc_c.own")
+    return y.select(*dict.fromkeys([*have, *([pos] if position else []), *exprs]))
 
 
 def framed_arrays(df: DataFrame, keys, order, bucket: Column, preceding: int, value: str, fn, outputs, block: int | None = None) -> DataFrame:
@@ -155,35 +172,47 @@ def top_per_group(df: DataFrame, keys, order, k: int, rank_name: str | None = No
     return out if rank_name else out.drop(name)
 
 
-def exact_quantile(df: DataFrame, keys, value: str, bucket: Column, q: float = 0.5,
-                   name: str = "quantile") -> DataFrame:
-    """Exact interpolated quantile per key.  Only the rows of the one or two value buckets that
-    hold the target ranks are moved and sorted."""
+def exact_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per key, a column for each of `quantiles` (name to share), in one pass.
+
+    Equal values are counted before they are shuffled, so a frequent value is one row.  The counts are cut into
+    ranges of (key, value) and added up, one row per key and range; only the ranges that hold a wanted
+    rank are read again, and there the running count of values says which of them has it."""
     keys = list(keys)
-    x = df.filter(F.col(value).isNotNull()).withColumn(B, bucket)
-    hist = x.groupBy(*keys, B).agg(F.count(F.lit(1)).alias("_n"))
-    cum = hist.withColumn(OFF, F.coalesce(F.sum("_n").over(_prior(keys)), F.lit(0)))
-    tot = hist.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
-    at = (F.col("_tot") - 1) * F.lit(float(q))
-    cum = null_safe_join(cum, tot, keys) if keys else cum.crossJoin(tot)  # one-row side when unkeyed
-    cum = (cum.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_frac", at - F.floor(at))
-              .filter(((F.col("_lo") >= F.col(OFF)) & (F.col("_lo") < F.col(OFF) + F.col("_n"))) |
-                      ((F.col("_hi") >= F.col(OFF)) & (F.col("_hi") < F.col(OFF) + F.col("_n"))))
-              .select(*keys, B, OFF, "_lo", "_hi", "_frac"))
-    y = null_safe_join(x.select(*keys, B, value), cum, [*keys, B])
-    i = F.col(OFF) + F.row_number().over(Window.partitionBy(*keys, B).orderBy(value)) - 1
-    y = y.withColumn("_i", i).filter((F.col("_i") == F.col("_lo")) | (F.col("_i") == F.col("_hi")))
-    lo = F.max(F.when(F.col("_i") == F.col("_lo"), F.col(value)))
-    hi = F.max(F.when(F.col("_i") == F.col("_hi"), F.col(value)))
-    return y.groupBy(*keys).agg((lo + (hi - lo) * F.max("_frac")).alias(name))
-
-
-def with_sequence(df: DataFrame, key: str, start: Column | int = 0, width: int = 1_000_000,
-                  name: str = "sk") -> DataFrame:
-    """Dense numbering by a numeric key over the whole table without a single-task sort."""
-    b = F.floor(F.col(key) / width)
-    out = with_position(df, [], [key], b, "_zc_seq")
-    return out.withColumn(name, (F.lit(start) if isinstance(start, int) else start) + F.col("_zc_seq")).drop("_zc_seq")
+    x = in_ranges(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), keys, [value])
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_p").over(whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = x.groupBy(*keys, RANGE).agg(F.sum("_n").alias("_p")).select(*keys, RANGE, "_p", before.alias(OFF), F.sum("_p").over(whole).alias("_tot"))
+    at = {n: (F.col("_tot") - 1) * F.lit(float(q)) for n, q in quantiles.items()}
+    ends = {n: (F.floor(a), F.ceil(a)) for n, a in at.items()}
+    holds = lambda rank, first, count: (rank >= first) & (rank < first + count)
+    wanted = per.filter(any_of([holds(r, F.col(OFF), F.col("_p")) for pair in ends.values() for r in pair])).drop("_p")
+    upto = F.sum("_n").over(Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    y = null_safe_join(x, wanted, [*keys, RANGE]).withColumn("_i", F.col(OFF) + upto - F.col("_n"))
+    pick = lambda rank: F.max(F.when(holds(rank, F.col("_i"), F.col("_n")), F.col(value)))
+    shares = {n: F.max(a - F.floor(a)) for n, a in at.items()}
+    return y.groupBy(*keys).agg(*[(pick(lo) + (pick(hi) - pick(lo)) * shares[n]).alias(n) for n, (lo, hi) in ends.items()])
+
+
+def exact_quantile(df: DataFrame, keys, value: str, q: float = 0.5, name: str = "quantile") -> DataFrame:
+    """One of `exact_quantiles`."""
+    return exact_quantiles(df, keys, value, {name: q})
+
+
+def sequenced(df: DataFrame, order, start: Column | int = 0, name: str = "sk") -> DataFrame:
+    """Dense numbers after `start` in the order of `order` over the whole table, whatever its values.
+
+    Rows are sorted in ranges whose bounds come from the data and stored with their place in the range;
+    a number is that place after the rows of the ranges before, whose counts are one row a partition."""
+    have = df.columns
+    sorted_ = df.repartitionByRange(*_order(order)).sortWithinPartitions(*_order(order))
+    x = store(sorted_.withColumn(AT, F.monotonically_increasing_id())).withColumn(RANGE, F.shiftright(AT, 33))  # the partition stands above 33 bits
+    per = x.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    y = x.join(F.broadcast(per.select(RANGE, before.alias(OFF))), RANGE)  # one row a partition
+    base = F.lit(start) if isinstance(start, int) else F.coalesce(start, F.lit(0))
+    number = base + F.col(OFF) + F.col(AT).bitwiseAND((1 << 33) - 1) + 1
+    return y.withColumn(name, number.cast("long")).select(*dict.fromkeys([*have, name]))
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys) -> Column:

@@ -95,7 +95,7 @@ ORDER BY failure_rate DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_su
 def md_7(t):
     log = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") / 100).cast("double").alias("total_records"), F.col("l_quantity").alias("failed_records"),
                             (F.col("l_returnflag") != "R").alias("is_passed"), F.col("l_shipdate").alias("created_at"))
-    return M.validation_failures(log, "1997-01-01").drop("is_passed", "created_at")
+    return M.validation_failures(log, "1997-01-01", top=20).drop("is_passed", "created_at")
 
 
 @query("md_8", """SELECT event_type AS error_type, count(*) AS error_count, count(DISTINCT user_id) AS affected_runs, round(avg(event_id % 4), 6) AS avg_retries, count(*) FILTER (WHERE value < 50) AS resolved, count(*) FILTER (WHERE value > 100) AS transient

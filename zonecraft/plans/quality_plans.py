@@ -178,7 +178,7 @@ def dq_19(t):
 
 @query("dq_20", row("a", "lineitem", n="count(l_extendedprice)", o="round(median(l_extendedprice), 4)", ok="median(l_extendedprice) BETWEEN 1000 AND 100000"))
 def dq_20(t):
-    return show(Q.run_suite(t.lineitem, [rule("a", "median", "l_extendedprice", min=1000, max=100000, width=1)]))
+    return show(Q.run_suite(t.lineitem, [rule("a", "median", "l_extendedprice", min=1000, max=100000)]))
 
 
 @query("dq_21", both(
@@ -326,6 +326,19 @@ def dq_33(t):
     return out
 
 
+_KINDS = ["not_null", "unique", "range", "regex", "in_set", "Referential", "row_count", "custom_sql", "freshness", "no_such_rule"]
+
+
+@query("dq_34", f"""WITH r AS (SELECT p_partkey AS rule_id, ({_KINDS})[p_partkey % 10 + 1] AS rule_type FROM part)
+SELECT rule_id, rule_type, CASE lower(rule_type) WHEN 'not_null' THEN 'expect_column_values_to_not_be_null' WHEN 'unique' THEN 'expect_column_values_to_be_unique' WHEN 'range' THEN 'expect_column_values_to_be_between'
+ WHEN 'regex' THEN 'expect_column_values_to_match_regex' WHEN 'in_set' THEN 'expect_column_values_to_be_in_set' WHEN 'referential' THEN 'expect_column_pair_values_to_be_in_set' WHEN 'row_count' THEN 'expect_table_row_count_to_be_between'
+ WHEN 'custom_sql' THEN 'expect_column_values_to_match_sql_condition' WHEN 'freshness' THEN 'expect_column_max_to_be_between' END AS expectation FROM r""")
+def dq_34(t):
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    r = t.part.select(F.col("p_partkey").alias("rule_id"), F.element_at(kinds, (F.col("p_partkey") % 10 + 1).cast("int")).alias("rule_type"))
+    return r.withColumn("expectation", Q.expectation_of("rule_type"))
+
+
 @query("dq_35", "WITH " + RES_SQL + f""", bad AS (SELECT DISTINCT rule_id, CASE rule_id WHEN 'q' THEN CAST(l_quantity AS VARCHAR) WHEN 'f' THEN l_returnflag END AS v
   FROM (SELECT *, unnest({_FAILS}) AS rule_id FROM lineitem) WHERE rule_id IN ('q', 'f')),
 rk AS (SELECT rule_id, v, row_number() OVER (PARTITION BY rule_id ORDER BY v) AS rn FROM bad),

@@ -132,7 +132,7 @@ SELECT user_id AS script_id, ok AS fixed_count, round(ok / n, 6) AS success_rate
  round(greatest(0.1, 0.4 * least(ok / 20, 1.0) + 0.3 * ok / n + 0.2 * CASE WHEN t > 0 THEN greatest(0.0, 1 - t / 60) ELSE 0.5 END + 0.1 * greatest(0.0, 1 - d / 30)), 6) AS score FROM s""")
 def rt_6(t):
     r = t.events.select(F.col("user_id").alias("script_id"), F.col("event_id").alias("execution_id"), F.col("ts").alias("executed_at"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("resolution_time"))
-    x = K.history_scores(r, "2024-01-31")
+    x = K.history_scores(r, "2024-01-31", last=50)
     return x.select("script_id", "fixed_count", F.round("success_rate", 6).alias("success_rate"), F.round("avg_resolution_time", 8).alias("avg_resolution_time"), F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"))
 
 
@@ -238,7 +238,7 @@ k1 AS (SELECT *, ({_dedup('k')})[1:15] AS kw FROM k0), k2 AS (SELECT *, flatten(
 SELECT conv_id, turn, CASE WHEN b.s > 0 THEN b.intent ELSE 'unknown' END AS intent, round((least(b.s * 2, 1.0) + 0.7) / 2, 6) AS confidence, service, severity, array_to_string(kw, ',') AS keywords, array_to_string(({_dedup('ex')})[1:10], ',') AS expansion,
  instance_name, zone, pod_name, database_name, error_code FROM k2""")
 def rt_14(t):
-    x = K.understand(incidents(t), "text")
+    x = K.understand(incidents(t), "text", keyword_limit=15, synonyms=2, expansion_limit=10)
     e = lambda n: F.element_at("entities", F.lit(n)).alias(n)
     return x.select("conv_id", "turn", "intent", F.round("confidence", 6).alias("confidence"), "service", "severity", F.array_join("keywords", ",").alias("keywords"), F.array_join("expansion", ",").alias("expansion"),
                     e("instance_name"), e("zone"), e("pod_name"), e("database_name"), e("error_code"))

@@ -184,6 +184,15 @@ def pr_22(t):
                                               F.col("_load_timestamp").isNotNull().alias("stamped"), "n_ids")
 
 
+@query("pr_29", "SELECT 'orders' AS component, count(*) AS n_rows, count(*) FILTER (WHERE o_totalprice > 100000) AS n_kept FROM orders")
+def pr_29(t):
+    """The counts that a pipe of two components observes while its rows pass through, read without another job."""
+    seen, before = R.counted(t.orders, "n_rows")
+    kept, after = R.counted(R.where(seen, ("o_totalprice", "greater than", 100000)), "n_kept")
+    kept.write.format("noop").mode("overwrite").save()
+    return t.orders.sparkSession.createDataFrame([("orders", before.get["n_rows"], after.get["n_kept"])], "component string, n_rows bigint, n_kept bigint")
+
+
 @query("pr_23", """
 SELECT 'raw' AS zone, c_custkey, c_name, 'B9' AS tag FROM customer UNION ALL SELECT 'silver', c_custkey, trim(c_name, ' '), 'stamped' FROM customer
 UNION ALL SELECT 'gold', c_custkey, c_name, 'true' FROM customer UNION ALL SELECT 'consumption', c_custkey, c_name, 'stamped' FROM customer""")
@@ -236,15 +245,15 @@ def pr_28(t):
 # ---- joins -----------------------------------------------------------------------------------
 
 @query("jn_1", """
-SELECT 'inner' AS kind, count(*) AS n, count(o_orderkey) AS n_right FROM customer JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) ON c_custkey = o_custkey
-UNION ALL SELECT 'left', count(*), count(o_orderkey) FROM (SELECT * FROM customer WHERE c_acctbal > 0) LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey
-UNION ALL SELECT 'right', count(*), count(o_orderkey) FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey
-UNION ALL SELECT 'full', count(*), count(o_orderkey) FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey""")
+SELECT 'inner' AS kind, count(*) AS n, count(o_orderkey) AS n_right, count(c_custkey) AS n_left FROM customer JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'left', count(*), count(o_orderkey), count(c_custkey) FROM customer LEFT JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'right', count(*), count(o_orderkey), count(c_custkey) FROM customer RIGHT JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'full', count(*), count(o_orderkey), count(c_custkey) FROM customer FULL JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'cross', count(*), count(n_nationkey), count(c_custkey) FROM customer CROSS JOIN nation""")
 def jn_1(t):
-    c, o = t.customer.filter("c_acctbal > 0"), t.orders.filter("o_totalprice > 400000")
     out = None
-    for kind, a, b in [("inner", t.customer, t.orders.filter("o_totalprice > 100000")), ("left", c, o), ("right", c, o), ("full", c, o)]:
-        x = J.join_on(a, b, [("c_custkey", "o_custkey")], kind).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("n_right"))
+    for kind, right, key, keys in [*[(k, t.orders, "o_orderkey", [("c_custkey", "o_custkey")]) for k in ("inner", "left", "right", "full")], ("cross", t.nation, "n_nationkey", [])]:
+        x = J.join_on(t.customer, right, keys, kind).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.count(key).alias("n_right"), F.count("c_custkey").alias("n_left"))
         out = x if out is None else out.union(x)
     return out
 
@@ -424,7 +433,7 @@ def ag_7(t):
 
 @query("ag_8", "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS median_price FROM lineitem GROUP BY 1, 2")
 def ag_8(t):
-    x = W.exact_quantile(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", F.floor("l_extendedprice"), 0.5, "median_price")
+    x = W.exact_quantile(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.5, "median_price")
     return x.withColumn("median_price", F.round("median_price", 4))
 
 
@@ -464,10 +473,8 @@ def ag_13(t):
 
 @query("ag_14", "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def ag_14(t):
-    b = F.floor(F.col("value") * 10)
-    p95 = W.exact_quantile(t.events, ["event_type"], "value", b, 0.95, "p95")
-    p99 = W.exact_quantile(t.events, ["event_type"], "value", b, 0.99, "p99").withColumnRenamed("event_type", "e")
-    return p95.join(p99, F.col("event_type") == F.col("e")).select("event_type", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
+    x = W.exact_quantiles(t.events, ["event_type"], "value", {"p95": 0.95, "p99": 0.99})
+    return x.select("event_type", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
 
 
 @query("ag_15", "SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM events GROUP BY 1")

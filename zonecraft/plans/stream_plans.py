@@ -83,7 +83,7 @@ SELECT 'INC-PIPE-' || upper(substring(sha256('pipeline:dag_' || user_id || ':' |
  CASE WHEN value > 20 THEN 2 ELSE 0 END AS n_tasks, CASE WHEN value > 20 THEN 'a' || user_id || ': ' || pat || ' - log of task' || chr(10) || 'b' || user_id || ': timeout - log of task' ELSE '' END AS summary FROM f""")
 def sm_10(t):
     p = E.parse(messages(t), "pipeline.failed").withColumn("at", F.to_timestamp("timestamp"))
-    x = E.failure_incidents(p, "at")
+    x = E.failure_incidents(p, "at", most_tasks=5, most_chars=200)
     return x.select("incident_id", "dag_id", "run_id", "team", "pattern", "severity", "cause_hint", "n_tasks", "summary")
 
 

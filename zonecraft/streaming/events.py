@@ -82,11 +82,13 @@ def incident_id(dag: Column, run: Column, when, window: int = DEDUP_SECONDS) ->
     return F.concat(F.lit("INC-PIPE-"), F.upper(F.substring(F.sha2(F.concat_ws(":", F.lit("pipeline"), dag, run, slot), 256), 1, 12)))
 
 
-def failure_incidents(failed: DataFrame, when: str) -> DataFrame:
-    """Incident rows from failure events: severity and cause of the first task, summary of five."""
+def failure_incidents(failed: DataFrame, when: str, most_tasks: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """Incident rows from failure events: severity and cause of the first task, a line of summary per task, of all or the
+    first `most_tasks`, each with its whole log snippet or `most_chars` of it."""
     tasks = F.col("failed_tasks")
     first = F.coalesce(F.get(tasks, F.lit(0)).getField("failure_pattern"), F.lit("unknown"))
-    lines = F.transform(F.slice(tasks, 1, 5), lambda x: F.concat(x["task_id"], F.lit(": "), x["failure_pattern"], F.lit(" - "), F.substring(x["log_snippet"], 1, 200)))
+    log = lambda x: x["log_snippet"] if most_chars is None else F.substring(x["log_snippet"], 1, most_chars)
+    lines = F.transform(tasks if most_tasks is None else F.slice(tasks, 1, most_tasks), lambda x: F.concat(x["task_id"], F.lit(": "), x["failure_pattern"], F.lit(" - "), log(x)))
     return failed.select(
         incident_id(F.col("dag_id"), F.col("run_id"), when).alias("incident_id"), "pipeline_id", "dag_id", "run_id",
         F.coalesce("team", F.lit("data-engineering")).alias("team"), first.alias("pattern"), case_map(first, SEVERITY, "P3").alias("severity"),
