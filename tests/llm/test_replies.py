@@ -94,10 +94,10 @@ def test_conversations_come_back(spark, part, monkeypatch):
     want = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
         want[c].append((role, text))
-    parts = R.formatted(table, R.branches(R.turn_links(table, "conv", "turn")), "conv", "turn")
-    for together in (True, False):
-        got = {x.tree: tuple(x)[2:] for x in R.digests(parts, together).collect()}
-        assert got == brute_digests(want)
+    paths = R.branches(R.turn_links(table, "conv", "turn"))
+    parts = R.formatted(table, paths, "conv", "turn")
+    for found in (R.digests(parts), R.round_trip(table, paths, "conv", "turn")):
+        assert {x.tree: tuple(x)[2:] for x in found.collect()} == brute_digests(want)
     most = max(parts.filter("tree = 500").collect(), key=lambda x: x.part)
     assert most.part == -(-400 // part) - 1
     for x in parts.collect():

@@ -246,7 +246,7 @@ def op11(spark, folder):
     trial = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(trial)
     paths = reply_trees.branches(reply_trees.turn_links(turns, "conv_id", "turn"))
-    found = reply_trees.digests(reply_trees.formatted(turns, paths, "conv_id", "turn"), together=True)
+    found = reply_trees.round_trip(turns, paths, "conv_id", "turn")
     return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

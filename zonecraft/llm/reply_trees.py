@@ -77,10 +77,10 @@ def climbed(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     2^k steps up, for k = 0, 1, ...).
 
     A round joins the messages that have not reached their root with the stretch their ancestor has
-    covered.  A parent that is not there makes its child a root.  Messages on or behind a circle never
+    covered.  `links` should be a stored table.  A parent that is not there makes its child a root.  Messages on or behind a circle never
     reach a root; they are left out once no path can be as long as their stretch."""
     at, up = F.xxhash64("node"), F.xxhash64("up")
-    first = store(links.select("node", "up", F.lit(1).cast("long").alias("length"), F.col("score").alias("total")))
+    first = links.select("node", "up", F.lit(1).cast("long").alias("length"), F.col("score").alias("total"))
     count = first.count()
     finished, climbing, jumps = first.filter("up is null"), first.filter("up is not null"), []
     while not climbing.isEmpty() and 1 << len(jumps) <= 2 * count:
@@ -101,8 +101,7 @@ def branches(links: DataFrame, best: int | None = 1) -> DataFrame:
     are sorted in one task."""
     links = store(links)
     reached, jumps = climbed(links)
-    parents = store(links.select("up").filter("up is not null").distinct())
-    leaves = reached.join(parents.select(F.col("up").alias("node")), "node", "left_anti")
+    leaves = reached.join(links.filter("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
     order = Window.partitionBy("node.tree").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     chosen = ranked if best is None else ranked.filter(F.col("rank") <= best)
@@ -119,14 +118,10 @@ def branches(links: DataFrame, best: int | None = 1) -> DataFrame:
 
 # ---- conversations ---------------------------------------------------------------------------
 
-def formatted(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str, role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """(tree, rank, part, n_messages, text, loss): the conversations of `branches`, one row or, beyond PART messages
-    or PART_CHARS characters, several; `loss` lists (start, end), in code points, of the texts of `loss_role`.
+def _in_order(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(tree, rank, place, role, text) of the messages on `paths`, each branch in one partition and in order.
 
-    Rows that share tree and id are one message in several pieces, ordered by role and text.  A null
-    text or role is empty.  Texts are shuffled once, with the places of their messages, to
-    their tree, and then streamed in order; a task holds one part, however long a conversation is.  The
-    parts of a conversation come one after another in one partition.  An empty table gives no rows."""
+    Texts are shuffled once, with the places of their messages, to their tree, and sorted there."""
     of = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
     node = F.struct(column(tree_col).alias("tree"), column(id_col).alias("id")).alias("node")
     said = messages.select(node, F.lit(None).cast("struct<rank:int,place:bigint>").alias("at"), of(role_col).alias("role"), of(text_col).alias("text"))
@@ -135,7 +130,14 @@ def formatted(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str,
     # the window keeps the partitioning by tree, so texts meet their places without another shuffle
     places = both.withColumn("ats", F.collect_list("at").over(Window.partitionBy("tree", "node")))
     spoken = places.filter("text is not null").select("tree", F.explode("ats").alias("at"), "role", "text").select("tree", "at.rank", "at.place", "role", "text")
-    ordered = spoken.sortWithinPartitions("tree", "rank", "place", "role", "text")
+    return spoken.sortWithinPartitions("tree", "rank", "place", "role", "text")
+
+
+PARTS = "rank int, part int, n_messages int, text string, loss array<struct<start:bigint,end:bigint>>"
+
+
+def _written(loss_role: str):
+    """Batches of messages in order to batches of parts; one part is held."""
 
     def work(batches):
         current, part, pieces, loss, size = None, 0, [], [], 0
@@ -152,16 +154,27 @@ def formatted(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str,
                     loss.append((size + len(head), size + len(head) + len(body)))
                 pieces.append(f"{head}{body}{END}\n")
                 size += len(pieces[-1])
-            if len(rows) >= 64 or sum(len(r[4]) for r in rows) >= PART_CHARS:
-                yield _batch(rows, batch.schema.field(0).type)
-                rows = []
+                if len(rows) >= 64 or sum(len(r[4]) for r in rows) >= PART_CHARS:
+                    yield _batch(rows, batch.schema.field(0).type)
+                    rows = []
         if pieces:
             rows.append((*current, part, len(pieces), "".join(pieces), loss))
         if rows:
             yield _batch(rows, batch.schema.field(0).type)
 
+    return work
+
+
+def formatted(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str, role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+    """(tree, rank, part, n_messages, text, loss): the conversations of `branches`, one row or, beyond PART messages
+    or PART_CHARS characters, several; `loss` lists (start, end), in code points, of the texts of `loss_role`.
+
+    Rows that share tree and id are one message in several pieces, ordered by role and text.  A null
+    text or role is empty.  A task streams its trees and holds one part, however long a conversation is; the
+    parts of a conversation come one after another in one partition.  An empty table gives no rows."""
+    ordered = _in_order(messages, paths, tree_col, id_col, role_col, text_col)
     kind = ordered.schema["tree"].dataType.simpleString()
-    return ordered.mapInArrow(work, f"tree {kind}, rank int, part int, n_messages int, text string, loss array<struct<start:bigint,end:bigint>>")
+    return ordered.mapInArrow(_written(loss_role), f"tree {kind}, {PARTS}")
 
 
 def _batch(rows, kind) -> pa.RecordBatch:
@@ -188,45 +201,57 @@ def parsed(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def digests(conversations: DataFrame, together: bool = False) -> DataFrame:
-    """(tree, rank, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from `formatted` rows.
+DIGESTS = ["tree", "rank", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    A SHA-256 runs through a whole conversation, so the parts of one are read in one task, one after
-    another; `together` says that the rows still are as `formatted` gives them."""
-    rows = conversations if together else conversations.repartition("tree", "rank").sortWithinPartitions("tree", "rank", "part")
 
-    def work(batches):
-        current, done = None, []
+def _read(batches):
+    """Batches of parts, those of a conversation in a row, to batches of DIGESTS."""
+    current, done, kind = None, [], None
 
-        def finish():
-            done.append((*current, count, turns.hexdigest(), chars, loss.hexdigest(), whole))
+    def finished():
+        return (*current, count, turns.hexdigest(), chars, loss.hexdigest(), whole)
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for tree, rank, text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5))):
-                if current != (tree, rank):
-                    if current is not None:
-                        finish()
-                    current, count, turns, chars, loss, whole = (tree, rank), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-                for role, said in parsed(text):
-                    turns.update(f"{role}\n{said}\n".encode())
-                    count += 1
-                for s in spans:
-                    said = unescape(text[s["start"]:s["end"]])
-                    loss.update(said.encode())
-                    chars += len(said)
-                whole += len(text)
-            if len(done) >= 4096:
-                yield _table(done, kind)
-                done = []
-        if current is not None:
-            finish()
-            yield _table(done, kind)
-
-    def _table(done, kind):
+    def table():
         types = [kind, pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], DIGESTS)
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for tree, rank, text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5))):
+            if current != (tree, rank):
+                if current is not None:
+                    done.append(finished())
+                current, count, turns, chars, loss, whole = (tree, rank), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+            for role, said in parsed(text):
+                turns.update(f"{role}\n{said}\n".encode())
+                count += 1
+            for s in spans:
+                said = unescape(text[s["start"]:s["end"]])
+                loss.update(said.encode())
+                chars += len(said)
+            whole += len(text)
+        if len(done) >= 4096:
+            yield table()
+            done = []
+    if current is not None:
+        done.append(finished())
+        yield table()
+
+
+def _digest_schema(rows: DataFrame) -> str:
+    return f"tree {rows.schema['tree'].dataType.simpleString()}, rank int, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+
+
+def digests(conversations: DataFrame) -> DataFrame:
+    """(tree, rank, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from `formatted` rows.
+
+    A SHA-256 runs through a whole conversation, so the parts of one are read in one task, one after another."""
+    rows = conversations.repartition("tree", "rank").sortWithinPartitions("tree", "rank", "part")
+    return rows.mapInArrow(_read, _digest_schema(rows))
+
 
-    names = ["tree", "rank", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kind = rows.schema["tree"].dataType.simpleString()
-    return rows.mapInArrow(work, f"tree {kind}, rank int, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+def round_trip(messages: DataFrame, paths: DataFrame, tree_col: str, id_col: str, role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+    """`digests` of `formatted`, each part read back where it is written, so that nothing is shuffled between."""
+    ordered = _in_order(messages, paths, tree_col, id_col, role_col, text_col)
+    write = _written(loss_role)
+    return ordered.mapInArrow(lambda batches: _read(write(batches)), _digest_schema(ordered))
