@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from zonecraft.operators import privacy as P
 from zonecraft.operators import rank as K
+from zonecraft.operators import vectors as V
 
 
 def one(spark, expr):
@@ -144,20 +145,69 @@ def test_keyword_scores_equal_brute_force(spark, threshold):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     got = {(x.query_id, x.doc_id): x.score for x in K.keyword_matches(dc, K.term_counts(qq, "id", "text"), vo, threshold).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    for top in (1, 3, 100):
+        got = {(x.query_id, x.doc_id) for x in K.keyword_matches(dc, K.term_counts(qq, "id", "text"), vo, threshold, top).collect()}
+        assert got == {(i, d) for i, _ in queries for d in sorted((d for q, d in want if q == i), key=lambda d: (-round(want[i, d], 9), d))[:top]}
 
 
-def test_vector_scores_equal_brute_force(spark):
-    g = np.random.default_rng(7)
+def test_keyword_top_leaves_out_what_cannot_enter(spark, monkeypatch):
+    """Many documents with a common word, few with the rare one a query is about; hashed terms give the same."""
+    r = random.Random(15)
+    docs = [(i, " ".join(["disk", *(r.choice(WORDS) for _ in range(12)), *(["quota"] * (i % 40 == 0) * (1 + i % 3))])) for i in range(400)]
+    queries = [(1, "disk quota"), (2, "disk"), (3, "nothing known")]
+    dd, qq = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(queries, "id int, text string")
+    found = {}
+    for hashed in (False, True):
+        dc, qc = (K.term_counts(x, "id", "text", hashed=hashed) for x in (dd, qq))
+        vo = K.vocabulary(dc, dd)
+        full = {(x.query_id, x.doc_id): x.score for x in K.keyword_matches(dc, qc, vo, 0.0).collect()}
+        found[hashed] = {(x.query_id, x.doc_id) for x in K.keyword_matches(dc, qc, vo, 0.0, 5).collect()}
+        assert found[hashed] == {(q, d) for q in (1, 2) for d in sorted((d for i, d in full if i == q), key=lambda d: (-round(full[q, d], 9), d))[:5]}
+    assert found[True] == found[False]
+
+
+@pytest.mark.parametrize("planes,block,k,kind", [(6, 1024, 5, "even"), (3, 7, 5, "even"), (0, 20, 12, "clusters"), (5, 16, 30, "clusters"), (4, 1, 1, "odd")])
+def test_vector_scores_equal_brute_force(spark, planes, block, k, kind):
+    """Even and clustered vectors, ties, zero and null vectors; string and whole ids."""
+    g = np.random.default_rng(planes + block)
     c, q = g.normal(size=(200, 8)), g.normal(size=(7, 8))
-    corpus = spark.createDataFrame([(f"d{i}", [float(x) for x in v]) for i, v in enumerate(c)], "id string, v array<double>").repartition(5)
-    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id int, vector array<double>")
-    sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
-    want = {(i, f"d{j}") for i in range(7) for j in np.argsort(-sims[i])[:5]}
-    for block in (512, 3):
-        got = K.vector_scores(corpus, queries, "id", "v", 5, 0.3, block).collect()
-        assert {(x.query_id, x.doc_id) for x in got} == want
-        assert all(math.isclose(x.score, (sims[x.query_id, int(x.doc_id[1:])] + 1) / 2, rel_tol=1e-9) for x in got)
-    assert K.vector_scores(corpus, queries, "id", "v", 5, 1.1).count() == 0
+    if kind == "clusters":
+        centres = g.normal(size=(6, 8)) * 8
+        c, q = c * 0.3 + centres[g.integers(0, 6, 200)], q * 0.3 + centres[g.integers(0, 6, 7)]
+    if kind == "odd":
+        c[5], c[6:40], q[3] = 0, c[4], 0
+    rows_ = [(f"d{i:03}", [float(x) for x in v]) for i, v in enumerate(c)] + [("none", None)]
+    corpus = spark.createDataFrame(rows_, "id string, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)] + [(99, None)], "query_id int, vector array<double>")
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    score = (unit(q) @ unit(c).T + 1) / 2
+    for threshold in (0.3, 0.8):
+        got = V.vector_scores(corpus, queries, "id", "v", k, threshold, planes, block).collect()
+        want = {(i, f"d{j:03}") for i in range(7) for j in sorted(range(200), key=lambda j: (-round(score[i, j], 12), j))[:k] if score[i, j] > threshold}
+        assert {(x.query_id, x.doc_id) for x in got} == want and len(got) == len(want)
+        assert all(math.isclose(x.score, score[x.query_id, int(x.doc_id[1:])], rel_tol=1e-9) for x in got)
+    assert V.vector_scores(corpus, queries, "id", "v", k, 1.1, planes, block).count() == 0
+    assert V.vector_scores(corpus.filter("false"), queries, "id", "v", k).count() == V.vector_scores(corpus, queries.filter("false"), "id", "v", k).count() == 0
+
+
+def test_vector_blocks_hold_what_they_say(spark):
+    """Centres and radii bound every member, and far cells are left out of a search among clusters."""
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(8, 16)) * 10
+    c = g.normal(size=(400, 16)) * 0.2 + centres[np.arange(400) % 8]
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(c)], "id int, v array<float>").repartition(3)
+    blocks = V.vector_blocks(corpus, "id", "v", block=32)
+    cells = {r.cell: r for r in V.vector_cells(blocks).collect()}
+    seen = []
+    for b in blocks.collect():
+        x = np.array(b.vectors).reshape(b.n, 16)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert b.n == len(b.ids) <= 32
+        for at in (b, cells[b.cell]):
+            assert (np.arccos(np.clip(x @ np.array(at.centre), -1, 1)) <= at.radius + 1e-7).all()
+        seen += b.ids
+    assert sorted(seen) == list(range(400)) and sum(r.n for r in cells.values()) == 400
+    assert max(r.radius for r in cells.values()) < 1.6 and len(cells) > 4
 
 
 def test_metadata_score(spark):
@@ -170,7 +220,8 @@ def test_metadata_score(spark):
 def test_history_floor_and_saturation(spark):
     runs = [("fast", i, f"2024-01-{10 + i % 20:02d}", True, 1.0) for i in range(60)] + [("bad", 1, "2020-01-01", False, 90.0)]
     df = spark.createDataFrame(runs, "script_id string, execution_id int, at string, success boolean, resolution_time double").withColumn("executed_at", F.to_timestamp("at"))
-    got = {r.script_id: r for r in K.history_scores(df, "2024-01-30").collect()}
+    got = {r.script_id: r for r in K.history_scores(df, "2024-01-30", last=50).collect()}
+    assert K.history_scores(df, "2024-01-30").filter("script_id = 'fast'").first().fixed_count == 60
     assert got["fast"].fixed_count == 50 and got["fast"].score > 0.95 and got["bad"].score == 0.1
 
 

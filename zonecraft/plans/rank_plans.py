@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from zonecraft.operators import rank as K
+from zonecraft.operators import vectors as V
 from zonecraft.plans.registry import query
 from zonecraft.session import store
 
@@ -24,7 +25,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rn <= 20""")
 def rt_2(t):
     c = K.centroids(t.embeddings, "label", "embedding").withColumnRenamed("label", "query_id")
-    return K.vector_scores(t.spread("embeddings"), c, "vec_id", "embedding", 20).withColumn("score", F.round("score", 6))
+    return V.vector_scores(t.spread("embeddings"), c, "vec_id", "embedding", 20).withColumn("score", F.round("score", 6))
 
 
 _STOP = "['" + "', '".join(K.STOP_WORDS) + "']"
@@ -43,10 +44,10 @@ qw0 AS (SELECT query_id, term, tf * idf AS w FROM qt JOIN i USING (term)), qw AS
 sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (term) GROUP BY 1, 2)"""
 
 
-def keyword(t, threshold):
+def keyword(t, threshold, top=None):
     docs = t.spread("documents")
-    counts = store(K.term_counts(docs, "doc_id", "text"))
-    return K.keyword_matches(counts, K.term_counts(t.benchmark, "item_id", "text"), K.vocabulary(counts, docs), threshold)
+    counts = store(K.term_counts(docs, "doc_id", "text", hashed=True))
+    return K.keyword_matches(counts, K.term_counts(t.benchmark, "item_id", "text", hashed=True), K.vocabulary(counts, docs), threshold, top)
 
 
 @query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.1")
@@ -54,6 +55,12 @@ def rt_3(t):
     return keyword(t, 0.1).withColumn("score", F.round("score", 6))
 
 
+@query("rt_3_top", f"""WITH {TFIDF_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM sc WHERE score > 0.05)
+SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rn <= 10""")
+def rt_3_top(t):
+    return keyword(t, 0.05, 10).withColumn("score", F.round("score", 6))
+
+
 @query("rt_4", """
 WITH d AS (SELECT doc_id, lower(lang) AS environment, lower(source) AS service, CASE WHEN n_chars > 3000 THEN 'high' ELSE 'low' END AS severity FROM documents)
 SELECT doc_id, round((CASE WHEN service = 'src1' THEN 1.0 WHEN contains(service, 'src1') OR contains('src1', service) THEN 0.5 ELSE 0.0 END + CASE WHEN environment = 'en' THEN 1.0 WHEN contains(environment, 'en') OR contains('en', environment) THEN 0.5 ELSE 0.0 END
