@@ -114,11 +114,54 @@ def test_zone_sink_replaces_only_its_partitions(spark, tmp_path):
 
 def test_rewrite_of_a_table_it_reads(spark, tmp_path):
     p = str(tmp_path / "t")
-    spark.range(5).write.parquet(p)
-    sinks.rewrite(spark.read.parquet(p).filter("id > 2"), p)
-    sinks.append(spark.range(1), p)
-    assert [r[0] for r in rows(spark.read.parquet(p))] == [0, 3, 4]
-    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+    sinks.rewrite(spark.range(5), p)
+    before = sinks.read_versioned(spark, p)
+    sinks.rewrite(sinks.read_versioned(spark, p).filter("id > 2"), p)
+    sinks.append_versioned(spark.range(1), p)
+    assert [r[0] for r in rows(sinks.read_versioned(spark, p))] == [0, 3, 4] and before.count() == 5  # a reader keeps its version
+    assert sinks.drop_old_versions(p, 1) == 1 and [r[0] for r in rows(sinks.read_versioned(spark, p))] == [0, 3, 4]
+    sinks.rewrite(spark.range(0), p)
+    assert sinks.read_versioned(spark, p).count() == 0
+    with pytest.raises(FileNotFoundError):
+        sinks.read_versioned(spark, str(tmp_path / "none"))
+
+
+def test_a_failure_between_the_steps_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "t")
+    sinks.rewrite(spark.range(3), p)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_switch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.rewrite(spark.range(9), p)
+    assert sinks.read_versioned(spark, p).count() == 3
+    with pytest.raises(Exception, match="broken"):
+        sinks.rewrite(spark.range(3).select(F.raise_error(F.lit("broken")).alias("id")), p)
+    assert sinks.read_versioned(spark, p).count() == 3 and sinks.manifest(p)["version"] == 1
+    assert sinks.drop_old_versions(p) == 2 and sinks.read_versioned(spark, p).count() == 3
+
+
+def test_partitions_of_a_versioned_table(spark, tmp_path):
+    """Reloads and upserts write the partitions they touch and list all others as they were."""
+    p = str(tmp_path / "t")
+    day = lambda *xs: spark.createDataFrame(list(xs), "day date, k int, region string, v string")
+    d = [datetime.date(2024, 1, i) for i in range(1, 5)]
+    sinks.rewrite(day((d[0], 1, "a b/c", "x"), (d[0], 2, None, "x"), (d[1], 1, "n", "y"), (d[2], 3, "n", None)), p, ["day", "region"])
+    table = lambda: sorted((r.day, r.k, r.region or "", r.v) for r in sinks.read_versioned(spark, p).collect())
+    assert table() == [(d[0], 1, "a b/c", "x"), (d[0], 2, "", "x"), (d[1], 1, "n", "y"), (d[2], 3, "n", None)]
+    first = sinks.manifest(p)["parts"]
+    sinks.reload_versioned(day((d[1], 7, "n", "z"), (d[1], 8, "n", "z"), (d[3], 1, "n", "new")), p)
+    second = sinks.manifest(p)["parts"]
+    assert table() == [(d[0], 1, "a b/c", "x"), (d[0], 2, "", "x"), (d[1], 7, "n", "z"), (d[1], 8, "n", "z"), (d[2], 3, "n", None), (d[3], 1, "n", "new")]
+    assert sum(first.get(k) == v for k, v in second.items()) == 3 and len(second) == 5
+    sinks.upsert_versioned(day((d[0], 1, "a b/c", "changed"), (d[0], 9, "a b/c", "added"), (d[0], 5, None, "null region")), p, ["day", "region", "k"])
+    assert table() == [(d[0], 1, "a b/c", "changed"), (d[0], 2, "", "x"), (d[0], 5, "", "null region"), (d[0], 9, "a b/c", "added"), (d[1], 7, "n", "z"), (d[1], 8, "n", "z"), (d[2], 3, "n", None), (d[3], 1, "n", "new")]
+    assert sum(second[k] == v for k, v in sinks.manifest(p)["parts"].items()) == 3
+    sinks.append_versioned(day((d[2], 4, "n", "more")), p)
+    assert (d[2], 4, "n", "more") in table() and len(table()) == 9
+    pruned = sinks.read_versioned(spark, p).filter(F.col("day") == F.lit(d[3]))
+    assert pruned.count() == 1 and [f.dataType.simpleString() for f in pruned.schema] == ["date", "int", "string", "string"]
+    with pytest.raises(ValueError):
+        sinks.upsert_versioned(day(), p, ["k"])
 
 
 def test_tables(spark):
@@ -156,11 +199,31 @@ def test_ebcdic(spark):
 
 
 def test_fixed_and_variable_records(spark, tmp_path):
-    write(tmp_path / "f.bin", b"AAABBBCCC", "wb")
-    assert sorted(bytes(r.record) for r in legacy.read_fixed_records(spark, str(tmp_path / "f.bin"), 3).collect()) == [b"AAA", b"BBB", b"CCC"]
-    write(tmp_path / "v.bin", b"".join((len(x) + 4).to_bytes(2, "big") + b"\0\0" + x for x in (b"one", b"", b"three")) + b"\0\1\0", "wb")
-    got = [(r.record_no, bytes(r.record)) for r in legacy.read_rdw(spark, str(tmp_path / "v.bin")).orderBy("record_no").collect()]
-    assert got == [(0, b"one"), (1, b""), (2, b"three")]
+    """Two files each, one name with a blank, in ranges of a few records and in one."""
+    fixed = {"a.bin": b"".join(b"%05d" % i for i in range(1000)), "b c.bin": b"AAAAABBBBB", "empty.bin": b""}
+    records = {"v.dat": [bytes([i % 251]) * (i * 7 % 90) for i in range(900)], "w x.dat": [b"one", b"", b"three" * 3000], "none.dat": []}
+    for name, raw in fixed.items():
+        write(tmp_path / name, raw, "wb")
+    for name, found in records.items():
+        write(tmp_path / name, b"".join((len(x) + 4).to_bytes(2, "big") + b"\0\0" + x for x in found), "wb")
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    for size in (64, 1 << 20):
+        got = sorted((name(r), r.record_no, bytes(r.record)) for r in legacy.read_fixed_records(spark, str(tmp_path / "*.bin"), 5, size).collect())
+        assert got == sorted((n, i, raw[5 * i:5 * i + 5]) for n, raw in fixed.items() for i in range(len(raw) // 5))
+        got = sorted((name(r), r.record_no, bytes(r.record)) for r in legacy.read_rdw(spark, str(tmp_path / "*.dat"), range_bytes=size).collect())
+        assert got == sorted((n, i, x) for n, xs in records.items() for i, x in enumerate(xs))
+    borders = legacy.rdw_borders(spark, str(tmp_path / "*.dat"), range_bytes=2000).collect()
+    assert sum(name(r) == "v.dat" for r in borders) > 10 and all(r.stop - r.start < 2000 + 15010 for r in borders)
+
+
+@pytest.mark.parametrize("tail", [b"\0\1\0\0", b"\0\x20\0\0short", b"\0\4\0", b"\0"])
+def test_broken_records_are_errors(spark, tmp_path, tail):
+    write(tmp_path / "v.bin", b"".join((len(x) + 4).to_bytes(2, "big") + b"\0\0" + x for x in (b"one", b"two")) + tail, "wb")
+    with pytest.raises(Exception, match="record 2 at byte 14"):
+        legacy.read_rdw(spark, str(tmp_path / "v.bin"))
+    write(tmp_path / "f.bin", b"AAABBBC", "wb")
+    with pytest.raises(Exception, match="multiple of 3"):
+        legacy.read_fixed_records(spark, str(tmp_path / "f.bin"), 3).collect()
 
 
 SALES = """ORD-001,CUST-101,Acme Corp,PROD-A,Widget Pro,10,25.99,2024-01-15,COMPLETED,WEST

@@ -146,3 +146,54 @@ def test_decimals_take_part_in_drift(spark):
 def test_profile_of_schema_table(spark):
     t = D.schema_table(spark.createDataFrame([(1, "a")], "i int, s string"), "ds")
     assert rows(t) == [("ds", "i", "int", True), ("ds", "s", "string", True)]
+
+
+def test_stored_profiles_merge(spark):
+    """Profiles of parts, stored and merged, against one profile of all rows; no row is copied per column."""
+    import random
+
+    from zonecraft.operators import drift as D
+    r = random.Random(12)
+    data = [(f"d{i % 7}", r.choice([None, *range(900)]), r.choice([None, 1e9 + r.random()]), r.choice([None, "a", "b", "ü"]), None) for i in range(6000)]
+    df = spark.createDataFrame(data, "day string, a int, `b.x` double, c string, nothing string")
+    cols = ["a", "b.x", "c", "nothing"]
+    parts = D.part_profiles(df, cols, by=["day"])
+    assert parts.count() == 7
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Scan") == 1
+    merged, whole = ({x.column_name: x for x in D.profile_of(p).collect()} for p in (parts, D.part_profiles(df, cols)))
+    assert merged == whole and list(merged) == cols
+    exact = {x.column_name: x for x in D.profile(df.select("day", "a", "c", "nothing"), exact=True).collect()}
+    for c in ("a", "c", "nothing"):
+        assert abs(merged[c].distinct_count - exact[c].distinct_count) <= 0.03 * exact[c].distinct_count
+        assert [merged[c][k] for k in ("row_count", "non_null", "null_count", "null_pct", "min_value", "max_value", "data_type")] == [exact[c][k] for k in ("row_count", "non_null", "null_count", "null_pct", "min_value", "max_value", "data_type")]
+    stats = {(x.column_name, x.metric): x.value for x in D.stats_of(parts).collect()}
+    want = {(x.column_name, x.metric): x.value for x in D.numeric_stats(df.withColumnRenamed("b.x", "b"), ["a", "b"]).collect()}
+    for (c, m), v in want.items():
+        assert stats["b.x" if c == "b" else c, m] == pytest.approx(v, rel=0.03 if m == "distinct" else 1e-6)
+    assert D.profile(df.filter("false"), ["a"]).collect()[0].row_count == 0 and D.profile(df.filter("false"), ["a"], exact=True).collect()[0].distinct_count == 0
+
+
+def test_window_rules_without_a_bucket(spark):
+    """Text and function forms against plain windows, with ties."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from zonecraft.operators import rules as R
+    r = random.Random(13)
+    df = spark.createDataFrame([(i, r.choice(["a", "a", "b", None]), r.randint(0, 9), r.choice([None, 1, 2, 3])) for i in range(200)], "id int, k string, t int, v int")
+    for func in ("rank()", "dense_rank()", "row_number()", "sum(v)", "count(v)", "max(v)", "avg(v)", "lag(v, 2)", "ntile(3)"):
+        order = ["t DESC", "id"] if func.startswith(("row", "lag", "nt")) else ["t DESC"]
+        want = df.withColumn("x", F.expr(f"{func} OVER (PARTITION BY k ORDER BY {', '.join(order)})"))
+        got = R.apply_rules(df, [{"type": "window", "config": {"name": "x", "func": func, "partition_by": ["k"], "order_by": order}}])
+        assert got.columns == want.columns and sorted((a.id, a.x) for a in got.collect()) == sorted((a.id, a.x) for a in want.collect()), func
+
+
+def test_lists_of_the_aggregate_rule_come_in_parts(spark):
+    from zonecraft.operators import rules as R
+    df = spark.createDataFrame([("a", i % 25, i) for i in range(50)] + [("b", None, 1), (None, 7, 2)], "k string, v int, w int")
+    cfg = {"group_by": ["k"], "chunk_size": 10, "aggregations": [{"column": "v", "function": "collect_list", "alias": "all"}, {"column": "v", "function": "collect_set", "alias": "set"}, {"column": "w", "function": "max", "alias": "m"}]}
+    got = {(x.k, x.part): (x["all"], x["set"], x.m) for x in R.apply_rules(df, [{"type": "aggregate", "config": cfg}]).collect()}
+    values = sorted(i % 25 for i in range(50))
+    assert got == {**{("a", p): (values[10 * p:10 * p + 10], list(range(10 * p, min(10 * p + 10, 25))), 49) for p in range(5)}, ("b", 0): ([], [], 1), (None, 0): ([7], [7], 2)}

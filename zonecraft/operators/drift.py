@@ -32,28 +32,80 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 # -- profiles -------------------------------------------------------------------------------
 
-def profile(df: DataFrame, columns=None, approximate: bool = False) -> DataFrame:
-    """Counts, distincts, nulls, bounds and type per column from one aggregation.
-
-    Exact distinct counts of many columns expand every row once per column; at large scale
-    `approximate=True` keeps a single pass with sketches of fixed size."""
-    cols = list(columns or df.columns)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"c{i}"), distinct(F.col(c)).alias(f"d{i}"),
-                 F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
-    total = F.col("_total")
+def part_profiles(df: DataFrame, columns=None, by=()) -> DataFrame:
+    """Mergeable profile of every part of a table: a row per value of `by` (a load, a day; or one row), with
+    `_rows` and for each column a struct of counts, bounds, mean and squared distance of numbers, and a sketch
+    of the distinct values.  One pass, whatever the columns; rows of new parts are appended to the stored ones."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in columns or [c for c in df.columns if c not in by]:
+        x, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        number = isinstance(kind, T.NumericType)
+        hashed = x if isinstance(kind, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else x.cast("string")
+        aggs.append(F.struct(
+            F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.hll_sketch_agg(hashed, F.lit(SKETCH_BITS)).alias("seen"),
+            (F.avg(x).cast("double") if number else F.lit(None).cast("double")).alias("mean"),
+            (F.var_pop(x).cast("double") * F.count(x) if number else F.lit(None).cast("double")).alias("m2")).alias(c))
+    return df.groupBy(*by).agg(*aggs)
+
+
+def merged_profiles(parts: DataFrame, by=()) -> DataFrame:
+    """One profile of the same form per value of `by` from those of its parts, without their rows."""
+    names = [f.name for f in parts.schema if f.name != "_rows" and isinstance(f.dataType, T.StructType) and "seen" in f.dataType.names]
+    own = lambda c, f: F.col(f"`{c}`.{f}")
+    # the mean of all parts first, then the distances of each part's values and of its mean from that
+    means = parts.groupBy(*by).agg(*[(F.sum(own(c, "n") * own(c, "mean")) / F.nullif(F.sum(F.when(own(c, "mean").isNotNull(), own(c, "n"))), F.lit(0))).alias(f"_mean_{i}") for i, c in enumerate(names)])
+    x = null_safe_join(parts, means, list(by)) if by else parts.crossJoin(F.broadcast(means))  # one row
+    aggs = [F.sum("_rows").alias("_rows")]
+    for i, c in enumerate(names):
+        away = own(c, "mean") - F.col(f"_mean_{i}")
+        aggs.append(F.struct(F.coalesce(F.sum(own(c, "n")), F.lit(0)).alias("n"), F.min(own(c, "lo")).alias("lo"), F.max(own(c, "hi")).alias("hi"), F.hll_union_agg(own(c, "seen")).alias("seen"),
+                             F.first(f"_mean_{i}", ignorenulls=True).alias("mean"), F.sum(own(c, "m2") + own(c, "n") * away * away).alias("m2")).alias(c))
+    return x.groupBy(*by).agg(*aggs)
+
+
+SKETCH_BITS = 14  # registers of a distinct sketch as a power of two: 1.6 % error in 95 % of cases
+
+
+def profile_of(parts: DataFrame) -> DataFrame:
+    """Counts, distincts, nulls, bounds and type per column from stored profiles of parts."""
+    one = merged_profiles(parts)
+    total = F.coalesce("_rows", F.lit(0))
 
     def pct(x):
-        return F.when(total > 0, 100.0 * x / total).otherwise(0.0)
+        return F.when(total > 0, 100.0 * x / total).otherwise(F.lit(0.0))
+
+    rows = []
+    for f in one.schema:
+        if f.name != "_rows":
+            n, seen = F.col(f"`{f.name}`.n"), F.coalesce(F.hll_sketch_estimate(f"`{f.name}`.seen"), F.lit(0))
+            distinct = F.least(seen, n)
+            rows.append(F.struct(F.lit(f.name).alias("column_name"), total.alias("row_count"), n.alias("non_null"), distinct.alias("distinct_count"), (total - n).alias("null_count"),
+                                 pct(total - n).alias("null_pct"), pct(distinct).alias("unique_pct"), F.col(f"`{f.name}`.lo").cast("string").alias("min_value"),
+                                 F.col(f"`{f.name}`.hi").cast("string").alias("max_value"), F.lit(f.dataType["lo"].dataType.simpleString()).alias("data_type")))
+    return one.select(F.inline(F.array(*rows)))
+
+
+def distinct_counts(df: DataFrame, columns, by=()) -> DataFrame:
+    """(by, column_name, distinct_count), exact: the values of one column after another are grouped, so a row
+    is read once per column but is never copied."""
+    out = None
+    for c in columns:
+        x = df.select(*by, F.col(f"`{c}`").alias("_v")).distinct().groupBy(*by).agg(F.lit(c).alias("column_name"), F.count("_v").alias("distinct_count"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
 
-    rows = [F.struct(F.lit(c).alias("column_name"), total.alias("row_count"), F.col(f"c{i}").alias("non_null"),
-                     F.col(f"d{i}").alias("distinct_count"), (total - F.col(f"c{i}")).alias("null_count"),
-                     pct(total - F.col(f"c{i}")).alias("null_pct"), pct(F.col(f"d{i}")).alias("unique_pct"),
-                     F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"),
-                     F.lit(df.schema[c].dataType.simpleString()).alias("data_type")) for i, c in enumerate(cols)]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
+    """Counts, distincts, nulls, bounds and type per column.
+
+    One pass with sketches of the distinct values (SKETCH_BITS); `exact` counts them in a pass per column."""
+    cols = list(columns or df.columns)
+    out = profile_of(part_profiles(df.select(*cols), cols))
+    if not exact:
+        return out
+    counts = distinct_counts(df, cols).withColumnRenamed("distinct_count", "_distinct")
+    share = F.when(F.col("row_count") > 0, 100.0 * F.col("_distinct") / F.col("row_count")).otherwise(F.lit(0.0))
+    return out.join(counts, "column_name").withColumns({"distinct_count": F.col("_distinct"), "unique_pct": share}).drop("_distinct")
 
 
 def profile_anomalies(current: DataFrame, baseline: DataFrame, row_pct: float = 20.0, null_points: float = 10.0,
@@ -83,14 +135,26 @@ def profile_anomalies(current: DataFrame, baseline: DataFrame, row_pct: float =
 METRICS = ("mean", "stddev", "min", "max", "distinct")
 
 
+def stats_of(parts: DataFrame) -> DataFrame:
+    """(column_name, metric, value) of the numeric columns from stored profiles of parts, as `numeric_stats`
+    gives them but with estimated distinct counts: a baseline that is compared without reading its rows."""
+    one, rows = merged_profiles(parts), []
+    for f in one.schema:
+        if f.name != "_rows" and isinstance(f.dataType["lo"].dataType, T.NumericType):
+            x = lambda k: F.col(f"`{f.name}`.{k}")  # noqa: B023,E731
+            values = {"mean": x("mean"), "stddev": F.sqrt(x("m2") / F.when(x("n") > 1, x("n") - 1)), "min": x("lo"), "max": x("hi"), "distinct": F.least(F.hll_sketch_estimate(x("seen")), x("n"))}
+            rows += [F.struct(F.lit(f.name).alias("column_name"), F.lit(m).alias("metric"), values[m].cast("double").alias("value")) for m in METRICS]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def numeric_stats(df: DataFrame, columns=None, by=()) -> DataFrame:
-    """Long-form statistics (column_name, metric, value) of all numeric columns."""
+    """Long-form statistics (column_name, metric, value) of all numeric columns; distinct counts are exact."""
     cols = list(columns or [c for c in numeric_columns(df) if c not in by])
-    fns = {"mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max, "distinct": F.count_distinct}
-    wide = df.groupBy(*by).agg(*[fns[m](c).cast("double").alias(f"{m}__{i}") for i, c in enumerate(cols) for m in METRICS])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), F.col(f"{m}__{i}").alias("value"))
-            for i, c in enumerate(cols) for m in METRICS]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    fns = {"mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.groupBy(*by).agg(*[fns[m](c).cast("double").alias(f"{m}__{i}") for i, c in enumerate(cols) for m in fns])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), F.col(f"{m}__{i}").alias("value")) for i, c in enumerate(cols) for m in fns]
+    counted = distinct_counts(df, cols, by).select(*by, "column_name", F.lit("distinct").alias("metric"), F.col("distinct_count").cast("double").alias("value"))
+    return wide.select(*by, F.inline(F.array(*rows))).unionByName(counted)
 
 
 def severity_of(change: Column, critical: float = 0.5) -> Column:

@@ -24,7 +24,7 @@ def _prio(t):
 
 @query("df_1", _profile_sql("(SELECT *, CASE WHEN o_totalprice >= 40000 THEN o_orderpriority END AS prio FROM orders)", _OCOLS))
 def df_1(t):
-    x = D.profile(_prio(t), [c for c, _ in _OCOLS])
+    x = D.profile(_prio(t), [c for c, _ in _OCOLS], exact=True)
     return x.withColumns({"null_pct": F.round("null_pct", 4), "unique_pct": F.round("unique_pct", 4)})
 
 
@@ -41,7 +41,7 @@ def df_2(t):
     cols = ["o_orderkey", "o_custkey", "prio"]
     b = t.orders.filter("o_orderdate < timestamp_ntz'1998-01-01'").withColumn("prio", F.col("o_orderpriority"))
     c = t.orders.filter("o_orderdate >= timestamp_ntz'1998-01-01'").withColumns({"prio": F.when(F.col("o_totalprice") >= 150000, F.col("o_orderpriority")), "fresh": F.col("o_custkey")})
-    x = D.profile_anomalies(D.profile(c, [*cols, "fresh"]), D.profile(b, cols))
+    x = D.profile_anomalies(D.profile(c, [*cols, "fresh"], exact=True), D.profile(b, cols, exact=True))
     return x.withColumn("change", F.round("change", 4))
 
 

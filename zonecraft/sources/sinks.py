@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonecraft.functions.exprs import null_safe_join
 from zonecraft.operators.window import top_per_group
@@ -23,23 +25,145 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Replace a folder that `df` may itself read: write beside it, then swap by rename."""
-    spark = df.sparkSession
-    stage, old = f"{path}__{uuid.uuid4().hex}", f"{path}__old_{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, hadoop.Path(old))
-    if not fs.rename(hadoop.Path(stage), target):
-        if had:
-            fs.rename(hadoop.Path(old), target)
-        raise OSError(f"cannot move new data to {path}")
-    if had:
-        fs.delete(hadoop.Path(old), True)
+# ---- versioned tables ------------------------------------------------------------------------
+#
+# A table is a folder of data folders, which are written once, and of numbered manifests.  A manifest
+# lists the data folders of each partition; the one with the greatest number is the table.  A change
+# writes its new data beside the old and then one small manifest, so a reader sees all of it or nothing,
+# a failure in between leaves the last version as it was, and nothing is renamed.  One writer at a time.
+
+MANIFESTS, DATA = "_manifests", "data"
+
+
+def _at(path: str):
+    """(file system, folder) of a path, by pyarrow; a path without scheme is local."""
+    from pyarrow import fs
+    scheme = path.split(":", 1)[0] if ":" in path.split("/", 1)[0] else "file"
+    return (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+
+
+def _names(system, folder: str, kind) -> list[str]:
+    from pyarrow import fs
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.type == kind)
+
+
+def manifest(path: str) -> dict | None:
+    """The newest manifest: version, partition_by, schema and {partition folder: data folders}; None before the first."""
+    from pyarrow import fs
+    system, folder = _at(path)
+    found = [n for n in _names(system, f"{folder}/{MANIFESTS}", fs.FileType.File) if n.endswith(".json")]
+    if not found:
+        return None
+    with system.open_input_file(f"{folder}/{MANIFESTS}/{found[-1]}") as f:
+        return json.loads(f.read())
+
+
+def _switch(path: str, content: dict) -> None:
+    """Make `content` the table: one file under a new name, complete before it has that name."""
+    system, folder = _at(path)
+    name = f"{folder}/{MANIFESTS}/{content['version']:012d}"
+    system.create_dir(f"{folder}/{MANIFESTS}", recursive=True)
+    with system.open_output_stream(f"{name}.part") as f:
+        f.write(json.dumps(content).encode())
+    system.move(f"{name}.part", f"{name}.json")
+
+
+def read_versioned(spark, path: str) -> DataFrame:
+    """The table as its newest manifest lists it."""
+    now = manifest(path)
+    if now is None:
+        raise FileNotFoundError(f"no table at {path}")
+    folders = sorted({f for fs_ in now["parts"].values() for f in fs_})
+    schema = T.StructType.fromJson(now["schema"])
+    if not folders:
+        return spark.createDataFrame([], schema)
+    paths = [f"{path}/{f}/{p}" if p else f"{path}/{f}" for p, fs_ in now["parts"].items() for f in fs_]
+    if not now["partition_by"]:
+        return spark.read.schema(schema).parquet(*paths)
+    # every data folder has its own partition folders below it
+    out = None
+    for f in folders:
+        own = [f"{path}/{f}/{p}" for p, fs_ in now["parts"].items() if f in fs_]
+        one = spark.read.schema(schema).option("basePath", f"{path}/{f}").parquet(*own)
+        out = one if out is None else out.unionByName(one)
+    return out.select(*schema.names)
+
+
+def _written(df: DataFrame, path: str, partition_by) -> dict:
+    """{partition folder: [data folder]} of new data; without partitions the one key is ''."""
+    from pyarrow import fs
+    folder = f"{DATA}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{path}/{folder}")
+    if not partition_by:
+        return {"": [folder]}
+    system, root = _at(f"{path}/{folder}")
+    found = [""]
+    for _ in partition_by:
+        found = [f"{p}/{n}" if p else n for p in found for n in _names(system, f"{root}/{p}" if p else root, fs.FileType.Directory) if "=" in n]
+    return {p: [folder] for p in found}
+
+
+def _commit(df: DataFrame, path: str, partition_by, parts: dict) -> None:
+    before = manifest(path)
+    _switch(path, {"version": before["version"] + 1 if before else 1, "partition_by": list(partition_by), "schema": json.loads(df.schema.json()), "parts": parts})
+
+
+def rewrite(df: DataFrame, path: str, partition_by=()) -> None:
+    """Replace a versioned table, which `df` may itself read, by a new version."""
+    _commit(df, path, partition_by, _written(df, path, partition_by))
+
+
+def append_versioned(df: DataFrame, path: str) -> None:
+    """Add rows to a versioned table; a first append makes it, without partitions."""
+    now = manifest(path) or {"partition_by": [], "parts": {}}
+    parts = {k: list(v) for k, v in now["parts"].items()}
+    for k, v in _written(df, path, now["partition_by"]).items():
+        parts[k] = parts.get(k, []) + v
+    _commit(df, path, now["partition_by"], parts)
+
+
+def reload_versioned(batch: DataFrame, path: str) -> None:
+    """Delete and insert: the partitions that `batch` has are replaced by its rows, all others stay as they are
+    without being read or written."""
+    now = manifest(path)
+    if not now or not now["partition_by"]:
+        raise ValueError("only a partitioned table can be reloaded by partition")
+    _commit(batch, path, now["partition_by"], {**now["parts"], **_written(batch, path, now["partition_by"])})
+
+
+def upsert_versioned(batch: DataFrame, path: str, keys) -> None:
+    """Merge by keys into a versioned table whose keys tell the partition: only the partitions of `batch` are read,
+    merged and written anew."""
+    spark, now = batch.sparkSession, manifest(path)
+    if now is None:
+        raise FileNotFoundError(f"no table at {path}")
+    if not set(now["partition_by"]) <= set(keys):
+        raise ValueError("the partition columns must be among the keys, or a row could move")
+    table = read_versioned(spark, path)
+    if not now["partition_by"]:
+        return rewrite(upsert(table, batch.select(*table.columns), keys), path)
+    touched = batch.select(*now["partition_by"]).distinct()
+    # partition values are read from folder names, so a join on them prunes folders
+    old = null_safe_join(table, F.broadcast(touched), now["partition_by"], "left_semi")  # one row a partition
+    return reload_versioned(upsert(old, batch.select(*table.columns), keys), path)
+
+
+def drop_old_versions(path: str, keep: int = 2) -> int:
+    """Delete the data folders that none of the newest `keep` manifests lists, then older manifests; how many
+    folders went.  Readers of older versions must have ended."""
+    from pyarrow import fs
+    system, folder = _at(path)
+    names = [n for n in _names(system, f"{folder}/{MANIFESTS}", fs.FileType.File) if n.endswith(".json")]
+    used = set()
+    for n in names[-keep:]:
+        with system.open_input_file(f"{folder}/{MANIFESTS}/{n}") as f:
+            used |= {x.split("/", 1)[1] for xs in json.loads(f.read())["parts"].values() for x in xs}
+    gone = [n for n in _names(system, f"{folder}/{DATA}", fs.FileType.Directory) if n not in used]
+    for n in gone:
+        system.delete_dir(f"{folder}/{DATA}/{n}")
+    for n in names[:-keep]:
+        system.delete_file(f"{folder}/{MANIFESTS}/{n}")
+    return len(gone)
 
 
 def write_table(df: DataFrame, table: str, mode: str = "append", partition_by=(), cluster_by=(), buckets: int = 0) -> None:
