@@ -167,3 +167,79 @@ def test_place_hash_tells_rows_apart(spark):
     values = [("a", "b", None), ("a", None, "b"), (None, "a", "b"), ("a||b", "", ""), ("a", "|b", ""), ("a|", "b", ""), ("a\\", "|b", ""), ("", None, None), (None, "", None), ("\\N", None, "")]
     found = spark.createDataFrame(values, "x string, y string, z string").select(H.hash_key(["x", "y", "z"], "place").alias("h")).collect()
     assert len({r.h for r in found}) == len(values)
+
+
+def strong_parts(pairs):
+    """node -> members of its strongly connected component, for nodes on cycles."""
+    nodes, ahead = {n for p in pairs for n in p}, {}
+    for n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            for a, b in pairs:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        ahead[n] = seen
+    return {n: {m for m in ahead[n] if n in ahead[m]} for n in nodes if n in ahead[n]}
+
+
+def test_cycles_and_levels_with_stretches(spark):
+    """Random branchings joined by stretches of chain nodes, rings, loops and stretches that hang off them."""
+    r = random.Random(21)
+    for _ in range(5):
+        pairs, fresh = set(), 100
+        for _ in range(9):
+            a, b, n = r.randrange(6), r.randrange(6), r.choice([0, 0, 1, 3])
+            path = [a, *range(fresh, fresh + n), b]
+            fresh += n
+            pairs |= set(zip(path, path[1:]))
+        pairs |= {(50, 51), (51, 52), (52, 50), (60, 60), (70, 71), (71, 72)}
+        parts = strong_parts(pairs)
+        got = {x.node: (x.component, x.size) for x in G.cycles(edges(spark, pairs)).collect()}
+        assert got == {n: (min(m), len(m)) for n, m in parts.items()}
+
+        def level(n):
+            outs = [b for a, b in pairs if a == n]
+            below = [level(b) if b not in parts else None for b in outs]
+            return None if n in parts or None in below else 1 + max(below, default=-1)
+
+        assert {x.node: x.level for x in G.levels(edges(spark, pairs)).collect()} == {n: level(n) or 0 for p in pairs for n in p}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    made = []
+    plain = G.store
+    monkeypatch.setattr(G, "store", lambda df: made.append(1) or plain(df))
+    chain = spark.range(999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = {x.node: x.level for x in G.levels(chain).collect()}
+    assert got == {n: 999 - n for n in range(1000)}
+    # ten doublings and two steps of three tables each, beside the six tables of the graph
+    assert len(made) <= 10 + 2 * 3 + 6
+    made.clear()
+    ring = chain.union(spark.createDataFrame([(999, 0)], "src long, dst long"))
+    found = G.cycles(ring).collect()
+    assert {(x.component, x.size) for x in found} == {(0, 1000)} and len(found) == 1000 and len(made) <= 30
+
+
+def test_many_starts_travel_as_bits(spark):
+    """A hub that all starts reach: a round has a row per node and block of starts, not per pair."""
+    r = random.Random(22)
+    pairs = {(i, 1000) for i in range(200)} | {(1000, 2000 + i) for i in range(50)} | {(2000 + i, 3000 + i % 7) for i in range(50)} | {(r.randrange(200), r.randrange(200)) for _ in range(60)}
+    e = edges(spark, pairs)
+    starts = G.numbered_starts(spark.range(200).select("id"))
+    assert [(x.start, 64 * x.block + x.bit) for x in starts.orderBy("start").collect()] == [(i, i) for i in range(200)]
+    rows_ = G.reach(e, starts, 3).groupBy("depth").count().collect()
+    nodes, blocks = len({n for p in pairs for n in p}), 4
+    assert all(x["count"] <= nodes * blocks for x in rows_)
+    for limit in (1, 2, None):
+        want = {}
+        for s in range(200):
+            seen, front, depth = {s}, {s}, 0
+            while front and (limit is None or depth < limit):
+                depth += 1
+                front = {b for a, b in pairs if a in front} - seen
+                seen |= front
+                want |= {(s, n): depth for n in front}
+        assert {(x.start, x.node): x.depth for x in G.traverse(e, spark.range(200).select("id"), limit).collect()} == want
+    assert G.traverse(e, spark.range(0).select("id")).count() == 0

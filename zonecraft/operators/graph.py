@@ -1,7 +1,8 @@
 """Lineage and dependency graphs as edge tables.
 
-Traversals are frontier joins with the nodes already seen removed; every round is checkpointed
-so that plans stay short and survive lost executors."""
+Traversals are frontier joins with the nodes already seen removed; every round is stored or checkpointed
+so that plans stay short and survive lost executors.  Many starts travel together as the bits of a
+number, and stretches without branches are crossed by doubling, in the logarithm of their length."""
 
 from __future__ import annotations
 
@@ -11,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import null_safe_join
-from zonecraft.session import cut_lineage
+from zonecraft.operators.window import sequenced
+from zonecraft.session import cut_lineage, store
+
+BITS = 64
 
 
 def edges_of(df: DataFrame, src, dst) -> DataFrame:
@@ -24,21 +28,43 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def traverse(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(start, node, depth): every node reached from each start, or within `max_depth` steps if given,
-    at its least depth.  `starts` has one column."""
-    edges = cut_lineage(edges)
-    front = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start"))
-    seen, out = front, None
+def numbered_starts(starts: DataFrame) -> DataFrame:
+    """(start, block, bit): the distinct starts of a one-column table, BITS to a block."""
+    one = sequenced(starts.select(F.col(starts.columns[0]).alias("start")).distinct(), ["start"], -1, "_no")
+    return store(one.select("start", F.expr(f"_no div {BITS}").alias("block"), (F.col("_no") % BITS).cast("int").alias("bit")))
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, block, bits, depth): which starts of `numbered_starts` reach a node first after `depth` steps, as
+    the bits of a number, for all depths or up to `max_depth`.
+
+    A round moves at most one row per edge and block of starts, so its work does not grow with the
+    pairs of start and node; equal targets are combined before they are shuffled."""
+    edges = store(edges)
+    front = store(starts.groupBy(F.col("start").alias("node"), "block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")))
+    seen, found = front, []
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = (front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
-        front = cut_lineage(null_safe_join(step, seen, ["start", "node"], "left_anti"))
+        step = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+        old = seen.select(F.col("node").alias("_n"), F.col("block").alias("_b"), F.col("bits").alias("_old"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long"))))
+        front = store(step.join(old, (F.col("node") == F.col("_n")) & (F.col("block") == F.col("_b")), "left").select("node", "block", new.alias("bits")).filter("bits != 0"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-        hit = front.withColumn("depth", F.lit(depth))
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else front.withColumn("depth", F.lit(0)).limit(0)
+        found.append(front.withColumn("depth", F.lit(depth)))
+        seen = store(seen.unionByName(front).groupBy("node", "block").agg(F.bit_or("bits").alias("bits")))
+    out = front.withColumn("depth", F.lit(0)).limit(0)
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
+def traverse(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth): every node reached from each start, or within `max_depth` steps if given,
+    at its least depth.  `starts` has one column.  Pairs are made from the bits of `reach` at the end."""
+    numbered = numbered_starts(starts)
+    found = reach(edges, numbered, max_depth).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
+    found = found.filter(F.getbit("bits", F.col("bit")) == 1)
+    return found.join(numbered, ["block", "bit"]).select("start", "node", "depth")
 
 
 def upstream(edges: DataFrame, entities: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -80,24 +106,61 @@ def named_edges(edges: DataFrame, nodes: DataFrame, key: str, columns) -> DataFr
     return edges.join(s, "src").join(d, "dst")
 
 
+def _chain(edges: DataFrame) -> DataFrame:
+    """(node, before, after) of the nodes with one edge in and one out, other than to themselves."""
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_in"), F.min("src").alias("before"))
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_out"), F.min("dst").alias("after"))
+    return store(ins.join(outs, "node").filter("_in = 1 and _out = 1 and after != node").select("node", "before", "after"))
+
+
+def _ends(chain: DataFrame, towards: str) -> tuple[DataFrame, DataFrame]:
+    """((node, end, steps): where each chain node's stretch ends, (node, component): those on rings of chain nodes,
+    with the least of the ring).
+
+    A node's step is doubled by joining it with that of the node it has come to, until that is no chain
+    node; a node that goes on for more steps than there are chain nodes has seen all of its ring."""
+    size = chain.count()
+    inside = chain.select(F.col("node").alias(towards), F.lit(True).alias("going"))
+    at = store(chain.select("node", towards).join(inside, towards, "left").select(
+        "node", F.col(towards).alias("end"), F.lit(1).cast("long").alias("steps"), F.coalesce("going", F.lit(False)).alias("going"), F.least("node", towards).alias("least")))
+    done, going, hop = at.filter("not going"), at.filter("going"), 1
+    while hop <= size and not going.isEmpty():
+        ahead = done.unionByName(going).select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("going").alias("_going"), F.col("least").alias("_least"))
+        met = store(going.drop("going").join(ahead, "end").select("node", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_going").alias("going"), F.least("least", "_least").alias("least")))
+        done, going, hop = done.unionByName(met.filter("not going")), met.filter("going"), 2 * hop
+    return done.select("node", "end", "steps"), going.select("node", F.col("least").alias("component"))
+
+
+def _short(edges: DataFrame, chain: DataFrame, ends: DataFrame) -> DataFrame:
+    """(src, dst, length): the edges between nodes that are no chain nodes, each stretch as one."""
+    outer = edges.join(chain.select(F.col("node").alias("src")), "src", "left_anti")
+    return store(outer.join(ends.select(F.col("node").alias("dst"), "end", "steps"), "dst", "left").select(
+        "src", F.coalesce("end", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without outgoing edges, otherwise one more than the highest target;
-    nodes on or above a cycle get level 0."""
-    left = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
-    rest, out, level = nodes, None, 0
-    while True:
-        blocked = left.select(F.col("src").alias("node")).distinct()
-        done = cut_lineage(rest.join(blocked, "node", "left_anti"))
-        if done.isEmpty():
-            break
-        hit = done.withColumn("level", F.lit(level))
-        out = hit if out is None else out.unionByName(hit)
-        rest = cut_lineage(rest.join(done, "node", "left_anti"))
-        left = cut_lineage(left.join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        level += 1
-    rest = rest.withColumn("level", F.lit(0))
-    return rest if out is None else out.unionByName(rest)
+    nodes on or above a cycle get level 0.
+
+    Stretches without branches are one long edge, so rounds grow with the branchings of a path, not with its
+    steps; the nodes inside a stretch follow from its end."""
+    edges = store(edges.select("src", "dst").distinct())
+    nodes = store(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    chain = _chain(edges)
+    ends, _ = _ends(chain, "after")
+    rest = _short(edges, chain, ends)
+    done = store(nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    known, upto = done, None
+    while not done.isEmpty():
+        # what the levels just found say about the nodes before them
+        told = rest.join(done.select(F.col("node").alias("dst"), "level"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("level") + F.col("length")).alias("level"))
+        upto = store((told if upto is None else upto.unionByName(told)).groupBy("node").agg(F.max("level").alias("level")))
+        rest = store(rest.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "length"))
+        done = store(upto.join(rest.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
+        upto = upto.join(done.select("node"), "node", "left_anti")
+        known = known.unionByName(done)
+    inner = ends.join(known.select(F.col("node").alias("end"), "level"), "end").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    return nodes.join(known.unionByName(inner), "node", "left").select("node", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def batches(edges: DataFrame) -> DataFrame:
@@ -122,6 +185,24 @@ def _trim(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes on cycles with the least member of their strongly connected component and its size.
 
+    Stretches without branches are put together first; rings of them are components as they are.  Of the
+    graph that is left, components are found by spreading labels; a node of a stretch belongs to the
+    component that has both ends of it."""
+    edges = store(edges.select("src", "dst").distinct())
+    chain = _chain(edges)
+    ends, ring = _ends(chain, "after")
+    heads, _ = _ends(chain, "before")
+    knots = store(_components(_short(edges, chain, ends)).select("node", "component"))
+    of = lambda c: knots.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    inner = ends.select("node", "end").join(heads.select("node", F.col("end").alias("head")), "node").join(of("end"), "end").join(of("head"), "head").filter("_end = _head")
+    member = store(knots.unionByName(inner.select("node", F.col("_end").alias("component"))).unionByName(ring))
+    whole = member.groupBy("component").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("size"))
+    return member.join(whole, "component").select("node", F.col("_least").alias("component"), "size")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of the nodes on cycles.
+
     Labels (the least node that reaches a node) are spread forward until stable; within one
     label the nodes that reach the label's own node form a component, which is then removed."""
     left = _trim(cut_lineage(edges.select("src", "dst").distinct()))
