@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecraft.functions.exprs import all_of, null_safe_join
-from zonecraft.operators.window import KEY, _cut, _keyed, _prior_struct
+from zonecraft.operators.window import KEY, _cut, _keyed
 from zonecraft.session import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes, store
 
 
@@ -98,11 +98,15 @@ def as_of(facts: DataFrame, versions: DataFrame, keys, ts: str, start: str, end:
     marks = versions.filter(F.col(start).isNotNull()).select(*keys, F.col(start).alias("_t"), held.alias("_v"), F.lit(False).alias("_fact"))
     line = facts.withColumns({"_t": F.col(ts), "_v": F.lit(None).cast(marks.schema["_v"].dataType), "_fact": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_fact"), F.asc_nulls_last("_v.e")]
-    x, b = (store(line), bucket(F.col("_t"))) if bucket else _cut(line, keys, order, None)
+    x, b = _cut(line, keys, order, bucket(F.col("_t")) if bucket else None)
     x = _keyed(x, keys, b)
-    newest = F.when(~F.col("_fact"), F.struct("_t", F.col("_v.e").isNull(), "_v.e"))
-    carried = F.last("_last", ignorenulls=True).over(_prior_struct(keys)).alias("_carried")
-    prior = x.groupBy(KEY).agg(F.max_by("_v", newest).alias("_last")).select(KEY, carried)
+    # what a bucket hands on is its last version, so only versions are aggregated; buckets of facts just ask for it
+    newest = x.filter(~F.col("_fact")).groupBy(KEY).agg(F.max_by("_v", F.struct("_t", F.col("_v.e").isNull(), "_v.e")).alias("_last"))
+    asking = x.filter("_fact").select(KEY).distinct().withColumn("_last", F.lit(None).cast(newest.schema["_last"].dataType))
+    # a bucket of both has two rows; the one that asks comes first and sees no more than what was before it
+    both = newest.withColumn("_asks", F.lit(False)).unionByName(asking.withColumn("_asks", F.lit(True)))
+    before = Window.partitionBy(*[F.col(f"{KEY}.k{i}") for i in range(len(keys))]).orderBy(F.col(f"{KEY}.b"), F.col("_asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    prior = both.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).filter("_asks").select(KEY, "_carried")
     seen = F.last("_v", ignorenulls=True).over(Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     y = x.withColumn("_seen", seen).filter("_fact").join(prior, KEY).withColumn("_seen", F.coalesce("_seen", "_carried"))
     valid = F.col("_seen.e").isNull() | (F.col(ts) < F.col("_seen.e"))
