@@ -151,7 +151,7 @@ def vector_scores(corpus: DataFrame, queries: DataFrame, key: str, vector: str,
     queries, qtype = _widened(queries, "query_id")
     types = (qtype, _widened(corpus, key)[1])
     blocks = store(vector_blocks(corpus, key, vector, planes, block))
-    cells = store(vector_cells(blocks))
+    cells = vector_cells(blocks)
     queries = store(queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector")))
     # every query against every cell: as many cells as sign patterns
     dot = F.aggregate(F.zip_with("vector", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
