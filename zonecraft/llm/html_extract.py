@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text.  A linear classifier gives every block a cost of being called
 boilerplate and one of being called content: the capacities of its edges from the source and to
-the sink.  Blocks that follow each other, more so the nearer they are in the document tree, and
+the sink.  Names, roles and tags of the elements around a block are features among others, and an element
+that holds the page's main part, or most of its text, is no furniture whatever it is called.  Blocks that follow each other, more so the nearer they are in the document tree, and
 blocks of one parent are joined by smoothness edges.  The minimum cut, found by maximum flow,
 is the labelling of least cost."""
 
@@ -34,55 +35,79 @@ CONTENT_TAGS, CHROME_TAGS = {"article", "main"}, set("nav footer aside form dial
 CONTENT_ROLES, CHROME_ROLES = {"main", "article"}, set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 CHROME_WORDS = set("nav navbar navigation menu menus sidebar footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
                    "subscribe subscription signup login promo promotion advert adverts advertisement advertising ad ads adsense sponsor sponsored sponsors related "
-                   "recommended recommendations share sharing social cookiebar toast topnav sidenav topbar rail commentlist discussion adsbygoogle breadcrumb breadcrumbs pagination pager comment comments disqus respond replies reply widget toolbar copyright skip".split())
+                   "recommended recommendations share sharing social cookiebar toast topnav sidenav topbar rail adsbygoogle breadcrumb breadcrumbs pagination pager "
+                   "widget toolbar copyright skip".split())
+COMMENT_WORDS = set("comment comments commentlist discussion disqus respond replies reply".split())
+TITLE_WORDS, PART_WORDS = {"header", "masthead", "banner"}, {"entry", "post", "article", "story"}
 CONTENT_NAMES = set("article article-body article-content articlebody post post-body post-content entry entry-content story story-body content main main-content page-content".split())
 NOT_A_PART = {"has", "with", "no", "without", "is", "show", "hide"}
 
 CHROME, OUTSIDE, INSIDE = -9.0, -3.0, 4.0
+MAIN_SHARE, MOST = 0.3, 0.6  # of a page's text: what its main part has at least, and what is too much for furniture
+
+
+class Element:
+    """A block-level element: what its own tag and attributes say, and the text below it."""
+
+    __slots__ = ("parent", "furniture", "comments", "content", "size")
+
+    def __init__(self, parent, furniture, comments, content):
+        self.parent, self.furniture, self.comments, self.content, self.size = parent, furniture, comments, content, 0
 
 
 class Block:
-    __slots__ = ("content", "linked", "parent", "path", "tag", "text", "chrome")
+    __slots__ = ("chrome", "common", "content", "depth", "element", "linked", "parent", "tag", "text")
 
-    def __init__(self, text, tag, parent, path, linked, content, chrome):
-        self.text, self.tag, self.parent, self.path, self.linked, self.content, self.chrome = text, tag, parent, path, linked, content, chrome
+    def __init__(self, text, tag, parent, depth, common, linked, element):
+        self.text, self.tag, self.parent, self.depth, self.common, self.linked, self.element = text, tag, parent, depth, common, linked, element
+        self.content = self.chrome = False
 
 
-def _says_chrome(tag: str, raw: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element's tag and attributes mark page furniture, or content."""
-    chrome, content = tag in CHROME_TAGS or tag == "header" and not in_content, tag in CONTENT_TAGS
+def _says(tag: str, raw: str, in_content: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's tag and attributes speak of page furniture, of readers' comments, of content."""
+    furniture, comments, content = tag in CHROME_TAGS or tag == "header" and not in_content, False, tag in CONTENT_TAGS
     if not raw.strip() or tag in ("html", "body"):
-        return chrome, content
+        return furniture, comments, content
     for name, value in ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            chrome = True
+            furniture = True
         elif name == "role":
-            chrome, content = chrome or value in CHROME_ROLES, content or value in CONTENT_ROLES
+            furniture, content = furniture or value in CHROME_ROLES, content or value in CONTENT_ROLES
         elif name == "itemprop" and value == "articlebody":
             content = True
         elif name in ("class", "id") and tag not in HEADINGS | {"main"}:
             for token in value.split():
                 content = content or tag in ("div", "section") and token in CONTENT_NAMES
                 words = re.split(r"[-_:]+", token)
-                chrome = chrome or any(w in CHROME_WORDS and (i == 0 or words[i - 1] not in NOT_A_PART) for i, w in enumerate(words))
-    return chrome, content
+                said = {w for i, w in enumerate(words) if i == 0 or words[i - 1] not in NOT_A_PART}
+                if said & PART_WORDS and said & TITLE_WORDS and not said & (CHROME_WORDS - TITLE_WORDS):
+                    # the head of an entry, not of the page
+                    furniture, content = furniture and tag != "header", True
+                else:
+                    furniture = furniture or bool(said & CHROME_WORDS)
+                comments = comments or bool(said & COMMENT_WORDS)
+    return furniture, comments, content
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; white space in a block is one space."""
     found: list[Block] = []
-    # open elements: tag, number, chrome, content; the first stands for the page
-    stack, number, parts, linked, links = [("", 0, False, False)], 0, [], 0, 0
+    elements = [Element(-1, False, False, False)]  # the first stands for the page
+    # open elements: tag, number, block-level element around, whether in content
+    stack, number, parts, linked, links = [("", 0, 0, False)], 0, [], 0, 0
+    open_tags: dict[str, int] = {}
+    same = 1  # how many open elements have been open since the last block
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, same
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK or not i)
                 outer = stack[at - 1][1] if at else 0
-                found.append(Block(text, stack[at][0], outer, tuple(e[1] for e in stack[:at + 1]), linked, stack[at][3], stack[at][2]))
+                found.append(Block(text, stack[at][0], outer, at + 1, min(same, at + 1, found[-1].depth) if found else 0, linked, stack[at][2]))
+                same = len(stack)
             parts, linked = [], 0
 
     def add(raw: str):
@@ -93,9 +118,12 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(text)
 
     def pop_to(at: int):
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[at:])
+        nonlocal links, same
+        for e in stack[at:]:
+            links -= e[0] == "a"
+            open_tags[e[0]] -= 1
         del stack[at:]
+        same = min(same, at)
 
     at = 0
     while True:
@@ -113,12 +141,13 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            if open_tags.get(name):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        pop_to(i)
+                        break
+                    if name not in BLOCK and stack[i][0] in BLOCK:
+                        break
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -138,26 +167,63 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in VOID or raw.endswith("/") and name not in BLOCK and name != "a":
             continue
-        _, _, chrome, content = stack[-1]
+        _, _, element, content = stack[-1]
         if name in BLOCK:
-            own_chrome, own_content = _says_chrome(name, raw, content)
-            chrome, content = chrome or own_chrome, content or own_content
+            furniture, comments, own = _says(name, raw, content)
+            elements.append(Element(element, furniture, comments, own))
+            element, content = len(elements) - 1, content or own
         number += 1
-        stack.append((name, number, chrome, content))
+        stack.append((name, number, element, content))
+        open_tags[name] = open_tags.get(name, 0) + 1
         links += name == "a"
     flush()
+    _judge(found, elements)
     return found
 
 
+def _judge(found: list[Block], elements: list[Element]) -> None:
+    """Set content and chrome of the blocks from the elements around them, each element looked at twice.
+
+    The main part is the largest element that speaks of content and is no comment.  Furniture that holds
+    it, or that has most of the text while no content element stands outside of it, is a name of the page's
+    layout (a form around a page, a wrapper called after its sidebar) and counts for nothing."""
+    for b in found:
+        elements[b.element].size += max(len(b.text) - b.linked, 0)
+    for e in reversed(elements[1:]):  # children come after their parents
+        elements[e.parent].size += e.size
+    total = elements[0].size or 1
+    commented = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        commented[i] = commented[e.parent] or e.comments
+    candidates = [i for i, e in enumerate(elements) if e.content and not commented[i]]
+    main = max(candidates, key=lambda i: (elements[i].size, -i), default=None)
+    holds_main, inside = [False] * len(elements), [0] * len(elements)
+    if main is not None and elements[main].size >= MAIN_SHARE * total:
+        i = main
+        while i > 0:
+            holds_main[i] = True
+            i = elements[i].parent
+    for i in candidates:
+        inside[i] += 1
+    for i in range(len(elements) - 1, 0, -1):
+        inside[elements[i].parent] += inside[i]
+    chrome, content = [False] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        layout = holds_main[i] or e.size >= MOST * total and inside[i] == len(candidates)
+        own = e.comments and not holds_main[i] or e.furniture and not layout
+        chrome[i], content[i] = chrome[e.parent] or own, content[e.parent] or e.content
+    for b in found:
+        b.chrome, b.content = chrome[b.element], content[b.element]
+
+
 def score(block: Block, article_known: bool) -> float:
     """The classifier's log odds of content."""
-    if block.chrome:
-        return CHROME
     words = block.text.count(" ") + 1
     s = min(words, 40) / 10 - 1.0
-    s += INSIDE if block.content else OUTSIDE if article_known else 0.0
-    s -= 4.0 * min(1.0, block.linked / len(block.text)) * (1.0 if block.content else 1.5)
-    s += 1.0 if block.tag in HEADINGS else 0.5 if block.tag in ("p", "blockquote", "pre", "figcaption") else -0.5 if block.tag in ("li", "option") else 0.0
+    s += CHROME if block.chrome else INSIDE if block.content else OUTSIDE if article_known else 0.0
+    # a list of links is furniture outside of an article, and part of it inside
+    s -= min(1.0, block.linked / len(block.text)) * (1.5 if block.content else 6.0)
+    s += 2.0 if block.tag == "h1" else 1.0 if block.tag in HEADINGS else 0.5 if block.tag in ("p", "blockquote", "pre", "figcaption") else -0.5 if block.tag in ("li", "option") else 0.0
     s += 0.5 if block.text[-1] in ".!?…:;\"”" else 0.0
     return s - (2.0 if block.text.startswith(("©", "(c)", "Copyright")) else 0.0)
 
@@ -167,9 +233,7 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges, latest = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = next((j for j, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))
-            edges.append((i - 1, i, 2.0 / (len(a) + len(b.path) - 2 * common + 1)))
+            edges.append((i - 1, i, 2.0 / (blocks[i - 1].depth + b.depth - 2 * b.common + 1)))
         if b.parent in latest:
             edges.append((latest[b.parent], i, 0.5))
         latest[b.parent] = i
@@ -250,7 +314,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, blocks, text, n_chars) for every row; n_chars counts code points.
 
     Pages are worked one by one in Arrow batches; a page takes time and memory in proportion to its
-    blocks.  A null or empty page, and one without content, has no blocks and an empty text.  Broken
+    length, however deep it is nested; the maximum flow is solved for the undecided blocks alone.  A null or empty page, and one without content, has no blocks and an empty text.  Broken
     markup is read as far as it goes: a tag cut off at the end is markup, an unclosed script or
     comment reaches to the end.  Repeated rows, null ids and addresses pass through; other columns are
     ignored.  An empty table gives no rows."""
