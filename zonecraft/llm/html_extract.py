@@ -234,7 +234,7 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         if i:
             edges.append((i - 1, i, 2.0 / (blocks[i - 1].depth + b.depth - 2 * b.common + 1)))
-        if b.parent in latest:
+        if latest.get(b.parent, i - 1) < i - 1:
             edges.append((latest[b.parent], i, 0.5))
         latest[b.parent] = i
     return edges
