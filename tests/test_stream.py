@@ -106,7 +106,7 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
 def test_auto_close_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     df = make(spark, tmp_path / "in", sample(seed=6)).withColumn("good", F.col("kind") == "ok")
-    drain(T.auto_close_stream(stream(spark, tmp_path / "in").withColumn("good", F.col("kind") == "ok"), "k", "ts", "good"), tmp_path, "out")
+    drain(T.auto_close_stream(stream(spark, tmp_path / "in").withColumn("good", F.col("kind") == "ok"), "k", "ts", "good", delay="0 seconds"), tmp_path, "out")
     want = T.auto_close(df, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"), F.col("good")).filter("closes")
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows(got, "k", "closed_at") == rows(want, "k", "ts") and got.count() > 3
@@ -122,7 +122,7 @@ def test_transitions_equal_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     table = {"ok": ["error", "ok"], "error": ["ok"]}
     df = make(spark, tmp_path / "in", sample(seed=8))
-    drain(T.transitions_stream(stream(spark, tmp_path / "in").select("k", "ts", "kind"), "k", "ts", "kind", table), tmp_path, "out")
+    drain(T.transitions_stream(stream(spark, tmp_path / "in").select("k", "ts", "kind"), "k", "ts", "kind", table, delay="0 seconds"), tmp_path, "out")
     want = T.transitions(df, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"), "kind", table)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows(got.groupBy("k", "is_legal").count()) == rows(want.groupBy("k", "is_legal").count())
@@ -148,7 +148,9 @@ def event(kind, **payload):
 def test_failure_events(spark, pattern, severity):
     tasks = [{"task_id": f"t{i}", "failure_pattern": pattern, "log_snippet": "x" * 300} for i in range(7)]
     df = spark.createDataFrame([event("pipeline.failed", dag_id="d", run_id="r", pipeline_id="p", failed_tasks=tasks), event("pipeline.failed", dag_id="d2", run_id="r", pipeline_id="p")], "value string")
-    a, b = E.failure_incidents(E.parse(df, "pipeline.failed").withColumn("at", F.to_timestamp("timestamp")), "at").orderBy("dag_id").collect()
+    a, b = E.failure_incidents(E.parse(df, "pipeline.failed").withColumn("at", F.to_timestamp("timestamp")), "at", most_tasks=5, most_chars=200).orderBy("dag_id").collect()
+    whole = E.failure_incidents(E.parse(df, "pipeline.failed").withColumn("at", F.to_timestamp("timestamp")), "at").orderBy("dag_id").first()
+    assert len(whole.summary.split("\n")) == 7 and all(line.endswith("x" * 300) for line in whole.summary.split("\n"))
     assert (a.severity, a.n_tasks, len(a.summary.split("\n"))) == (severity, 7, 5) and a.incident_id.startswith("INC-PIPE-") and len(a.incident_id) == 21
     assert (b.pattern, b.severity, b.n_tasks, b.team) == ("unknown", "P3", 0, "data-engineering")
 
@@ -167,3 +169,31 @@ def test_sla_routing_and_source_options(spark):
 def test_rate_source_and_rules_on_streams(spark):
     q = R.apply_rules(S.read_stream(spark, "rate", {"rowsPerSecond": 50}), [{"type": "expression", "config": {"column": "x", "expression": "value * 2"}}, {"type": "filter", "config": {"condition": "x >= 0"}}])
     assert q.isStreaming and "x" in q.columns
+
+
+def test_state_waits_for_late_rows_and_survives_a_restart(spark, tmp_path):
+    """Rows of a key spread over batches in any order, within the delay; the query is stopped after two of the four."""
+    r = random.Random(31)
+    data = sample(240, seed=31, batches=1)[0]
+    # each row comes in the batch of its time or the next one
+    batches = [[], [], [], []]
+    for x in data:
+        batches[min(3, x[2] // 12_000 + (r.random() < 0.3))].append(x)
+    for b in batches:
+        r.shuffle(b)
+    end = [(999, "zz", 90_000, "ok", 0.0)]
+    (tmp_path / "in").mkdir()
+    make(spark, tmp_path / "in", batches[:2])
+    query = lambda: T.transitions_stream(stream(spark, tmp_path / "in").select("k", "ts", "kind"), "k", "ts", "kind", {"ok": ["error"], "error": ["ok"]}, delay="4 hours")
+    drain(query(), tmp_path, "out")
+    some = spark.read.schema("k string, ts timestamp, previous_state string, kind string, is_legal boolean").parquet(str(tmp_path / "out")).count()
+    df = make(spark, tmp_path / "in", [*batches, end])
+    drain(query(), tmp_path, "out")
+    got = spark.read.parquet(str(tmp_path / "out")).filter("k <> 'zz'")
+    want = T.transitions(df.filter("k <> 'zz'"), ["k"], ["ts", "kind"], F.date_trunc("hour", "ts"), "kind", {"ok": ["error"], "error": ["ok"]})
+    assert 0 < some < 240 and rows(got, "k", "ts", "previous_state", "kind", "is_legal") == rows(want, "k", "ts", "previous_state", "kind", "is_legal")
+
+
+def test_limits_of_a_micro_batch():
+    assert S.limit_of("file", {}) == {"maxFilesPerTrigger": "1000"} and S.limit_of("kafka", {"max_offsets": 9}) == {"maxOffsetsPerTrigger": "9"}
+    assert S.limit_of("kafka", {"max_offsets": None}) == S.limit_of("rate", {}) == {}

@@ -6,6 +6,7 @@ from zonecraft.functions.exprs import hms, money
 from zonecraft.operators import rules as R
 from zonecraft.plans.registry import query
 from zonecraft.plans.relational_plans import slot
+from zonecraft.session import store
 from zonecraft.streaming import events as E
 from zonecraft.streaming import state as S
 from zonecraft.streaming import windows as W
@@ -115,6 +116,18 @@ def sm_14(t):
     return S.transitions(t.events, ["user_id"], ["ts", "event_id"], slot(), "event_type", STATES).select("event_id", "previous_state", "is_legal")
 
 
+_STEPS = ["requested", "planning", "planned", "generating", "generated", "validating", "validated", "pending_approval", "approved", "rejected", "deploying", "deployed", "failed"]
+
+
+@query("sm_14_pipeline", f"""WITH s AS (SELECT user_id, event_id, ts, ({_STEPS})[(event_id + user_id) % 13 + 1] AS state FROM events), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM s)
+SELECT event_id, state, p AS previous_state, CASE WHEN p IS NULL THEN state = 'requested' ELSE (p || '>' || state) IN ('requested>planning', 'planning>planned', 'planning>failed', 'planned>generating', 'generating>generated', 'generating>failed', 'generated>validating',
+ 'validating>validated', 'validating>failed', 'validated>pending_approval', 'validated>approved', 'pending_approval>approved', 'pending_approval>rejected', 'approved>deploying', 'deploying>deployed', 'deploying>failed') END AS is_legal FROM l""")
+def sm_14_pipeline(t):
+    steps = F.array(*[F.lit(x) for x in _STEPS])
+    x = t.events.withColumn("state", F.element_at(steps, ((F.col("event_id") + F.col("user_id")) % 13 + 1).cast("int")))
+    return S.transitions(x, ["user_id"], ["ts", "event_id"], slot(), "state", S.PIPELINE_TRANSITIONS, ["requested"]).select("event_id", "state", "previous_state", "is_legal")
+
+
 @query("sm_15", "SELECT CASE event_type WHEN 'error' THEN 'pipeline.failed' WHEN 'signup' THEN 'pipeline.sla_missed' ELSE 'unhandled' END AS handler, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def sm_15(t):
     parts = E.route(E.envelope(messages(t)), ["pipeline.failed", "pipeline.sla_missed"])
@@ -152,8 +165,9 @@ def sm_20(t):
 
 @query("ud_1", "SELECT c_nationkey, count(*) AS n_rows, count(*) AS n_ids, TRUE AS well_formed FROM customer GROUP BY 1")
 def ud_1(t):
-    x = R.bronze_audit(t.customer, "2024-01-01", "r1")
-    return x.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_record_uuid").alias("n_ids"),
+    x = store(R.bronze_audit(t.customer, "2024-01-01", "r1"))
+    # a 64-bit hash of an id is a fifth of its text
+    return x.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.xxhash64("_record_uuid")).alias("n_ids"),
                                         F.bool_and(F.col("_record_uuid").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"))
 
 

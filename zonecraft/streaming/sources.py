@@ -24,17 +24,28 @@ def source_options(source_type: str, config: dict) -> tuple[str, dict]:
     return fmt, {k: v for k, v in out.items() if v != ""}
 
 
+# what a micro-batch takes by default, so that its size is bounded after a pause too
+LIMITS = {"kafka": ("maxOffsetsPerTrigger", "max_offsets", 5_000_000), "eventhub": ("maxEventsPerTrigger", "max_events", 5_000_000), "file": ("maxFilesPerTrigger", "max_files", 1_000)}
+
+
+def limit_of(source_type: str, config: dict) -> dict:
+    """The option that bounds a micro-batch of a source; a configured None takes everything there is."""
+    if source_type not in LIMITS:
+        return {}
+    option, key, default = LIMITS[source_type]
+    most = config.get(key, default)
+    return {} if most is None else {option: str(most)}
+
+
 def read_stream(spark: SparkSession, source_type: str, config: dict) -> DataFrame:
     """Connector streams need the connector on the class path; `file` and `rate` are built in."""
     if source_type == "rate":
         return spark.readStream.format("rate").options(**{k: str(v) for k, v in config.items()}).load()
     if source_type == "file":
         r = spark.readStream.schema(config["schema"]).format(config.get("format", "parquet"))
-        if config.get("max_files"):
-            r = r.option("maxFilesPerTrigger", config["max_files"])
-        return r.load(config["path"])
+        return r.options(**limit_of("file", config)).load(config["path"])
     fmt, opts = source_options(source_type, config)
-    return spark.readStream.format(fmt).options(**opts).load()
+    return spark.readStream.format(fmt).options(**opts, **limit_of(source_type, config)).load()
 
 
 def trigger_of(mode: str, interval: str = "1 minute") -> dict:

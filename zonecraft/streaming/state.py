@@ -31,6 +31,13 @@ INCIDENT_TRANSITIONS = {
     "executing": ["executed", "failed"], "executed": ["verified", "failed"], "verified": ["close_requested"], "close_requested": ["closed"],
 }
 
+# The same for the workflow that builds and deploys a pipeline: its working states, one after another, may fail.
+PIPELINE_TRANSITIONS = {
+    "requested": ["planning"], "planning": ["planned", "failed"], "planned": ["generating"], "generating": ["generated", "failed"],
+    "generated": ["validating"], "validating": ["validated", "failed"], "validated": ["pending_approval", "approved"],
+    "pending_approval": ["approved", "rejected"], "approved": ["deploying"], "deploying": ["deployed", "failed"],
+}
+
 
 def transition_ok(previous: Column, state: Column, transitions: dict, initial=None) -> Column:
     legal = any_of([(previous == a) & state.isin(*b) for a, b in transitions.items()])
@@ -51,47 +58,83 @@ def current_state(df: DataFrame, keys, order, columns) -> DataFrame:
 
 # ---- streaming forms -------------------------------------------------------------------------
 
-def auto_close_stream(df: DataFrame, key: str, ts: str, ok: str, runs: int = 3) -> DataFrame:
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def in_time_order(df: DataFrame, key: str, ts: str, columns, state: str, output: str, step, delay: str = "10 minutes") -> DataFrame:
+    """`step(state, row)` for the rows of every key in the order of `ts`: it returns the key's new state (a tuple
+    of the schema `state`) and the output rows, tuples of the schema `output`; `row` has `ts` and `columns`.
+
+    Rows wait in a list in the state store until the watermark, the newest time less `delay`, has passed
+    them; an event-time timer then takes them in order, ties by their values.  So it does not matter in which
+    micro-batch a row comes or in which order, and the rows of a key in a batch go into the list one by one.  A task
+    holds a key's rows of one `delay` and the time since the last batch.  Rows later than `delay` are dropped.
+    State and waiting rows live in the checkpoint and are there again after a restart."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import StructType
+
+    columns = [ts, *[c for c in columns if c != ts]]
+    waiting = df.select(F.lit(0).cast("long").alias("_at"), *columns).schema
+    names = StructType.fromDDL(output).names
+
+    class Ordered(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.rows, self.state = handle, handle.getListState("waiting", waiting), handle.getValueState("state", state)
+
+        def handleInputRows(self, key, rows, timerValues):
+            for r in rows:
+                self.rows.appendValue((r["_at"], *[r[c] for c in columns]))
+                self.handle.registerTimer(r["_at"] // 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs()
+            due, later = [], []
+            for r in self.rows.get():
+                (due if r[0] // 1000 <= passed else later).append(tuple(r))
+            if not due:
+                return
+            now = tuple(self.state.get()) if self.state.exists() else None
+            for r in sorted(due, key=lambda r: (r[0], tuple((x is not None, str(x)) for x in r[1:]))):
+                now, out = step(now, Row(*columns)(*r[1:]))
+                for x in out:
+                    yield Row(*names)(key[0], *x)
+            self.state.update(now)
+            if later:
+                self.rows.put(later)
+            else:
+                self.rows.clear()
+
+        def close(self):
+            pass
+
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    timed = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).withColumn("_at", F.unix_micros(ts))
+    return timed.select(key, "_at", *columns).groupBy(key).transformWithState(Ordered(), output, "append", "eventTime")
+
+
+def auto_close_stream(df: DataFrame, key: str, ts: str, ok: str, runs: int = 3, delay: str = "10 minutes") -> DataFrame:
     """Close events of a stream: a key closes at its `runs`-th consecutive success after a failure
-    or start.  State per key is one counter.  Rows of a micro-batch are taken in time order, so the
-    source's per-trigger limit (files or offsets) bounds what a task holds of one key."""
-    def step(k, batches, state):
-        import pandas as pd
-        n = state.get[0] if state.exists else 0
-        out = []
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        for when, good in zip(rows[ts], rows[ok]):
-            n = n + 1 if good else 0
-            if n == runs:
-                out.append((k[0], when))
-        state.update((n,))
-        yield pd.DataFrame({key: [o[0] for o in out], "closed_at": [o[1] for o in out]})
-
-    t = df.schema[key].dataType.simpleString()
-    w = df.schema[ts].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {t}, closed_at {w}", "n bigint", "append", "NoTimeout")
-
-
-def transitions_stream(df: DataFrame, key: str, ts: str, state_col: str, table: dict) -> DataFrame:
-    """Every step with its previous state and legality; state per key is the last state.  The
-    source's per-trigger limit bounds what a task holds of one key."""
+    or start.  State per key is one counter, and the rows of `in_time_order`."""
+    def step(state, row):
+        n = (state[0] if state else 0) + 1 if row[ok] else 0
+        return (n,), [(row[ts],)] if n == runs else []
+
+    t, w = (df.schema[c].dataType.simpleString() for c in (key, ts))
+    return in_time_order(df, key, ts, [ok], "n bigint", f"{key} {t}, closed_at {w}", step, delay)
+
+
+def transitions_stream(df: DataFrame, key: str, ts: str, state_col: str, table: dict, delay: str = "10 minutes") -> DataFrame:
+    """Every step with its previous state and legality, in time order; state per key is the last state."""
     legal = {(a, b) for a, bs in table.items() for b in bs}
 
-    def step(k, batches, state):
-        import pandas as pd
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        prev, ok = [], []
-        for s in rows[state_col]:
-            prev.append(last)
-            ok.append(last is None or (last, s) in legal)
-            last = s
-        state.update((last,))
-        yield pd.DataFrame({key: k[0], ts: rows[ts], "previous_state": prev, state_col: rows[state_col], "is_legal": ok})
-
-    kt, tt = df.schema[key].dataType.simpleString(), df.schema[ts].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kt}, {ts} {tt}, previous_state string, {state_col} string, is_legal boolean", "last string", "append", "NoTimeout")
+    def step(state, row):
+        last = state[0] if state else None
+        return (row[state_col],), [(row[ts], last, row[state_col], last is None or (last, row[state_col]) in legal)]
+
+    kt, tt = (df.schema[c].dataType.simpleString() for c in (key, ts))
+    return in_time_order(df, key, ts, [state_col], "last string", f"{key} {kt}, {ts} {tt}, previous_state string, {state_col} string, is_legal boolean", step, delay)
 
 
 def latest_stream(df: DataFrame, key: str, ts: str, columns) -> DataFrame:
