@@ -63,29 +63,51 @@ def near_components(sets, percent=80):
 def tokens(text):
     out = []
     for run in words(text):
-        out += [run[i:i + 8] for i in range(0, len(run), 8)]
+        if len(run) <= 16:
+            out.append(run)
+            continue
+        part = ""
+        for c in run:
+            if c > "~" or c < "!":
+                out += [part] * bool(part) + [c]
+                part = ""
+                continue
+            if len(part) == 8:
+                out.append(part)
+                part = ""
+            # a vowel or digit ends a stretch of at most seven others
+            if c in "aeiou0123456789":
+                out += [part + c] if len(part) < 8 else [part, c]
+                part = ""
+            else:
+                part += c
+        out += [part] * bool(part)
     return out
 
 
-PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+PRIME, BASES = (1 << 31) - 1, (1_103_515_245, 1_664_525_013)
 
 
 def winnow(text, k=4, window=8):
-    """[(hash, position)], rolling the hash along and looking at every window."""
+    """[(hash, position)], rolling the two halves of the hash along and looking at every window."""
     h = []
     for t in tokens(text):
         x = xxhash.xxh64(t.encode(), seed=42).intdigest()
-        h.append((x - (1 << 64) if x >> 63 else x) % PRIME)
+        h.append(x - (1 << 64) if x >> 63 else x)
     if not h:
         return []
     k = min(k, len(h))
-    rolling = 0
-    for x in h[:k]:
-        rolling = (rolling * BASE + x) % PRIME
-    grams, lead = [rolling], pow(BASE, k - 1, PRIME)
-    for gone, new in zip(h, h[k:]):
-        rolling = ((rolling - gone * lead) * BASE + new) % PRIME
-        grams.append(rolling)
+    halves = []
+    for base, part in zip(BASES, ([x % PRIME for x in h], [(x >> 32) % PRIME for x in h])):
+        rolling = 0
+        for x in part[:k]:
+            rolling = (rolling * base + x) % PRIME
+        found, lead = [rolling], pow(base, k - 1, PRIME)
+        for gone, new in zip(part, part[k:]):
+            rolling = ((rolling - gone * lead) * base + new) % PRIME
+            found.append(rolling)
+        halves.append(found)
+    grams = [(b << 31) + a for a, b in zip(*halves)]
     spots = set()
     for i in range(max(1, len(grams) - window + 1)):
         part = grams[i:i + window]

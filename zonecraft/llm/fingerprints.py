@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, on array functions alone.
 
-Tokens are runs of other than ASCII white space, cut into parts of at most eight characters, so
-texts without spaces have tokens too.  Hashes of k tokens in a row form a rolling polynomial hash;
-of every `window` of them in a row the smallest, the rightmost of equals, is selected.  Texts that
-share k + window - 1 tokens in a row therefore share a selected hash, and selected positions say
-where."""
+Tokens are runs of at most 16 characters other than ASCII white space.  Longer runs, as texts without
+spaces have them, are cut where their characters say so: every character beyond ASCII is a token, and a
+stretch of ASCII ends behind a vowel or digit (or after eight characters without one), so tokens
+fall in line again soon after a character was put in or taken out.  Hashes of k tokens in a row form a
+rolling polynomial hash of two halves; of every `window` of them in a row the smallest, the rightmost of equals, is
+selected.  Texts that share k + window - 1 tokens in a row therefore share a selected hash, and
+selected positions say where."""
 
 from __future__ import annotations
 
@@ -13,29 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 K, WINDOW = 4, 8
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
-PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+CHAR, OTHER = r"[^\x20\x09-\x0D]", r"[\x21-\x2F\x3A-\x60b-df-hj-np-tv-z\x7B-\x7E]"  # OTHER: ASCII but small vowels and digits
+TOKEN = rf"(?<!{CHAR}){CHAR}{{1,16}}(?!{CHAR})|[^\x09-\x0D\x20-\x7E]|{OTHER}{{0,7}}[aeiou0-9]|{OTHER}{{1,8}}"
+PRIME, BASES, HALF = (1 << 31) - 1, (1_103_515_245, 1_664_525_013), 1 << 31
+ROWS_PER_RANGE, MOST_RANGES = 20_000, 10_000
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes below PRIME of a text's tokens, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+    """64-bit hashes of a text's tokens, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
 def gram_hashes(h: Column, k: int = K) -> Column:
-    """The polynomial hash of every k tokens in a row (of all tokens, if fewer): what rolling it along
-    gives, (previous - first * BASE^(k-1)) * BASE + next modulo PRIME, evaluated at each position."""
-    step = lambda acc, x: (acc * F.lit(BASE) + x) % F.lit(PRIME)
+    """The hash, below 2^62, of every k tokens in a row (of all tokens, if fewer): two polynomials modulo
+    PRIME, over the upper and the lower part of the tokens' hashes, side by side.  Each is what rolling it along
+    gives, (previous - first * BASE^(k-1)) * BASE + next, evaluated at each position."""
+    part = lambda x, n: F.pmod(F.shiftright(x, 32) if n else x, F.lit(PRIME))
+    step = lambda acc, x, n: (acc * F.lit(BASES[n]) + part(x, n)) % F.lit(PRIME)
 
     def at(x, i):
-        acc = x
+        halves = [part(x, n) for n in (0, 1)]
         for j in range(1, k):
-            acc = step(acc, F.get(h, i + j))
-        return acc
+            halves = [step(acc, F.get(h, i + j), n) for n, acc in enumerate(halves)]
+        return halves[1] * F.lit(HALF) + halves[0]
 
     whole = F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), at)
-    few = F.array(F.aggregate(h, F.lit(0).cast("long"), step))
-    return F.when(F.size(h) >= k, whole).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
+    all_of = lambda n: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: step(acc, x, n))
+    return F.when(F.size(h) >= k, whole).when(F.size(h) > 0, F.array(all_of(1) * F.lit(HALF) + all_of(0))).otherwise(F.array().cast("array<bigint>"))
 
 
 def selected(g: Column, window: int = WINDOW) -> Column:
@@ -101,6 +107,11 @@ def with_next(rows: DataFrame, order: str, pieces: int) -> DataFrame:
     return rows.withColumn("__place", F.explode(places)).select(*rows.columns, F.col("__place.r").alias("__range"), F.col("__place.g").alias("__guest"))
 
 
+def ranges_for(docs: DataFrame, least: int) -> int:
+    """How many ranges of the id a table is sorted in: one per ROWS_PER_RANGE rows, between `least` and MOST_RANGES."""
+    return min(MOST_RANGES, max(least, docs.count() // ROWS_PER_RANGE))
+
+
 def compared(docs: DataFrame, pieces: int, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 

@@ -79,8 +79,9 @@ def op2(spark, folder):
 
 @query("op3_fingerprints")
 def op3(spark, folder):
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = fingerprints.compared(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), ranges)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    ranges = fingerprints.ranges_for(docs.select("doc_id"), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = fingerprints.compared(docs, ranges)
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
                         fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
