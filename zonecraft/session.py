@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -56,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _private_dir:
         _private_dir[app] = tempfile.mkdtemp(prefix="zonecraft-")
+        # what a local run has stored goes with the process; a cluster's shared folder is its owner's to clear
+        atexit.register(shutil.rmtree, _private_dir[app], ignore_errors=True)
     return _private_dir[app]
 
 
@@ -63,7 +67,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: it survives lost executors and stops plan growth
     in iterations."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
 
