@@ -240,3 +240,35 @@ def test_stored_index_gives_the_same_weights(spark):
     docs = spark.createDataFrame([(i, f"disk error {i % 3} node") for i in range(9)], "id int, text string")
     a, b = (rows(K.keyword_index(docs, "id", "text", 20, keep=k)[1].select("doc_id", "term", F.round("w", 9))) for k in (False, True))
     assert a == b and len(a) > 9
+
+
+def test_terms_are_counted_in_the_row_of_a_text(spark, capsys):
+    """Ids that come twice, NULL ids, empty and missing texts; with unique ids nothing is exchanged and a text is read once."""
+    texts = [(1, "disk disk error the disk"), (2, ""), (3, None), (1, "error disk"), (None, "pod error"), (None, "pod"), (4, "a node"), (5, "node")]
+    want = Counter()
+    for i, t in texts:
+        w = [x for x in re.findall(r"\w{2,}", t or "") if x not in K.STOP_WORDS]
+        want.update((i, x) for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    twice = spark.createDataFrame(texts, "id int, text string")
+    assert {(r.doc_id, r.term): r.tf for r in K.term_counts(twice, "id", "text").collect()} == want
+    once = K.term_counts(twice.filter("id > 1"), "id", "text", hashed=True)
+    assert sorted((r.doc_id, r.tf) for r in once.collect()) == [(4, 1), (5, 1)]
+    capsys.readouterr()
+    once.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("top", [None, 4])
+def test_keyword_matches_without_a_vocabulary(spark, capsys, top):
+    """Document frequencies are counted over the rows of a term, which are exchanged once for the norms."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(WORDS) for _ in range(r.randint(0, 30)))) for i in range(60)], "id int, text string")
+    queries = spark.createDataFrame([(1, "disk error node"), (2, "timeout server pod"), (3, "unknown words")], "id int, text string")
+    dc, qc = (K.term_counts(x, "id", "text", hashed=True) for x in (docs, queries))
+    a, b = ({(x.query_id, x.doc_id): round(x.score, 9) for x in K.keyword_matches(dc, qc, v, 0.05, top).collect()}
+            for v in (K.vocabulary(dc, docs), docs.agg(F.count("*")).scalar()))
+    assert a == b and len(a) > 5
+    capsys.readouterr()
+    K.weighed(dc, docs.agg(F.count("*")).scalar()).explain()
+    assert capsys.readouterr().out.split("Subqueries")[0].count("hashpartitioning") == 1

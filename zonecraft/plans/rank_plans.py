@@ -46,8 +46,8 @@ sc AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING
 
 def keyword(t, threshold, top=None):
     docs = t.spread("documents")
-    counts = store(K.term_counts(docs, "doc_id", "text", hashed=True))
-    return K.keyword_matches(counts, K.term_counts(t.benchmark, "item_id", "text", hashed=True), K.vocabulary(counts, docs), threshold, top)
+    counts, n = K.term_counts(docs, "doc_id", "text", hashed=True), t.documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return K.keyword_matches(counts, K.term_counts(t.benchmark, "item_id", "text", hashed=True), n, threshold, top)
 
 
 @query("rt_3", f"WITH {TFIDF_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE score > 0.1")
