@@ -1,5 +1,6 @@
 """Dimension, vault and graph invariants on random inputs."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -243,3 +244,22 @@ def test_many_starts_travel_as_bits(spark):
                 want |= {(s, n): depth for n in front}
         assert {(x.start, x.node): x.depth for x in G.traverse(e, spark.range(200).select("id"), limit).collect()} == want
     assert G.traverse(e, spark.range(0).select("id")).count() == 0
+
+
+def test_links_and_hubs_exchange_the_bytes_of_their_hash(spark, capsys):
+    from zonecraft.operators import vault
+    rows_ = spark.createDataFrame([("A", "b"), ("a", "B"), (None, "c"), ("", "C"), (None, None)], "x string, y string")
+    first = vault.link(rows_, None, ["x", "y"], "s")
+    assert first.columns == ["link_hash_key", "hub_0_hash_key", "hub_1_hash_key", "x", "y", "load_date", "record_source"]
+    got = first.collect()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {(r.link_hash_key, r.hub_0_hash_key, r.hub_1_hash_key, r.x, r.y) for r in got} == {
+        (digest("A|B"), digest("A"), digest("B"), "A", "b"), (digest("|C"), digest(""), digest("C"), None, "c"), (digest("|"), digest(""), digest(""), None, None)}
+    known = spark.createDataFrame([(digest("A|B"),), (digest("|C").upper(),), ("no hash",), (None,)], "link_hash_key string")
+    assert {r.link_hash_key for r in vault.link(rows_, known, ["x", "y"], "s").collect()} == {digest("|C"), digest("|")}
+    hub = vault.hub(rows_, None, ["x"], "s", recipe="job")
+    assert {r.hub_hash_key for r in hub.collect()} == {hashlib.md5(s.encode()).hexdigest() for s in ("A", "a", "")}
+    capsys.readouterr()
+    first.explain()
+    plan = [x for x in capsys.readouterr().out.splitlines() if "partial_min" in x]
+    assert plan and not any("hash_key" in x for x in plan)

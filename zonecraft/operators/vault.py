@@ -14,12 +14,21 @@ from zonecraft.operators.window import framed
 HK = "hub_hash_key"
 
 
-def hub(source: DataFrame, existing: DataFrame | None, keys, record_source: str, load_date: str | None = None, recipe: str = "vault") -> DataFrame:
-    """New hub rows.  Keys are made distinct before hashing and matched against known keys."""
-    h = source.select(*keys).distinct().select(hash_key(keys, recipe).alias(HK), *keys)
-    h = h.groupBy(HK).agg(F.min(F.struct(*keys)).alias("_k")).select(HK, "_k.*")  # one of the spellings of a normalised key
+def _new_keys(source: DataFrame, existing: DataFrame | None, keys, name: str, recipe: str = "vault") -> DataFrame:
+    """The hash of the keys, as column `name`, and the keys, for every hash that is not known yet.
+
+    Rows are grouped and matched by the bytes of the hash, half as long as its text, in one exchange."""
+    x = source.select(F.unhex(hash_key(keys, recipe)).alias("_h"), F.struct(*keys).alias("_k"))
+    x = x.groupBy("_h").agg(F.min("_k").alias("_k"))  # one of the spellings of a normalised key
     if existing is not None:
-        h = h.join(existing.select(HK), HK, "left_anti")
+        known = F.col(name)  # hashes are lower-case text; unhex would take other cases for the same
+        x = x.join(existing.select(F.when(known == F.lower(known), F.unhex(known)).alias("_h")), "_h", "left_anti")
+    return x.select(F.lower(F.hex("_h")).alias(name), "_k.*")
+
+
+def hub(source: DataFrame, existing: DataFrame | None, keys, record_source: str, load_date: str | None = None, recipe: str = "vault") -> DataFrame:
+    """New hub rows: one for each hash of the keys that is not known yet."""
+    h = _new_keys(source, existing, keys, HK, recipe)
     when = F.lit(load_date).cast("timestamp") if load_date else F.current_timestamp()
     return h.withColumns({"load_date": when, "record_source": F.lit(record_source)})
 
@@ -30,13 +39,11 @@ def private_hub(source: DataFrame, existing: DataFrame | None, keys, record_sour
 
 
 def link(source: DataFrame, existing: DataFrame | None, keys, record_source: str, load_date: str | None = None) -> DataFrame:
-    """Distinct relationships with one hash per hub and one for the link."""
-    x = source.select(*keys).distinct()
-    x = x.select(hash_key(keys).alias("link_hash_key"), *[hash_key([k]).alias(f"hub_{i}_hash_key") for i, k in enumerate(keys)], *keys)
-    rest = [c for c in x.columns if c != "link_hash_key"]
-    x = x.groupBy("link_hash_key").agg(F.min(F.struct(*keys, *[c for c in rest if c not in keys])).alias("_r")).select("link_hash_key", *[F.col(f"_r.{c}").alias(c) for c in rest])
-    if existing is not None:
-        x = x.join(existing.select("link_hash_key"), "link_hash_key", "left_anti")
+    """Distinct relationships with one hash per hub and one for the link.
+
+    The hubs' hashes are taken of the keys at the end, so that no exchange carries them."""
+    x = _new_keys(source, existing, keys, "link_hash_key")
+    x = x.select("link_hash_key", *[hash_key([k]).alias(f"hub_{i}_hash_key") for i, k in enumerate(keys)], *keys)
     when = F.lit(load_date).cast("timestamp") if load_date else F.current_timestamp()
     return x.withColumns({"load_date": when, "record_source": F.lit(record_source)})
 
